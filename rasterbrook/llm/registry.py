@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from rasterbrook.llm import simhash
+from rasterbrook.llm import bpe, decontam, media, sharding, simhash, token_counts
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
+    "op4_byte_level_bpe": bpe.query,
+    "op5_benchmark_decontamination": decontam.query,
+    "op8_sharding": sharding.query,
+    "op9_media_columns": media.query,
+    "op10_token_counts": token_counts.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_benchmark_decontamination": decontam.ORACLE_SQL,
+}
