@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from rasterbrook.llm import bpe, decontam, media, sharding, simhash, token_counts
+from rasterbrook.llm import bpe, decontam, langid, lm, media, pii, sharding, simhash, token_counts, urlfilter
 
 QUERIES = {
+    "op1_pii_surrogates": pii.query,
     "op2_simhash_near_dedup": simhash.query,
+    "op3_lm_scoring": lm.query,
     "op4_byte_level_bpe": bpe.query,
     "op5_benchmark_decontamination": decontam.query,
+    "op6_language_id": langid.query,
+    "op7_url_filters": urlfilter.query,
     "op8_sharding": sharding.query,
     "op9_media_columns": media.query,
     "op10_token_counts": token_counts.query,
