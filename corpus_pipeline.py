@@ -2,6 +2,7 @@
 
 A function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each stage's rows as Parquet in the shared folder and rereads them for the next.
+All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -10,17 +11,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterbrook.llm import simhash
+from rasterbrook.llm import bpe, decontam, langid, pii, simhash
 from rasterbrook.llm.common import shared_dir, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found (null texts, or no letter) go."""
+    return langid.known_language(docs, langid.trained_on(docs))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return simhash.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontam.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def anonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to surrogates."""
+    return pii.anonymise(docs, length_col="n_chars")
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and digests of them and of the bytes they decode to."""
+    return bpe.digests(bpe.round_trip(docs))
+
+
 STAGES = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("anonymise", anonymise),
+    ("tokenise", tokenise),
 ]
 
 #: SQL has no XXH64, trained classifier or byte-pair merges: held against brute force in tests instead.
