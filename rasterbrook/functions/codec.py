@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _shl(a: Column, n: Column) -> Column:
+    return F.call_function("shiftleft", a, n.cast("int"))
+
+
 def rgb_to_ycbcr(r: Column, g: Column, b: Column) -> dict[str, Column]:
     """Luma is shifted by -128."""
     return {
@@ -49,13 +53,13 @@ def ssss(v: Column) -> Column:
 
 def ssss_encode(size: Column, v: Column) -> Column:
     """The bits that stand for v in its category, as a number."""
-    return F.when(v > 0, v).otherwise(v - 1 + F.shiftleft(F.lit(1), size)).cast("int")
+    return F.when(v > 0, v).otherwise(v - 1 + _shl(F.lit(1), size)).cast("int")
 
 
 def ssss_decode(size: Column, bits: Column) -> Column:
     """The value that a category's bits stand for; category 0 is zero."""
-    half = F.shiftleft(F.lit(1), F.greatest(size - 1, F.lit(0)))
-    return F.when(size == 0, 0).when(bits < half, bits - F.shiftleft(F.lit(1), size) + 1).otherwise(bits).cast("int")
+    half = _shl(F.lit(1), F.greatest(size - 1, F.lit(0)))
+    return F.when(size == 0, 0).when(bits < half, bits - _shl(F.lit(1), size) + 1).otherwise(bits).cast("int")
 
 
 def is_eob(run: Column, size: Column) -> Column:

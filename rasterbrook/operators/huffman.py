@@ -29,8 +29,9 @@ def by_frequency(counts: DataFrame, by: list[str], symbol: str = "symbol") -> Da
 def canonical(lengths: DataFrame, by: list[str]) -> DataFrame:
     """(by, ord, len, symbol) with code: a running sum of the code space that shorter codes take."""
     w = Window.partitionBy(*by).orderBy("len", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    space = F.shiftleft(F.lit(1), MOST_BITS - F.col("len"))
-    return lengths.withColumn("code", F.shiftright(F.coalesce(F.sum(space).over(w), F.lit(0)), MOST_BITS - F.col("len")))
+    free = F.lit(MOST_BITS) - F.col("len")
+    space = F.call_function("shiftleft", F.lit(1), free)
+    return lengths.withColumn("code", F.call_function("shiftright", F.coalesce(F.sum(space).over(w), F.lit(0)), free))
 
 
 def length_histogram(lengths: DataFrame, by: list[str]) -> DataFrame:
@@ -40,8 +41,9 @@ def length_histogram(lengths: DataFrame, by: list[str]) -> DataFrame:
 
 def prefix_table(codes: DataFrame, by: list[str]) -> DataFrame:
     """(by, prefix, len, symbol): each 16-bit word's code, for decoding by equi-join."""
-    first = F.shiftleft("code", MOST_BITS - F.col("len"))
-    span = F.shiftleft(F.lit(1), MOST_BITS - F.col("len")) - 1
+    free = F.lit(MOST_BITS) - F.col("len")
+    first = F.call_function("shiftleft", F.col("code"), free)
+    span = F.call_function("shiftleft", F.lit(1), free) - 1
     return codes.select(*by, F.explode(F.sequence(first, first + span)).alias("prefix"), "len", "symbol")
 
 
