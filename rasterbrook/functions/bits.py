@@ -118,3 +118,13 @@ def bits_to_hex(bits: Column) -> Column:
     padded = F.rpad(bits, size, "1")
     pieces = F.filter(F.split(padded, "(?<=\\G.{8})"), lambda x: x != "")
     return F.array_join(F.transform(pieces, lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), "")
+
+
+def words(text: Column) -> Column:
+    """The pieces of a text between runs of blanks; none is empty."""
+    return F.filter(F.split(text, " "), lambda x: x != "")
+
+
+def error_in(context: str, inner: Column) -> Column:
+    """An error's text behind what was being done; null without an error."""
+    return F.when(inner.isNotNull(), F.concat_ws(": ", F.lit(context), inner))

@@ -1,6 +1,5 @@
 """Queries over the driver's tables, each with the SQL it is held against."""
 
-from __future__ import annotations
+from rasterbrook.plans.queries import ORACLES, QUERIES, flagship
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES", "flagship"]
