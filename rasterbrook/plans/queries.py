@@ -178,9 +178,8 @@ QTABLE = f"""base AS (SELECT 'luma' AS name, generate_subscripts(l, 1) - 1 AS k,
     + "SELECT name, quality, k, round(greatest(1, least(255, base * CAST(CASE WHEN c < 50 THEN 5000 // c ELSE 200 - 2 * c END AS DOUBLE) / 100.0))) AS q FROM base, (SELECT quality, greatest(1, least(100, quality)) AS c FROM range(0, 103) r(quality))",
 )
 def qtable_scale(spark, sf_dir):
-    quality = spark.range(0, 103).withColumnRenamed("id", "quality")
-    steps = F.broadcast(tables.quant_df(spark)).select(F.array(F.struct("name", "k", "base")).alias("x"))
-    return quality.crossJoin(steps).select("quality", F.explode("x").alias("x")).select("x.name", "quality", "x.k", codec.quant_step(F.col("x.base"), F.col("quality")).alias("q"))
+    rows = tables.quant_df(spark).select("*", F.explode(F.sequence(F.lit(0), F.lit(102))).alias("quality"))
+    return rows.select("name", "quality", "k", codec.quant_step(F.col("base"), F.col("quality")).alias("q"))
 
 
 @query("vec_id:l k:l v:l", _with(*QUANTISED) + "SELECT vec_id, k, v FROM quant")
@@ -488,9 +487,10 @@ def _placed(spark, sf_dir):
     """Blocks of a label as an image 60 pixels wide, in 2x2 MCUs, tall enough for the largest label's."""
     w = Window.partitionBy("label").orderBy("vec_id")
     df = blk(spark, sf_dir).withColumn("i", F.row_number().over(w) - 1)
-    tallest = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
-    df = df.crossJoin(F.broadcast(tallest)).withColumns({"mcu": F.expr("i div 4"), "block_": F.col("i") % 4, "h": F.lit(2), "v": F.lit(2), "width": F.lit(60), "height": F.expr("(((n - 1) div 4 + 4) div 4) * 16")})
-    df = df.withColumnRenamed("block", "samples").withColumnRenamed("block_", "block").drop("n", "i")
+    tallest = table(spark, sf_dir, "embeddings").groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    height = ((tallest - 1) // 4 + 4) // 4 * 16
+    df = df.withColumns({"mcu": F.expr("i div 4"), "block_": F.col("i") % 4, "h": F.lit(2), "v": F.lit(2), "width": F.lit(60), "height": F.lit(height)})
+    df = df.withColumnRenamed("block", "samples").withColumnRenamed("block_", "block").drop("i")
     return blocks.mcu_to_raster(df)
 
 
@@ -539,9 +539,8 @@ def swap_pixels(spark, sf_dir):
 )
 def table_version_asof(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.lit(1).alias("image"), F.col("user_id").alias("slot"), F.col("event_id").alias("offset"), "event_type")
-    scan = events.agg(F.min("event_type").alias("kind"))
-    marked = events.crossJoin(F.broadcast(scan)).withColumn("is_scan", F.col("event_type") == F.col("kind"))
-    found = segments.table_version(marked.filter("is_scan").select("image", "slot", "offset"), marked.filter("NOT is_scan").select("image", "slot", "offset"), ["image"], "slot")
+    is_scan = F.col("event_type") == F.lit(events.agg(F.min("event_type")).first()[0])
+    found = segments.table_version(events.filter(is_scan).select("image", "slot", "offset"), events.filter(~is_scan).select("image", "slot", "offset"), ["image"], "slot")
     return found.select(F.col("slot").alias("user_id"), F.col("offset").alias("event_id"), "version")
 
 
