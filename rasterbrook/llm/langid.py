@@ -4,8 +4,8 @@ Features are character 1- to ORDER-grams of the lower-cased text, anything but
 letters read as a blank, hashed to 2^BITS places; a place weighs
 log(1 + count) times its inverse document frequency, and a text's vector has
 length one. Document frequencies come from all training rows. The classifier
-is fitted on the driver, on about SAMPLE rows of each language drawn by hash
-(the documented bound; rows with equal hashes count once), with
+is fitted on the driver, on about SAMPLE rows of each language, SAMPLE_TOTAL in all,
+drawn by hash (the documented bound; rows with equal hashes count once), with
 follow-the-regularised-leader steps under L1 and L2 penalties. A fifth of the
 sample is kept for the temperature that the logits are divided by, chosen for
 least negative log-likelihood.
@@ -32,6 +32,7 @@ from rasterbrook.llm.common import chunks, fold, table
 BITS = 15
 ORDER = 3
 SAMPLE = 800
+SAMPLE_TOTAL = 20_000
 MOST_LANGS = 200
 EPOCHS = 3
 #: FTRL's step sizes and the elastic net.
@@ -167,15 +168,30 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], np.zeros(1 << BITS))
     df, n = _document_frequencies(rows)
     model = Model(langs, np.log((1 + n) / (1 + df)) + 1)
+    sample = min(sample, max(20, SAMPLE_TOTAL // len(langs)))
     # a row is drawn if its hash falls into the first sample / count of all hashes
     rate = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample / r["count"]))) for r in counts))
     drawn = rows.withColumn("h", F.xxhash64(F.lit("sample"), "doc_id", "text")).filter((F.shiftrightunsigned("h", 11) / float(1 << 53)) < rate)
     drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("h", "lang").limit(2 * sample * len(langs))
     order = {name: i for i, name in enumerate(langs)}
-    model.fit([(*features(r.text), order[r.lang]) for r in drawn.collect() if has_letter(r.text)])
+    vectors = sorted(_vectors(drawn).collect(), key=lambda r: (r.h, r.lang))
+    model.fit([(np.frombuffer(r.places, "<i4"), np.frombuffer(r.counts, "<i4"), order[r.lang]) for r in vectors])
     return model
 
 
+def _vectors(rows: DataFrame) -> DataFrame:
+    """(lang, h, places, counts) of (lang, h, text) with a letter: what is sent to the driver is bounded however long the texts are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            kept = [i for i, t in enumerate(texts) if has_letter(t)]
+            found = [features(texts[i]) for i in kept]
+            columns = [pa.array([x[j].astype("<i4").tobytes() for x in found], pa.binary()) for j in (0, 1)]
+            yield pa.record_batch([*(part.column(c).take(pa.array(kept, pa.int64())) for c in ("lang", "h")), *columns], names=["lang", "h", "places", "counts"])
+
+    return rows.mapInArrow(run, "lang string, h long, places binary, counts binary")
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row, lang_pred, score): row is a struct of all columns of docs."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
