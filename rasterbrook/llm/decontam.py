@@ -126,11 +126,15 @@ def mark(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             out: list[list] = [[], [], [], [], []]
-            for text in texts:
-                found, names = words(text), set()
-                hit = np.zeros(len(found), bool)
-                for s in shipped:
-                    s.value.scan(found, hit, names)
+            state = [(found, np.zeros(len(found), bool), set()) for found in map(words, texts)]
+            for s in shipped:
+                own = s.value
+                for found, hit, names in state:
+                    own.scan(found, hit, names)
+                del own
+                if len(shipped) > 1:
+                    s.__dict__.pop("_value", None)  # one slice in memory at a time; it is read again from the broadcast's file
+            for text, (found, hit, names) in zip(texts, state, strict=True):
                 n = int(hit.sum())
                 row = (len(found), n, sorted(x for x in names if x is not None), _spans(text, hit) if n else [], n > 0 and share * n >= len(found))
                 for column, value in zip(out, row, strict=True):
