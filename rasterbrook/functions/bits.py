@@ -32,6 +32,21 @@ def le_int32(data: Column, at: Column | int) -> Column:
     return F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v)
 
 
+def hex_uint(hexadecimal: Column) -> Column:
+    """Number of a string of at most 15 hexadecimal digits."""
+    return F.conv(hexadecimal, 16, 10).cast("long")
+
+
+def hex_words(data: Column, n: int) -> Column:
+    """All whole words of n bytes, each in hexadecimal, as an array."""
+    return F.regexp_extract_all(F.hex(data), F.lit("." * (2 * n)), F.lit(0))
+
+
+def reversed_hex(hexadecimal: Column) -> Column:
+    """The bytes of a 4-byte word in the other order."""
+    return F.concat(*(F.substring(hexadecimal, i, 2) for i in (7, 5, 3, 1)))
+
+
 def byte_at(data: Column, at: Column | int) -> Column:
     return be_uint(data, at, 1)
 

@@ -277,7 +277,7 @@ def symbols_by_frequency(spark, sf_dir):
     return huffman.by_frequency(huffman.histogram(symbols(spark, sf_dir), ["label"]), ["label"])
 
 
-BYTES = "hx AS (SELECT row_number() OVER () AS rid, source, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), byt AS (SELECT source, CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT) AS symbol FROM (SELECT source, h, unnest(range(length(h) // 2)) AS i FROM hx))"
+BYTES = "hx AS (SELECT row_number() OVER () AS rid, source, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), byt AS (SELECT source, CAST(('0x' || x) AS BIGINT) AS symbol FROM (SELECT source, unnest(regexp_extract_all(h, '..')) AS x FROM hx))"
 
 
 def _byte_counts(spark, sf_dir):
@@ -357,24 +357,22 @@ def bit_places(spark, sf_dir):
 
 @query(
     "doc_id:l n_words:l be_sum:l le_sum:l be16_sum:l swapped_sum:l",
-    "WITH hx AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), w AS (SELECT rid, doc_id, substr(h, 8 * i + 1, 8) AS x FROM (SELECT rid, doc_id, h, unnest(range(length(h) // 8)) AS i FROM hx)) "
+    "WITH hx AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), w AS (SELECT rid, doc_id, unnest(regexp_extract_all(h, '.{8}')) AS x FROM hx) "
     "FINALLY SELECT doc_id, count(*) AS n_words, sum(CAST(('0x' || x) AS BIGINT)) AS be_sum, sum(CAST(('0x' || substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2)) AS BIGINT)) AS le_sum, "
     "sum(CAST(('0x' || substr(x, 1, 4)) AS BIGINT)) AS be16_sum, sum(CAST(('0x' || substr(x, 3, 2) || substr(x, 1, 2)) AS BIGINT)) AS swapped_sum FROM w GROUP BY rid, doc_id",
 )
 def le_be_integers(spark, sf_dir):
     """All whole 32-bit words of each text; they are cut out in place, so no word becomes a row."""
-    data = F.col("data")
-    at = F.transform(F.sequence(F.lit(0), F.expr("octet_length(data) div 4 - 1").cast("int")), lambda i: i * 4)
-    total = lambda f: F.aggregate(at, F.lit(0).cast("long"), lambda a, i: a + f(i))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data")).filter(F.octet_length("data") >= 4)
-    be16 = lambda i: bits.be_uint(data, i, 2)
+    data = F.col("text").cast("binary")
+    rows = table(spark, sf_dir, "documents").filter(F.octet_length(data) >= 4).select("doc_id", bits.hex_words(data, 4).alias("w"))
+    total = lambda f: F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + bits.hex_uint(f(x)))
     return rows.select(
         "doc_id",
-        F.expr("octet_length(data) div 4").alias("n_words"),
-        total(lambda i: bits.be_uint(data, i, 4)).alias("be_sum"),
-        total(lambda i: bits.le_uint(data, i, 4)).alias("le_sum"),
-        total(be16).alias("be16_sum"),
-        total(lambda i: bits.swap_bytes(be16(i))).alias("swapped_sum"),
+        F.size("w").alias("n_words"),
+        total(lambda x: x).alias("be_sum"),
+        total(bits.reversed_hex).alias("le_sum"),
+        total(lambda x: F.substring(x, 1, 4)).alias("be16_sum"),
+        F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + bits.swap_bytes(bits.hex_uint(F.substring(x, 1, 4)))).alias("swapped_sum"),
     )
 
 
