@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op5_benchmark_decontamination": decontam.ORACLE_SQL,
+    "op8_sharding": sharding.ORACLE_SQL,
 }

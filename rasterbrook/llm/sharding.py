@@ -31,6 +31,8 @@ SEED = 20_240_601
 #: Rows that a bucket holds about, until there are 2^MOST_BITS buckets.
 BUCKET_ROWS = 256
 MOST_BITS = 13
+#: Bits of the seeded hash.
+KEY_BITS = 60
 
 
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -42,11 +44,13 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("stratum"),
         *([F.struct(*carry).alias("carried")] if carry else []),
-    ).withColumn("key", F.xxhash64(F.lit(seed), "id", "text_crc32"))
+    )
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")).cast("binary"))
+    base = base.withColumn("key", F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long"))
     base = cut(base)
     total = base.count()
     bits = min(MOST_BITS, max(0, ceil(log2(max(1, total) / BUCKET_ROWS))))
-    base = base.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0))
+    base = base.withColumn("bucket", F.shiftright("key", KEY_BITS - bits).cast("int") if bits else F.lit(0))
     ties = ["key", "id", "size", "text_crc32"]
 
     counts = base.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
@@ -83,3 +87,18 @@ def write_shards(docs: DataFrame, path: str, **options) -> None:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = interleave(table(spark, sf_dir, "documents"))
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_TABLE_SQL = "SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b : CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n))"
+
+ORACLE_SQL = f"""
+WITH tab AS ({_TABLE_SQL}),
+hx AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, source, length(h) // 2 + 1 AS size, list_transform(regexp_extract_all(h, '..'), lambda x : CAST(('0x' || x) AS BIGINT)) AS l FROM hx),
+c AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295, l), lambda a, x : xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS crc FROM b, tab),
+k AS (SELECT *, coalesce('=' || source, '') AS stratum, CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(crc AS VARCHAR)), 1, {KEY_BITS // 4})) AS BIGINT) AS key FROM c),
+r AS (SELECT *, 2 * row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id, size, crc) - 1 AS twice, count(*) OVER (PARTITION BY stratum) AS n FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY CAST(twice AS DOUBLE) / n, stratum, key, doc_id, size, crc) - 1 AS place, count(*) OVER () AS total FROM r),
+s AS (SELECT *, place * {SHARDS} // total AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(place - (shard * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""

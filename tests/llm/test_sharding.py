@@ -1,7 +1,8 @@
+import hashlib
 import zlib
-from collections import Counter
+from collections import Counter, namedtuple
 
-from helpers import empty, odd
+from helpers import check_sql, empty, odd
 
 from rasterbrook.llm import sharding
 
@@ -26,12 +27,18 @@ def test_whole_table(spark, sf_dir):
         assert all(abs(mix[k] - n / 16) <= 1 for k, n in whole.items())
 
 
-def naive(docs, shards, seed, spark):
-    """Ranks inside each source, fractions and cuts, in plain Python; the seeded hash is Spark's."""
-    rows = docs.selectExpr("doc_id", "coalesce(concat('=', source), '') AS s", "crc32(cast(coalesce(text, '') AS binary)) AS c").selectExpr("*", f"xxhash64({seed}, doc_id, c) AS k").collect()
+def test_against_sql(spark, tiny_dir):
+    check_sql(spark, sharding.query, sharding.ORACLE_SQL, tiny_dir, ["documents"])
+
+
+def naive(docs, shards, seed):
+    """Ranks inside each source, fractions and cuts, in plain Python."""
+    Row = namedtuple("Row", "doc_id s k")
+    key = lambda r: int(hashlib.md5(f"{seed}:{r.doc_id}:{zlib.crc32((r.text or '').encode())}".encode()).hexdigest()[:15], 16)
+    rows = [Row(r.doc_id, "" if r.source is None else "=" + r.source, key(r)) for r in docs.collect()]
     whole = Counter(r.s for r in rows)
     rank, order = Counter(), []
-    for r in sorted(rows, key=lambda r: (r.k % 2**64, r.doc_id)):
+    for r in sorted(rows, key=lambda r: (r.k, r.doc_id)):
         rank[r.s] += 1
         order.append(((2 * rank[r.s] - 1) / whole[r.s], r.s, r.k, r.doc_id))
     order.sort()
@@ -47,7 +54,7 @@ def test_against_plain_ranks_with_a_hot_source(spark, tiny_dir, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 10)
     docs = spark.read.parquet(f"{tiny_dir}/documents.parquet").selectExpr("doc_id", "text", "CASE WHEN doc_id % 3 = 0 THEN 'hot' ELSE source END AS source")
     got = sorted((r.doc_id, r.shard, r.slot) for r in sharding.interleave(docs, 7, 5).collect())
-    assert got == naive(docs, 7, 5, spark)
+    assert got == naive(docs, 7, 5)
 
 
 def test_odd_rows_and_empty(spark, tmp_path):
