@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return found.select("path", bits.file_signature(F.col("content")).alias("format"), "length", "content")
 
 
+#: Bytes of values that are gathered before they are sent on, and of files that are decoded together.
+HELD_BYTES = 8 << 20
+
+
 def _map(df: DataFrame, columns: list[str], fields: dict[str, tuple[str, pa.DataType]], each: Callable[..., list[tuple]]) -> DataFrame:
     """df's other columns and the fields, a row for each tuple that each(*columns' values) returns."""
     rest = [c for c in df.columns if c not in columns and c not in fields]
@@ -28,11 +33,25 @@ def _map(df: DataFrame, columns: list[str], fields: dict[str, tuple[str, pa.Data
         for batch in batches:
             own = [batch.schema.get_field_index(c) for c in columns]
             kept = batch.select(rest)
+            origin: list[int] = []
+            values: list[list] = [[] for _ in fields]
+            held = 0
+
+            def flush(kept=kept) -> pa.RecordBatch:
+                at = pa.array(origin, pa.int64())
+                return pa.record_batch([*(c.take(at) for c in kept.columns), *(pa.array(v, t) for v, (_, t) in zip(values, fields.values(), strict=True))], names=[*rest, *fields])
+
             for i in range(batch.num_rows):  # a row at a time: an image may be large
-                rows = each(*(batch.column(c)[i].as_py() for c in own))
-                if rows:
-                    values = list(zip(*rows, strict=True))
-                    yield pa.record_batch([*(pa.concat_arrays([c.slice(i, 1)] * len(rows)) for c in kept.columns), *(pa.array(v, t) for v, (_, t) in zip(values, fields.values(), strict=True))], names=[*rest, *fields])
+                for row in each(*(batch.column(c)[i].as_py() for c in own)):
+                    origin.append(i)
+                    for column, value in zip(values, row, strict=True):
+                        column.append(value)
+                        held += len(value) if isinstance(value, bytes) else 8
+                if held > HELD_BYTES:
+                    yield flush()
+                    origin, values, held = [], [[] for _ in fields], 0
+            if origin:
+                yield flush()
 
     return df.select(*rest, *columns).mapInArrow(run, schema)
 
@@ -40,21 +59,47 @@ def _map(df: DataFrame, columns: list[str], fields: dict[str, tuple[str, pa.Data
 IMAGE = {"width": ("int", pa.int32()), "height": ("int", pa.int32()), "data": ("binary", pa.binary()), "error": ("string", pa.string())}
 
 
-def _decoded(content: bytes | None) -> list[tuple]:
-    content = content or b""
-    try:
-        if content[:2] == b"BM":
-            return [(*bmp.decode(content), None)]
+def _decoded(contents: list[bytes | None]) -> list[tuple]:
+    """IMAGE rows of some files; the JPEG files among them are decoded together."""
+    out: list = [None] * len(contents)
+    jpegs = []
+    for i, content in enumerate(contents):
+        content = content or b""
         if content[:3] == b"\xff\xd8\xff":
-            return [(*jpeg.decode(content), None)]
-        return [(None, None, None, "unknown format")]
-    except (ValueError, IndexError) as e:
-        return [(None, None, None, str(e) or type(e).__name__)]
+            jpegs.append(i)
+            continue
+        try:
+            if content[:2] != b"BM":
+                raise ValueError("unknown format")
+            out[i] = (*bmp.decode(content), None)
+        except (ValueError, IndexError) as e:
+            out[i] = (None, None, None, str(e) or type(e).__name__)
+    for i, found in zip(jpegs, jpeg.decode_many([contents[i] for i in jpegs]), strict=True):
+        out[i] = (None, None, None, str(found) or type(found).__name__) if isinstance(found, Exception) else (*found, None)
+    return out
 
 
 def decode(df: DataFrame, content: str = "content") -> DataFrame:
     """df with width, height, data (interleaved RGB) and error in place of content; format by signature, no exchange."""
-    return _map(df, [content], IMAGE, _decoded)
+    rest = [c for c in df.columns if c != content and c not in IMAGE]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema), *(f"{n} {t}" for n, (t, _) in IMAGE.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(content))
+            sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+            start = 0
+            while start < batch.num_rows:
+                end, held = start + 1, sizes[start]
+                while end < batch.num_rows and held + sizes[end] <= HELD_BYTES // 8 and end - start < 1024:
+                    held += sizes[end]
+                    end += 1
+                rows = _decoded(column.slice(start, end - start).to_pylist())
+                part = batch.select(rest).slice(start, end - start)
+                yield pa.record_batch([*part.columns, *(pa.array(v, t) for v, (_, t) in zip(zip(*rows, strict=True), IMAGE.values(), strict=True))], names=[*rest, *IMAGE])
+                start = end
+
+    return df.select(*rest, content).mapInArrow(run, schema)
 
 
 def encode_bmp(images: DataFrame) -> DataFrame:
@@ -74,17 +119,32 @@ def pixels(images: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kept = batch.select(rest)
+
+            def rows(parts: list[tuple[int, int, np.ndarray, int]], kept=kept) -> pa.RecordBatch:
+                """parts: (row, first pixel, pixels, width)."""
+                size = [len(p) for _, _, p, _ in parts]
+                origin = pa.array(np.repeat([i for i, *_ in parts], size))
+                at = np.concatenate([np.arange(a, a + len(p)) for _, a, p, _ in parts])
+                width = np.repeat([w for *_, w in parts], size)
+                rgb = np.concatenate([p for _, _, p, _ in parts])
+                place = [pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32))]
+                return pa.record_batch([*(c.take(origin) for c in kept.columns), *place, *(pa.array(rgb[:, c]) for c in range(3))], names=[*rest, "y", "x", "r", "g", "b"])
+
+            parts, held = [], 0
             for i in range(batch.num_rows):
                 data = batch.column("data")[i].as_py()
                 if data is None:
                     continue
-                width = batch.column("width")[i].as_py()
                 rgb = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int16)
                 for a in range(0, len(rgb), 1 << 16):
-                    part = rgb[a : a + (1 << 16)]
-                    at = np.arange(a, a + len(part))
-                    same = [c.slice(i, 1).take(pa.array(np.zeros(len(part), np.int64))) for c in batch.select(rest).columns]
-                    yield pa.record_batch([*same, pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32)), *(pa.array(part[:, c]) for c in range(3))], names=[*rest, "y", "x", "r", "g", "b"])
+                    parts.append((i, a, rgb[a : a + (1 << 16)], batch.column("width")[i].as_py()))
+                    held += len(parts[-1][2])
+                    if held >= 1 << 16:
+                        yield rows(parts)
+                        parts, held = [], 0
+            if parts:
+                yield rows(parts)
 
     return images.select(*rest, "data").mapInArrow(run, schema)
 

@@ -203,7 +203,8 @@ def decode_segments(parts: list[bytes], n_mcus: list[int], pattern: list[int], d
         where[id(t)] = len(stacks)
         stacks.append(t)
     luts = np.stack(stacks)
-    index = np.array([[[where[id(row[c])] for c in range(3)] for row in kind] for kind in (dc, ac)])
+    seen: dict[int, list[int]] = {}
+    index = np.array([[seen.setdefault(id(row), [where[id(x)] for x in row]) for row in kind] for kind in (dc, ac)])
     most = max(n_mcus)
     want = np.array(n_mcus)
     out = np.zeros((n, most, len(pattern), 64), np.int32)
@@ -259,9 +260,9 @@ def layout(found: dict) -> tuple[list[int], int, int, int, int]:
     return pattern, h, v, -(-wide // (8 * h)), -(-high // (8 * v))
 
 
-def coefficients(found: dict) -> np.ndarray:
-    """(mcus, blocks, 64) in zigzag order."""
-    pattern, _, _, across, down = layout(found)
+def _tasks(found: dict) -> tuple[list, list, list, list]:
+    """Segments, their MCUs, and their look-ups by component, as decode_segments takes them."""
+    _, _, _, across, down = layout(found)
     scan = found["scan"]
     total = across * down
     each = scan["interval"] or total
@@ -270,7 +271,13 @@ def coefficients(found: dict) -> np.ndarray:
         raise ValueError("the number of restart segments is wrong")
     tables_of = {c: (lookup(*d), lookup(*a)) for c, d, a, _ in scan["parts"]}
     rows = [[tables_of[c][kind] for c in range(3)] for kind in (0, 1)]
-    return np.concatenate(decode_segments(scan["segments"], n, pattern, [rows[0]] * len(n), [rows[1]] * len(n)))
+    return scan["segments"], n, [rows[0]] * len(n), [rows[1]] * len(n)
+
+
+def coefficients(found: dict) -> np.ndarray:
+    """(mcus, blocks, 64) in zigzag order."""
+    parts, n, dc, ac = _tasks(found)
+    return np.concatenate(decode_segments(parts, n, layout(found)[0], dc, ac))
 
 
 def to_rgb(found: dict, coded: np.ndarray) -> bytes:
@@ -300,6 +307,37 @@ def decode(data: bytes) -> tuple[int, int, bytes]:
     return found["frame"]["width"], found["frame"]["height"], to_rgb(found, coefficients(found))
 
 
+def decode_many(files: list[bytes]) -> list[tuple[int, int, bytes] | Exception]:
+    """decode of each file, or what it raises; the segments of all files with like MCUs go in step."""
+    out: list = [None] * len(files)
+    groups: dict[tuple[int, ...], list[tuple[int, dict, tuple]]] = {}
+    for i, data in enumerate(files):
+        try:
+            found = parse(data)
+            groups.setdefault(tuple(layout(found)[0]), []).append((i, found, _tasks(found)))
+        except (ValueError, IndexError, struct.error) as e:
+            out[i] = e
+    for pattern, own in groups.items():
+        try:
+            tasks = [t for _, _, task in own for t in zip(*task, strict=True)]
+            parts = decode_segments([t[0] for t in tasks], [t[1] for t in tasks], list(pattern), [t[2] for t in tasks], [t[3] for t in tasks])
+            at = 0
+            for i, found, task in own:
+                mine = parts[at : at + len(task[0])]
+                at += len(task[0])
+                out[i] = found["frame"]["width"], found["frame"]["height"], to_rgb(found, np.concatenate(mine))
+        except ValueError as e:
+            if len(own) == 1:
+                out[own[0][0]] = e
+                continue
+            for i, _, _ in own:  # one of them is broken: each alone
+                try:
+                    out[i] = decode(files[i])
+                except (ValueError, IndexError) as alone:
+                    out[i] = alone
+    return out
+
+
 # Encoding
 
 
