@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python operator holds in decoded form at once.
 CHUNK_BYTES = 4 << 20
 
+#: Rows that Spark hands to Python at once, at most: a batch is held whole, and texts may be long.
+BATCH_ROWS = 1000
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,6 +53,42 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def release() -> None:
+    """Gives freed memory back, which a worker that is kept would hold otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_ROWS rows; memory is given back at a partition's end."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(whole, schema)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list]:
+    """The column text of the batches in lists of about limit bytes, over the batches' bounds."""
+    held: list = []
+    size = 0
+    for _, texts in chunks(batches, limit=limit):
+        held += texts
+        size += sum(len(t) for t in texts if t is not None)
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches with at most about limit bytes of text each (one longer text stands alone), and those texts."""
     for batch in batches:
@@ -63,14 +103,3 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             held += n
         if batch.num_rows > start:
             yield batch.slice(start), column.slice(start).to_pylist()
-
-
-def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list], pa.RecordBatch]], schema: str) -> DataFrame:
-    """Applies make()(slice, texts) to slices of bounded size; df has the column text as string or binary."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for part, texts in chunks(batches):
-            yield work(part, texts)
-
-    return df.mapInArrow(run, schema)

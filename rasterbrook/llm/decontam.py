@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import LOWER, UPPER, chunks, table
+from rasterbrook.llm.common import LOWER, UPPER, chunks, map_batches, table
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -141,7 +141,7 @@ def mark(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
                     column.append(value)
             yield pa.record_batch([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["row", "n_words", "n_hit", "items", "spans", "contaminated"])
 
-    marked = source.mapInArrow(run, schema)
+    marked = map_batches(source, run, schema)
     return marked if keep else marked.withColumnRenamed("row", id_col)
 
 

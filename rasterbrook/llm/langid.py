@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import chunks, fold, table
+from rasterbrook.llm.common import chunks, fold, map_batches, table
 
 BITS = 15
 ORDER = 3
@@ -152,7 +152,7 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["place", "n"])
 
     out = np.zeros((1 << BITS) + 1, np.int64)
-    for r in rows.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+    for r in map_batches(rows.select("text"), run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
         out[r.place] = r.n
     return out[:-1], int(out[-1])
 
@@ -189,7 +189,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
             columns = [pa.array([x[j].astype("<i4").tobytes() for x in found], pa.binary()) for j in (0, 1)]
             yield pa.record_batch([*(part.column(c).take(pa.array(kept, pa.int64())) for c in ("lang", "h")), *columns], names=["lang", "h", "places", "counts"])
 
-    return rows.mapInArrow(run, "lang string, h long, places binary, counts binary")
+    return map_batches(rows, run, "lang string, h long, places binary, counts binary")
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             found = [own.predict(t) for t in texts]
             yield pa.record_batch([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["row", "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return map_batches(source, run, f"row {source.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def trained_on(docs: DataFrame) -> Model:

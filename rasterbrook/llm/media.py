@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import chunks, table
+from rasterbrook.llm.common import chunks, map_batches, table
 
 BLOCK = 64
 #: Blocks of a frame's row, which is a restart interval, and its most rows.
@@ -461,7 +461,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             files = store([pad(t) for t in texts])
             yield pa.record_batch([part.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "media"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_bytes long, media binary")
+    return map_batches(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_bytes long, media binary")
 
 
 CLIPS = "array<struct<clip:int,start_s:double,end_s:double,n_frames:int>>"
@@ -477,7 +477,7 @@ def read_media(files: DataFrame, media_col: str = "media") -> DataFrame:
             yield pa.record_batch([*part.columns, pa.array([p for p, _ in found], pa.binary()), pa.array([c for _, c in found], kind)], names=[*part.schema.names, "payload", "clips"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-    return files.mapInArrow(run, f"{fields}, payload binary, clips {CLIPS}")
+    return map_batches(files, run, f"{fields}, payload binary, clips {CLIPS}")
 
 
 def clip_rows(read: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import chunks, cut, table
+from rasterbrook.llm.common import chunks, cut, map_batches, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for part, texts in chunks(batches):
             yield pa.record_batch([part.column(0), pa.array(fingerprint_batch(texts).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), run, "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -178,6 +178,19 @@ class GrayIndex:
                 stack.append((np.repeat(query, n), kids, np.repeat(seen, n), depth - 1))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The batches' rows in arrays of at least so many, but for the last."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns], axis=1))
+        if sum(map(len, held)) >= least:
+            yield np.concatenate(held)
+            held = []
+    rows = np.concatenate(held) if held else np.zeros((0, 4), np.int64)
+    if len(rows):
+        yield rows
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (t, k, part, fp) to spanning links; whole buckets at a time."""
     held: list[np.ndarray] = []
@@ -193,10 +206,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = codes[pairs[:, 0]], codes[pairs[:, 1]]
         return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    for batch in batches:
-        rows = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns], axis=1)
-        if not len(rows):
-            continue
+    for rows in _gathered(batches):
         ends = np.flatnonzero(np.any(rows[1:, :3] != rows[:-1, :3], axis=1)) + 1
         same = not held or (held[-1][-1, :3] == rows[0, :3]).all()
         if same and not len(ends):
@@ -228,7 +238,7 @@ def _buckets(codes: DataFrame) -> DataFrame:
 def spanning_links(codes: DataFrame) -> DataFrame:
     """(a, b): links among the distinct fingerprints of codes (fp) that span every component."""
     dealt = _buckets(codes).select(F.col("t").cast("long"), "k", "part", "fp")
-    return dealt.repartition("t", "k", "part").sortWithinPartitions("t", "k", "part").mapInArrow(_search, "a long, b long")
+    return map_batches(dealt.repartition("t", "k", "part").sortWithinPartitions("t", "k", "part"), _search, "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import chunks, table
+from rasterbrook.llm.common import chunks, map_batches, table
 from rasterbrook.llm.pretokens import RANKS, load_ranks, splitter
 
 LEAF = 32
@@ -207,7 +207,7 @@ def count_edited(docs: DataFrame, edits: Column, path: str = RANKS, id_col: str
                 edited.append(tree.text())
             yield pa.record_batch([part.column(0), *(pa.array(c, pa.int64()) for c in out), pa.array(edited, pa.string())], names=[id_col, *names, "edited"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}, edited string")
+    return map_batches(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}, edited string")
 
 
 def edit_log(id_col: str = "doc_id", text_col: str = "text") -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import ascii_lower, chunks, cut, table
+from rasterbrook.llm.common import ascii_lower, chunks, cut, map_batches, table
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -76,7 +76,7 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 counts.update(_WORDS.findall(_TAGS.sub(" ", t or "").lower()))
             yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    return pages.select(F.col(html_col).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(pages.select(F.col(html_col).cast("string").alias("text")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Splitter:
@@ -170,7 +170,7 @@ def bayes(parts: DataFrame, names: Splitter) -> Bayes:
         at = np.flatnonzero(counts.any(axis=1))
         yield pa.record_batch([pa.array(np.append(at, -1)), *(pa.array(np.append(counts[at, k], docs[k])) for k in (0, 1))], names=["place", "allow", "block"])
 
-    rows = parts.filter("ruling IS NOT NULL").select("host", "path", "ruling").mapInArrow(run, "place long, allow long, block long").groupBy("place").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
+    rows = map_batches(parts.filter("ruling IS NOT NULL").select("host", "path", "ruling"), run, "place long, allow long, block long").groupBy("place").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
     counts, docs = np.zeros((1 << BITS, 2)), np.zeros(2)
     for r in rows:
         if r.place < 0:
@@ -196,7 +196,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             verdict = [r or ("block" if x > 0.5 else "allow") for r, x in zip(batch.column(4).to_pylist(), p, strict=True)]
             yield pa.record_batch([*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(p, pa.float64()), pa.array(words, pa.list_(pa.string()))], names=["page_id", "host", "path", "rule", "verdict", "p_block", "words"])
 
-    return parts.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, p_block double, words array<string>")
+    return map_batches(parts, run, f"page_id {kind}, host string, path string, rule string, verdict string, p_block double, words array<string>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
