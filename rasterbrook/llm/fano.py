@@ -8,14 +8,34 @@ import uuid
 
 import numpy as np
 
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
-#: Place of the r-th one of a byte.
-_PLACE = np.zeros((256, 8), np.uint8)
+#: Place of the r-th one of a byte, at r << 8 | byte.
+_PLACE = np.zeros(8 << 8, np.uint64)
 for _b in range(256):
     for _r, _p in enumerate(i for i in range(8) if _b >> i & 1):
-        _PLACE[_b, _r] = _p
-#: Bits between entries of the directory of ones.
-STEP = 512
+        _PLACE[_r << 8 | _b] = _p
+
+
+def _each(byte: int) -> np.uint64:
+    return np.uint64(int.from_bytes(bytes([byte]) * 8, "little"))
+
+
+_X55, _X33, _X0F, _X01, _X80 = map(_each, (0x55, 0x33, 0x0F, 0x01, 0x80))
+
+
+def select_in_word(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Place of the r-th one (from 0) of each 64-bit word, by sums inside the word."""
+    u = np.uint64
+    sums = x - (x >> u(1) & _X55)
+    sums = (sums & _X33) + (sums >> u(2) & _X33)
+    sums = (sums + (sums >> u(4)) & _X0F) * _X01  # ones up to and with each byte
+    r = r.astype(u)
+    place = np.bitwise_count((r * _X01 | _X80) - sums & _X80).astype(u) << u(3)
+    rank = r - (sums << u(8) >> place & u(255))
+    return (place + _PLACE[rank << u(8) | x >> place & u(255)]).astype(np.int64)
+
+
+#: Questions answered together; their intermediate arrays stay small.
+BLOCK = 1 << 15
 
 
 def encode(values: np.ndarray, universe: int, name: str) -> tuple[dict[str, np.ndarray], dict]:
@@ -31,11 +51,11 @@ def encode(values: np.ndarray, universe: int, name: str) -> tuple[dict[str, np.n
     low = np.concatenate([*packed, np.zeros(8, np.uint8)])
     place = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
     size = n + (int(universe) >> width) + 2
-    size += -size % STEP
+    size += -size % 64
     bits = np.zeros(size, np.uint8)
     bits[place] = 1
-    ones = np.concatenate(([0], np.cumsum(np.add.reduceat(bits, np.arange(0, size, STEP), dtype=np.int64))))
-    high = np.packbits(bits, bitorder="little")
+    high = np.packbits(bits, bitorder="little").view(np.uint64)
+    ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64))).astype(np.uint32)
     return {f"{name}.low": low, f"{name}.high": high, f"{name}.ones": ones}, {f"{name}.width": width, f"{name}.n": n}
 
 
@@ -46,40 +66,41 @@ class Sequence:
         self.width, self.n = facts[f"{name}.width"], facts[f"{name}.n"]
         low = arrays[f"{name}.low"]
         self.low = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))  # eight bytes from each byte on
-        self.high = arrays[f"{name}.high"].reshape(-1, STEP // 8)
-        self.ones = arrays[f"{name}.ones"]
-        self.zeros = np.arange(len(self.ones)) * STEP - self.ones
+        self.high = arrays[f"{name}.high"]
+        self.ones = arrays[f"{name}.ones"]  # before each word
+        self.zeros = None
 
-    def _select(self, directory: np.ndarray, i: np.ndarray, flip: int) -> np.ndarray:
+    def _select(self, i: np.ndarray, flip: bool) -> np.ndarray:
         """Place of the i-th one, or with flip the i-th zero, in the high bits."""
-        block = np.searchsorted(directory, i, "right") - 1
-        rest = i - directory[block]
-        data = self.high[block].view(np.uint64) ^ np.uint64(0xFFFFFFFFFFFFFFFF if flip else 0)
-        upto = np.cumsum(np.bitwise_count(data), axis=1, dtype=np.int64)
-        word = (upto <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(i))
-        rest = rest - np.where(word > 0, upto[row, np.maximum(word - 1, 0)], 0)
-        data = np.ascontiguousarray(data[row, word]).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_ONES[data], axis=1, dtype=np.int64)
-        byte = (upto <= rest[:, None]).sum(axis=1)
-        rest = rest - np.where(byte > 0, upto[row, np.maximum(byte - 1, 0)], 0)
-        return block * STEP + word * 64 + byte * 8 + _PLACE[data[row, byte], rest]
+        if flip and self.zeros is None:
+            self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        before = self.zeros if flip else self.ones
+        word = np.searchsorted(before, i.astype(before.dtype), "right") - 1
+        data = self.high[word]
+        return word * 64 + select_in_word(~data if flip else data, i - before[word])
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         at = i * self.width
         return (self.low[at >> 3] >> (at & 7).astype(np.uint64) & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        if not len(i):
-            return np.zeros(0, np.int64)
-        return (self._select(self.ones, i, 0) - i << self.width) + self._low(i)
+        out = np.zeros(len(i), np.int64)
+        for a in range(0, len(i), BLOCK):
+            part = i[a : a + BLOCK]
+            out[a : a + BLOCK] = (self._select(part, False) - part << self.width) + self._low(part)
+        return out
 
     def find(self, x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Index of x among those from first to end, or -1; x is not repeated there."""
-        if not len(x):
-            return np.zeros(0, np.int64)
+        out = np.zeros(len(x), np.int64)
+        for a in range(0, len(x), BLOCK):
+            b = a + BLOCK
+            out[a:b] = self._find(x[a:b], first[a:b], end[a:b])
+        return out
+
+    def _find(self, x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = x >> self.width
-        both = self._select(self.zeros, np.concatenate((np.maximum(h - 1, 0), h)), 1)
+        both = self._select(np.concatenate((np.maximum(h - 1, 0), h)), True)
         lo = np.maximum(np.where(h > 0, both[: len(h)] - (h - 1), 0), first)
         hi = np.minimum(both[len(h) :] - h, end)
         want = x & ((1 << self.width) - 1)

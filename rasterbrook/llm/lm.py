@@ -8,9 +8,9 @@ context of a text's first word.
 
 Trie. Words have ids in order of their hash. A level holds the n-grams of one
 order sorted by context node, then by successor; its pointers (where each
-context's successors begin) and its successors (made monotone by adding each
-list's start value) are Elias-Fano sequences, and its probability and backoff
-weight are quantised to STEP_LOG. Above order two a successor is kept as its
+context's successors begin), its successors (made monotone by adding each
+list's start value) and its running counts (of which backoff weights follow)
+are Elias-Fano sequences, and its probabilities are quantised to STEP_LOG. Above order two a successor is kept as its
 rank among the successors of the shorter context, so a question walks down by
 context-relative search. Levels are cut into shards of about SHARD_TOKENS
 occurrences by a monotone function of context and successor, so that a
@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterbrook.llm import fano
-from rasterbrook.llm.common import chunks, fold, shared_dir, table
+from rasterbrook.llm.common import chunks, fold, map_batches, shared_dir, table, text_slices
 
 ORDER = 3
 #: Weight of the shorter context, by order.
@@ -105,7 +105,8 @@ def _vocabulary(path: str) -> dict:
 @lru_cache(maxsize=4096)
 def _level(path: str) -> tuple:
     arrays, facts = fano.read(path)
-    return facts["first"], facts["contexts"], fano.Sequence(arrays, facts, "pointers"), fano.Sequence(arrays, facts, "successors"), arrays
+    sums = fano.Sequence(arrays, facts, "sums") if "sums.n" in facts else None
+    return facts["first"], facts["contexts"], fano.Sequence(arrays, facts, "pointers"), fano.Sequence(arrays, facts, "successors"), sums, arrays["logp"]
 
 
 class Trie:
@@ -149,10 +150,15 @@ class Trie:
         """Count of nodes of order k, and occurrences of the nodes before each."""
         counts, before = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
         for s, own in _grouped(np.searchsorted(self.offsets[k - 1], nodes, "right") - 1):
-            a = _vocabulary(f"{self.folder}/words/{s}") if k == 1 else _level(f"{self.folder}/{k}/{s}")[4]
             at = nodes[own] - self.offsets[k - 1][s]
-            counts[own] = a["sum"][at + 1].astype(np.int64) - a["sum"][at]
-            before[own] = a["sum"][at] + self.before[k - 1][s]
+            if k == 1:
+                sums = _vocabulary(f"{self.folder}/words/{s}")["sum"]
+                low, high = sums[at], sums[at + 1]
+            else:
+                sums = _level(f"{self.folder}/{k}/{s}")[4]
+                low, high = sums.get(at), sums.get(at + 1)
+            counts[own] = high - low
+            before[own] = low + self.before[k - 1][s]
         return counts, before
 
     def shard(self, count: np.ndarray, before: np.ndarray, word_before: np.ndarray) -> np.ndarray:
@@ -160,39 +166,41 @@ class Trie:
         place = before + (count * (word_before / max(1, self.tokens))).astype(np.int64)
         return np.minimum(place * self.shards // max(1, self.tokens), self.shards - 1)
 
-    def find(self, k: int, context: np.ndarray, count: np.ndarray, before: np.ndarray, word_before: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Node of order k (or -1), its log10 probability and backoff, and the node at which its context's successors begin."""
+    def find(self, k: int, context: np.ndarray, count: np.ndarray, before: np.ndarray, word_before: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Node of order k (or -1), its log10 probability, and the node at which its context's successors begin."""
         n = len(context)
-        node, logp, backoff, start = np.full(n, -1), np.zeros(n), np.zeros(n), np.full(n, -1)
+        node, logp, start = np.full(n, -1), np.zeros(n), np.full(n, -1)
         shard = self.shard(count, before, word_before)
         home = self.shard(count, before, np.zeros(n, np.int64))
         for s, own in _grouped(shard):
             if self.offsets[k - 1][s + 1] == self.offsets[k - 1][s]:
                 continue
-            first, contexts, pointers, successors, arrays = _level(f"{self.folder}/{k}/{s}")
+            first, contexts, pointers, successors, _, quantities = _level(f"{self.folder}/{k}/{s}")
             local = context[own] - first
             inside = (local >= 0) & (local < contexts)
             own, local = own[inside], local[inside]
-            ends = pointers.get(np.concatenate((local, local + 1)))
-            lo, hi = ends[: len(own)], ends[len(own) :]
-            some = lo < hi
-            own, lo, hi = own[some], lo[some], hi[some]
-            base = np.zeros(len(own), np.int64)
-            later = lo > 0
+            # once for each run of questions with the same context
+            fresh = np.flatnonzero(np.r_[True, local[1:] != local[:-1]]) if len(own) else own
+            runs = np.diff(np.r_[fresh, len(own)])
+            ends = pointers.get(np.concatenate((local[fresh], local[fresh] + 1)))
+            lo, hi = ends[: len(fresh)], ends[len(fresh) :]
+            base = np.zeros(len(fresh), np.int64)
+            later = (lo > 0) & (lo < hi)
             base[later] = successors.get(lo[later] - 1)
+            lo, hi, base = (np.repeat(x, runs) for x in (lo, hi, base))
+            some = lo < hi
+            own, lo, hi, base = own[some], lo[some], hi[some], base[some]
             at = successors.find(base + 1 + successor[own], lo, hi)
             start[own] = lo + self.offsets[k - 1][s]
             hit = at >= 0
             own, at = own[hit], at[hit]
             node[own] = at + self.offsets[k - 1][s]
-            logp[own] = _logs(arrays["logp"][at])
-            if "backoff" in arrays:
-                backoff[own] = _logs(arrays["backoff"][at])
+            logp[own] = _logs(quantities[at])
         # a context that is spread over shards begins in an earlier one
         spread = np.flatnonzero((home != shard) & (node >= 0))
         if len(spread):
             start[spread] = self._begin(k, context[spread], home[spread], shard[spread], start[spread])
-        return node, logp, backoff, start
+        return node, logp, start
 
     def _begin(self, k: int, context: np.ndarray, home: np.ndarray, shard: np.ndarray, start: np.ndarray) -> np.ndarray:
         start = start.copy()
@@ -201,7 +209,7 @@ class Trie:
         for i, (c, h, s) in enumerate(pairs.tolist()):
             for x in range(h, s):
                 if self.offsets[k - 1][x + 1] > self.offsets[k - 1][x]:
-                    first, contexts, pointers, _, _ = _level(f"{self.folder}/{k}/{x}")
+                    first, contexts, pointers, *_ = _level(f"{self.folder}/{k}/{x}")
                     if 0 <= c - first < contexts:
                         lo, hi = pointers.get(np.array([c - first, c - first + 1])).tolist()
                         if lo < hi:
@@ -212,76 +220,94 @@ class Trie:
 
 def _grouped(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each key and the places that have it."""
-    order = np.argsort(keys, kind="stable")
-    cuts = np.flatnonzero(np.diff(keys[order])) + 1
+    steps = np.diff(keys)
+    if (steps >= 0).all():
+        order, cuts = np.arange(len(keys)), np.flatnonzero(steps) + 1
+    else:
+        order = np.argsort(keys, kind="stable")
+        cuts = np.flatnonzero(np.diff(keys[order])) + 1
     for own in np.split(order, cuts):
         if len(own):
             yield int(keys[own[0]]), own
 
 
+def _distinct(context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs: the order in which they ascend, and where in it each distinct pair begins, and how often it occurs."""
+    if not len(context):
+        return context, context, context
+    low, least = successor.min(), context.min()
+    if context.max() - least < 1 << 31 and successor.max() - low < 1 << 32:  # as one number
+        key = (context - least) << 32 | (successor - low)
+        order = np.argsort(key)
+        key = key[order]
+        fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    else:
+        order = np.lexsort((successor, context))
+        c, s = context[order], successor[order]
+        fresh = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])])
+    return order, fresh, np.diff(np.r_[fresh, len(order)])
+
+
 class Stream:
     """The tokens of some texts: an end, then each text's words and its end."""
 
     def __init__(self, texts: list[bytes | None]):
-        known: dict[bytes, int] = {b"\n": 0}
-        code: list[int] = [0]
+        flat = [b"\n"]
         self.sizes = []
         for t in texts:
             words = (t or b"").lower().split()
-            code += [known.setdefault(w, len(known)) for w in words]
-            code.append(0)
+            flat += words
+            flat.append(b"\n")
             self.sizes.append(len(words) + 1)
-        self.code = np.array(code)
-        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)
+        known = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        self.code = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        self.hashes = np.array(list(map(xxhash.xxh64_intdigest, known)), np.uint64)
 
-    def walk(self, trie: Trie, order: int) -> tuple[np.ndarray, np.ndarray, list]:
-        """Counts of all tokens, their log10 probabilities by n-grams up to order, and (node, start, logp, count, before) of each order found."""
+    def walk(self, trie: Trie, order: int, more: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+        """Counts of all tokens, their log10 probabilities by n-grams up to order, and of each order (node, start, logp, count, before); the last order's counts only with more."""
         ids, counts, before = (x[self.code] for x in trie.words(self.hashes))
         logp = trie.unigram(counts)
         levels = [(ids, None, logp, counts, before)]
-        back = np.zeros(len(ids))
-        known = ids >= 0
-        back[known] = np.log10(trie.mass[2] / (counts[known] + trie.mass[2]))
+        n = len(ids)
+        times, sums = counts, before  # of the nodes of the order before
         for k in range(2, order + 1):
-            node, start, _, _, _ = levels[-1]
-            n = len(ids)
-            fresh, begin, new_logp, new_back = np.full(n, -1), np.full(n, -1), np.zeros(n), np.zeros(n)
-            context = node[:-1] >= 0
-            if k > 2:
-                context &= self.code[:-1] != 0  # no n-gram runs over an end
+            node, start, *_ = levels[-1]
+            context = np.flatnonzero((node[:-1] >= 0) & (self.code[:-1] != 0)) if k > 2 else np.flatnonzero(node[:-1] >= 0)  # no n-gram runs over an end
             # without a context of this order, the next lower order's probability stands
-            lower = logp
-            logp = lower.copy()
-            logp[1:][context] += back[:-1][context]
-            at = np.flatnonzero(context & (node[1:] >= 0)) + 1
+            logp = logp.copy()
+            logp[context + 1] += np.log10(trie.mass[k] / (times[context] + trie.mass[k]))
+            fresh, begin, new_logp = np.full(n, -1), np.full(n, -1), np.zeros(n)
+            new_times, new_sums = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            at = context[node[context + 1] >= 0] + 1
             if len(at):
                 successor = node[at] if k == 2 else node[at] - start[at]
-                pair, first, inverse = np.unique(np.stack((node[at - 1], node[at]), axis=1).astype(">i8").view("V16").ravel(), return_index=True, return_inverse=True)
-                pick = at[first]
-                if k == 2:
-                    c, b = counts[pick - 1], before[pick - 1]
-                else:
-                    c, b = trie.counts(k - 1, node[pick - 1])
-                found = trie.find(k, node[pick - 1], c, b, before[pick], successor[first])
-                for whole, part in zip((fresh, new_logp, new_back, begin), found, strict=True):
-                    whole[at] = part[inverse]
+                sort, first, repeats = _distinct(node[at - 1], successor)
+                pick = at[sort[first]]
+                found = trie.find(k, node[pick - 1], times[pick - 1], sums[pick - 1], before[pick], successor[sort[first]])
+                extra = (np.zeros(len(pick), np.int64), np.zeros(len(pick), np.int64))
+                if k < order or more:
+                    hit = np.flatnonzero(found[0] >= 0)
+                    for whole, part in zip(extra, trie.counts(k, found[0][hit]), strict=True):
+                        whole[hit] = part
+                for whole, part in zip((fresh, new_logp, begin, new_times, new_sums), (*found, *extra), strict=True):
+                    whole[at[sort]] = np.repeat(part, repeats)
                 hit = np.flatnonzero(fresh >= 0)
                 logp[hit] = new_logp[hit]
-            back = new_back
-            levels.append((fresh, begin, logp, None, None))
+            times, sums = new_times, new_sums
+            levels.append((fresh, begin, logp, times, sums))
         return counts, logp, levels
 
 
 def _count_words(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches, limit=SLICE):
+        for texts in text_slices(batches, SLICE):
             counts: Counter = Counter()
             for t in texts:
                 counts.update((t or b"").lower().split())
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in counts] + [END], np.uint64)
             yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array([*counts.values(), len(texts)], pa.int64())], names=["hash", "n"])
 
-    return rows.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return map_batches(rows.select("text"), run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def _write_words(counted: DataFrame, folder: str, bits: int) -> DataFrame:
@@ -307,7 +333,7 @@ def _write_words(counted: DataFrame, folder: str, bits: int) -> DataFrame:
 
     shard = F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long")
     dealt = counted.select(shard.alias("shard"), "hash", "n").repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "shard long, size long, total long")
+    return map_batches(dealt, run, "shard long, size long, total long")
 
 
 def _blocks(rows: DataFrame, trie: Trie, k: int) -> DataFrame:
@@ -316,22 +342,19 @@ def _blocks(rows: DataFrame, trie: Trie, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_trie = shipped.value
-        for _, texts in chunks(batches, limit=SLICE):
+        for texts in text_slices(batches, SLICE):
             stream = Stream(texts)
-            _, lower, levels = stream.walk(own_trie, k - 1)
+            _, lower, levels = stream.walk(own_trie, k - 1, True)
             node, start, _, counts, before = levels[-1]
             word_before = levels[0][4]
             at = np.arange(1, len(node))
             if k > 2:
                 at = at[(stream.code[at - 1] != 0) & (node[at - 1] >= 0) & (node[at] >= 0)]
             successor = node[at] if k == 2 else node[at] - start[at]
-            order = np.lexsort((successor, node[at - 1]))
-            context, successor, at = node[at - 1][order], successor[order], at[order]
-            fresh = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])]) if len(at) else np.zeros(0, np.int64)
-            n = np.diff(np.r_[fresh, len(at)])
-            context, successor, at = context[fresh], successor[fresh], at[fresh]
-            c, b = (counts[at - 1], before[at - 1]) if k == 2 else own_trie.counts(k - 1, context)
-            shard = own_trie.shard(c, b, word_before[at])
+            order, fresh, n = _distinct(node[at - 1], successor)
+            at, successor = at[order[fresh]], successor[order[fresh]]
+            context = node[at - 1]
+            shard = own_trie.shard(counts[at - 1], before[at - 1], word_before[at])
             out: list[list] = [[], [], [], [], [], []]
             for s, own in _grouped(shard):
                 first = int(context[own[0]])
@@ -341,7 +364,7 @@ def _blocks(rows: DataFrame, trie: Trie, k: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["shard", "first", "keys", "counts", "lower", "size"])
 
-    return rows.select("text").mapInArrow(run, "shard long, first long, keys binary, counts binary, lower binary, size long")
+    return map_batches(rows.select("text"), run, "shard long, first long, keys binary, counts binary, lower binary, size long")
 
 
 def _write_level(blocks: DataFrame, trie: Trie, k: int, top: bool) -> DataFrame:
@@ -375,8 +398,9 @@ def _write_level(blocks: DataFrame, trie: Trie, k: int, top: bool) -> DataFrame:
         more, also = fano.encode(np.repeat(base, sizes) + 1 + successor, int(base[-1] + last[-1] + 2), "successors")
         arrays |= more | {"logp": quantised(logp)}
         if not top:
-            arrays["sum"] = np.concatenate(([0], np.cumsum(n))).astype(np.int64)
-            arrays["backoff"] = quantised(np.log10(own_trie.mass[k + 1] / (n + own_trie.mass[k + 1])))
+            more, these = fano.encode(np.concatenate(([0], np.cumsum(n))), int(n.sum()) + 1, "sums")
+            arrays |= more
+            also = also | these
         fano.write(f"{own_trie.folder}/{k}/{s}", arrays, facts | also | {"first": first, "contexts": span})
         return pa.record_batch([pa.array([s], pa.int64()), pa.array([len(context)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["shard", "size", "total"])
 
@@ -393,7 +417,7 @@ def _write_level(blocks: DataFrame, trie: Trie, k: int, top: bool) -> DataFrame:
         if held:
             yield done(at, held)
 
-    return blocks.filter("size > 0").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, size long, total long")
+    return map_batches(blocks.filter("size > 0").repartition("shard").sortWithinPartitions("shard"), run, "shard long, size long, total long")
 
 
 def build(rows: DataFrame, order: int = ORDER, mass: dict[int, float] | None = None, shard_tokens: int = SHARD_TOKENS) -> Trie:
@@ -436,7 +460,7 @@ def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "
                 columns = [np.zeros(len(texts), np.int64)] * 2 + [np.zeros(len(texts))] * 2
             yield pa.record_batch([part.column(0), pa.array(sizes), *map(pa.array, columns)], names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return map_batches(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
