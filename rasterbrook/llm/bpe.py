@@ -10,8 +10,8 @@ that is the same (no token built from the merged one has a lower rank), so
 their steps don't grow with their length. Decoding unnests the ids and
 aggregates their bytes in order.
 
-Memory per task: one slice of text, its pre-tokens, and at most CACHED words
-from slices before.
+Memory per task: one slice of text, its pre-tokens, and at most twice CACHED
+words from slices before.
 
 Defined results: a null or empty text has no tokens, ids '' and decodes to no
 bytes. Rows are independent, so repeated rows repeat and an empty table stays so.
@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import chunks, table
+from rasterbrook.llm.common import chunks, map_batches, table
 from rasterbrook.llm.pretokens import RANKS, load_ranks, splitter
 
 LONG_WORD = 64
 #: Words per recursive query, and words kept from one slice to the next.
 WORDS_AT_ONCE = 20_000
-CACHED = 300_000
+CACHED = 150_000
 
 _CONTRACT = """
 WITH RECURSIVE s(w, p, t, p2, t2, done) AS (
@@ -90,12 +90,13 @@ class Codec:
         lowest = np.full(max(self.ranks.values()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(lowest, a, r)
         np.minimum.at(lowest, b, r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._table("merges", {"k": a * 65536 + b, "r": r, "safe": lowest[r] > r})
         self._table("vocabulary", {"t": list(self.ranks.values()), "hex": [x.hex() for x in self.ranks]})
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.ids: dict[str, str] = {}
         self.texts: dict[str, bytes] = {}
+        self.older: tuple[dict[str, str], dict[str, bytes]] = {}, {}
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("incoming", pa.table(columns))
@@ -116,9 +117,14 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Makes self.ids know all these words, and self.texts what their ids decode to."""
-        if len(self.ids) + len(words) > CACHED:
-            self.ids, self.texts = {}, {}
-        new = [(w, w.encode()) for w in words if w not in self.ids]
+        if len(self.ids) > CACHED:  # words that the last CACHED didn't use are forgotten
+            self.older, self.ids = (self.ids, self.texts), {}
+            self.texts = {}
+        ids, texts = self.older
+        for w in words.intersection(ids).difference(self.ids):
+            self.ids[w] = ids[w]
+            self.texts[ids[w]] = texts[ids[w]]
+        new = [(w, w.encode()) for w in words.difference(self.ids)]
         rest: dict[bool, list] = {False: [], True: []}
         for w, raw in new:
             whole = self.ranks.get(raw)
@@ -168,7 +174,7 @@ def round_trip(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_
             counts, ids, back = own.run(texts)
             yield pa.record_batch([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.binary())], names=[id_col, "n_tokens", "ids", "decoded"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_tokens long, ids string, decoded binary")
+    return map_batches(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_tokens long, ids string, decoded binary")
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
