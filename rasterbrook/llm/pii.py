@@ -221,6 +221,7 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFram
     name = F.array_join(F.transform("parts", lambda p, i: F.concat(F.when(i > 0, F.coalesce(F.get(gaps, i - 1), F.lit(" "))).otherwise(""), p["new"])), "")
     whole = whole.withColumn("tail", F.substr("match", F.char_length("match") - total + 1))
     texts = whole.select(*keys, F.struct("at", F.concat(head, F.when(F.size("parts") > 1, name).otherwise(F.get("parts", F.lit(0))["new"])).alias("new")).alias("m")).groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("new"))
+    texts = cut(texts)  # so that the join below has an exchange of its own on either side, and a hot text is split
     pieces = F.split("text", ENTITY, -1)
     text = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("new"), i)["new"], F.lit("")))), "")
     return (
