@@ -1,12 +1,12 @@
 """URL verdicts: rules first, then words found inside host names, scored by naive Bayes.
 
 A unigram model is counted over all words of the pages' HTML text; its
-dictionary holds every word with at least a share RARE of all words, so it has
-at most 1 / RARE of them however large the table is, and may be broadcast. A
-Viterbi pass splits each host label and path part into dictionary words (an
-unknown word of n letters costs 10 / (N 10^n)). A multinomial naive Bayes over
-the words, hashed to 2^BITS places, learns from the pages that a rule judges
-and judges the others.
+dictionary is the whole table of their counts, which no process holds. The
+substrings of each distinct host label and path part are joined with it, and
+with the words found a Viterbi pass splits the name (an unknown word of n
+letters costs 10 / (N 10^n)); the splits are joined with the pages' names. A
+multinomial naive Bayes over the words, hashed to 2^BITS places, learns from
+the pages that a rule judges and judges the others.
 
 Defined results: a null url or one without `://` has empty host and path; it
 has no words and gets the verdict of the classes' shares. Without labelled
@@ -20,7 +20,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -32,11 +31,12 @@ from rasterbrook.llm.common import ascii_lower, chunks, cut, map_batches, table
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-RARE = 2.0**-17
 BITS = 16
 LONGEST = 24
 #: Letters of a name that are split at once; longer names are cut there.
 NAME = 512
+#: Substrings handed on at once, about.
+SPREAD = 50_000
 CLASSES = ("allow", "block")
 
 _TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
@@ -85,16 +85,12 @@ class Splitter:
     def __init__(self, counts: dict[str, int], total: int):
         self.total = max(1, total)
         self.logp = {w: log(n / self.total) for w, n in counts.items()}
-        self.split = lru_cache(maxsize=100_000)(self._split)
-
-    def __reduce__(self):
-        return _splitter_of, (self.logp, self.total)  # without the cache
 
     def _cost(self, word: str) -> float:
         known = self.logp.get(word)
         return known if known is not None else log(10.0 / self.total) - len(word) * log(10.0)
 
-    def _split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str) -> tuple[str, ...]:
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             score, start = max((best[i] + self._cost(name[i:end]), i) for i in range(max(0, end - LONGEST), end))
@@ -106,28 +102,63 @@ class Splitter:
             end = back[end]
         return tuple(reversed(out))
 
-    def words(self, host: str, path: str) -> list[str]:
-        """Words of host and path, told apart by a prefix."""
-        out = []
-        for kind, text in (("h:", host), ("p:", path.lower())):
-            for part in _PARTS.findall(text):
-                for i in range(0, len(part), NAME):
-                    piece = part[i : i + NAME]
-                    out += [kind + w for w in ([piece] if piece.isdigit() else self.split(piece))]
-        return out
+
+def pieces(host: str, path: str) -> Iterator[tuple[str, str]]:
+    """(prefix, name): what of host and path is split, in order."""
+    for kind, text in (("h:", host), ("p:", path.lower())):
+        for part in _PARTS.findall(text):
+            for i in range(0, len(part), NAME):
+                yield kind, part[i : i + NAME]
 
 
-def _splitter_of(logp: dict[str, float], total: int) -> Splitter:
-    out = Splitter({}, total)
-    out.logp = logp
-    return out
+def substrings(name: str) -> set[str]:
+    return {name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)}
 
 
-def splitter(pages: DataFrame, html_col: str = "html") -> Splitter:
-    counts = cut(word_counts(pages, html_col))
+def segments(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(name, words): the distinct names (name) split with the exact counts (word, n)."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    known = counts.filter(F.col("n") >= F.lit(total * RARE)).collect()
-    return Splitter({r.word: r.n for r in known}, total)
+    named = cut(names.select("name", F.monotonically_increasing_id().alias("id")))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, words = [], []
+            for name, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = substrings(name)
+                ids += [i] * len(found)
+                words += found
+                if len(ids) >= SPREAD:
+                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "word"])
+                    ids, words = [], []
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "word"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, known = (c.to_pylist() for c in batch.columns)
+            words = [Splitter({k["word"]: k["n"] for k in found or ()}, total).split(name) for name, found in zip(names, known, strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["name", "words"])
+
+    found = map_batches(named, spread, "id long, word string").join(counts, "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return map_batches(named.join(found, "id", "left").select("name", "known"), run, "name string, words array<string>")
+
+
+def worded(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """parts with words: those of host and path in order, told apart by a prefix; digits are one word."""
+    rows = cut(parts.withColumn("row", F.monotonically_increasing_id()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(r, at, *x) for r, host, path in zip(*(c.to_pylist() for c in batch.columns), strict=True) for at, x in enumerate(pieces(host, path))]
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            digits = [name.isdigit() for name in columns[3]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip((*columns, digits), (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_()), strict=True)], names=["row", "at", "kind", "name", "digits"])
+
+    each = cut(map_batches(rows.select("row", "host", "path"), run, "row long, at int, kind string, name string, digits boolean"))
+    # cut, so that the join below has an exchange of its own on either side, and a hot name is split
+    splits = cut(segments(each.filter("NOT digits").select("name").distinct(), counts))
+    mine = F.transform(F.coalesce("words", F.array("name")), lambda w: F.concat("kind", w))
+    words = each.join(splits, "name", "left").select("row", F.struct("at", mine.alias("words")).alias("w")).groupBy("row").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    return rows.join(words, "row", "left").select(*parts.columns, F.coalesce(F.flatten("w.words"), F.array().cast("array<string>")).alias("words"))
 
 
 def place(word: str) -> int:
@@ -155,22 +186,21 @@ def _parts(urls: DataFrame) -> DataFrame:
     return urls.select("page_id", host.alias("host"), path.alias("path")).select("*", *(c.alias(n) for c, n in zip(ruled(F.col("host"), F.col("path")), ("rule", "ruling"), strict=True)))
 
 
-def bayes(parts: DataFrame, names: Splitter) -> Bayes:
-    """Learned from the rows of parts that have a ruling."""
-    shipped = parts.sparkSession.sparkContext.broadcast(names)
+def bayes(parts: DataFrame) -> Bayes:
+    """Learned from the rows of parts, with their words, that have a ruling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts, docs = shipped.value, np.zeros((1 << BITS, 2), np.int64), np.zeros(2, np.int64)
+        counts, docs = np.zeros((1 << BITS, 2), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for host, path, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for words, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 k = CLASSES.index(verdict)
                 docs[k] += 1
-                for w in own.words(host, path):
+                for w in words:
                     counts[place(w), k] += 1
         at = np.flatnonzero(counts.any(axis=1))
         yield pa.record_batch([pa.array(np.append(at, -1)), *(pa.array(np.append(counts[at, k], docs[k])) for k in (0, 1))], names=["place", "allow", "block"])
 
-    rows = map_batches(parts.filter("ruling IS NOT NULL").select("host", "path", "ruling"), run, "place long, allow long, block long").groupBy("place").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
+    rows = map_batches(parts.filter("ruling IS NOT NULL").select("words", "ruling"), run, "place long, allow long, block long").groupBy("place").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
     counts, docs = np.zeros((1 << BITS, 2)), np.zeros(2)
     for r in rows:
         if r.place < 0:
@@ -183,18 +213,16 @@ def bayes(parts: DataFrame, names: Splitter) -> Bayes:
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, p_block, words): the rule's verdict, else the model's."""
     parts = _parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")))
-    names = splitter(pages, html_col)
-    model = bayes(parts, names)
-    shipped = pages.sparkSession.sparkContext.broadcast((names, model))
+    parts = cut(worded(parts, cut(word_counts(pages, html_col))))
+    shipped = pages.sparkSession.sparkContext.broadcast(bayes(parts))
     kind = parts.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splits, nb = shipped.value
+        nb = shipped.value
         for batch in batches:
-            words = [splits.words(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            p = [nb.blocked(w) for w in words]
+            p = [nb.blocked(w) for w in batch.column(5).to_pylist()]
             verdict = [r or ("block" if x > 0.5 else "allow") for r, x in zip(batch.column(4).to_pylist(), p, strict=True)]
-            yield pa.record_batch([*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(p, pa.float64()), pa.array(words, pa.list_(pa.string()))], names=["page_id", "host", "path", "rule", "verdict", "p_block", "words"])
+            yield pa.record_batch([*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(p, pa.float64()), batch.column(5)], names=["page_id", "host", "path", "rule", "verdict", "p_block", "words"])
 
     return map_batches(parts, run, f"page_id {kind}, host string, path string, rule string, verdict string, p_block double, words array<string>")
 

@@ -78,3 +78,9 @@ def test_empty_and_unlabelled(spark):
     assert urlfilter.judge(spark.createDataFrame([], SCHEMA)).collect() == []
     only = spark.createDataFrame([(1, "http://a.com/x", None, None, None, None, None)] * 2, SCHEMA)
     assert [(r.verdict, r.p_block) for r in urlfilter.judge(only).collect()] == [("allow", 0.0)] * 2
+
+
+def test_rare_words_of_a_large_table_split_names(spark):
+    df = spark.createDataFrame([(1, "http://quicklizard.com/lizardquick/2024", "quick lizard", "", "", "", 0)] + [(i, None, "the cat " * 50_000, "", "", "", 0) for i in (2, 3, 4)], SCHEMA)
+    (row,) = urlfilter.judge(df).filter("page_id = 1").collect()  # two of 300,002 words, seen once each
+    assert row.words == ["h:quick", "h:lizard", "h:com", "p:lizard", "p:quick", "p:2024"]
