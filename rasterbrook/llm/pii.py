@@ -1,8 +1,11 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-Found: e-mail and IPv4 addresses, phone numbers, numbers of 13 to 19 digits
-(cards, accounts), secrets (long hexadecimal strings, and values assigned to a
-name like token or password), and person names behind a title.
+Found: e-mail, IPv4 and IPv6 addresses, phone numbers (behind +, an area code
+or a trunk zero, or in groups of 3, 3 and 4 digits), social security numbers
+(3, 2 and 4 digits), numbers of 13 to 19 digits (cards, accounts), secrets
+(long hexadecimal strings, and values assigned to a name like token or
+password), and person names behind a title, with the capitalised mentions of
+their parts anywhere in the same text.
 
 Each distinct entity gets one surrogate, everywhere (coreference). It is drawn
 from a keyed digest of the entity's normal form and has its type and form:
@@ -36,6 +39,21 @@ PHONE = r"(?<![\p{N}+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]
 LOCAL_PHONE = r"(?<![\p{N}+(])\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IP = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9])(?!\.[0-9])"
+#: National forms: 3, 3 and 4 digits, or a trunk zero and 9 digits or more that are no date.
+GROUPED_PHONE = r"(?<![\p{L}\p{N}+.\-/])(?:1[ .\-])?[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![\p{L}\p{N}])(?![.\-][0-9])"
+TRUNK_PHONE = (
+    r"(?<![\p{L}\p{N}+.\-/])(?=(?:[ ./()\-]{0,2}[0-9]){9})(?![0-9]{2}[./\-][0-9]{2}[./\-](?:19|20)[0-9]{2}(?![0-9]))"
+    r"(?:\(0[0-9]{1,4}\)[ ./\-]?|0[0-9]{1,4}[ ./\-])(?:[0-9]{4,8}(?:[ .\-][0-9]{1,4})?|[0-9]{2,3}(?:[ .\-][0-9]{2,4}){1,3})(?![\p{L}\p{N}])"
+)
+SSN = r"(?<![\p{L}\p{N}+.\-/])[0-9]{3}(?:-[0-9]{2}-| [0-9]{2} )[0-9]{4}(?![\p{L}\p{N}])(?![.\-][0-9])"
+V4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
+_H = "[0-9A-Fa-f]{1,4}"
+#: With a digit, and more than :: and one group, as ::1 names nobody.
+IPV6 = (
+    rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*+[0-9])(?!(?:[0-9A-Fa-f]*+:){{9}})"
+    rf"(?:(?:{_H}:){{6}}{V4}|(?:{_H}:){{7}}{_H}|{_H}(?::{_H}){{0,5}}::(?:{_H}:){{0,4}}{V4}|::(?:{_H}:){{0,5}}{V4}|{_H}(?::{_H}){{0,6}}::(?:{_H}(?::{_H}){{0,5}})?|::{_H}(?::{_H}){{1,6}})"
+    r"(?![\p{L}\p{N}])(?!:[0-9A-Fa-f:])(?!\.[0-9])"
+)
 CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
 HEX = r"(?<![\p{L}\p{N}])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![\p{L}\p{N}])"
 SECRET = r"(?<![\p{L}\p{N}])(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[\p{L}\p{N}_+/\-.]{8,}+"
@@ -43,10 +61,12 @@ MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Signor", "г-н", "госпо
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Señorita", "Madame", "Mme", "Mademoiselle", "Mlle", "Signora", "г-жа", "госпожа", "κυρία")
 NEUTRAL = ("Dr", "Prof")
 _TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=lambda t: (-len(t), t)))
-NAME_PART = r"\p{Lu}[\p{L}\p{M}'’]++"
+#: A possessive 's stays outside.
+NAME_PART = r"\p{Lu}(?=[\p{L}\p{M}'’])[\p{L}\p{M}]*+(?:['’](?![sS](?![\p{L}\p{M}]))[\p{L}\p{M}]++)*+"
+MENTION = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){NAME_PART}(?!\p{{N}})"
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?iu:{_TITLES})\.?[ \t]{NAME_PART}(?:[ \t\-]{NAME_PART}){{0,2}}"
 #: In the order in which an alternative is preferred.
-ENTITY = "|".join((EMAIL, SECRET, HEX, IP, PHONE, LOCAL_PHONE, CARD, NAME))
+ENTITY = "|".join((EMAIL, SECRET, HEX, IP, IPV6, PHONE, LOCAL_PHONE, CARD, SSN, GROUPED_PHONE, TRUNK_PHONE, NAME))
 
 #: Syllables of made-up names by script.
 SYLLABLES = {
@@ -94,8 +114,11 @@ def kind_of(found: Column) -> Column:
         F.when(whole(EMAIL), "email")
         .when(whole(SECRET) | whole(HEX), "secret")
         .when(whole(IP), "ip")
+        .when(whole(IPV6), "ip6")
         .when(whole(PHONE) | whole(LOCAL_PHONE), "phone")
         .when(whole(CARD), "number")
+        .when(whole(SSN), "ssn")
+        .when(whole(GROUPED_PHONE) | whole(TRUNK_PHONE), "phone")
         .otherwise("name")
     )
 
@@ -116,15 +139,25 @@ def _script(value: Column) -> Column:
     return F.when(value.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
 
+def _groups(address: Column) -> Column:
+    """An IPv6 address with all its eight groups of four digits."""
+    octets = [F.regexp_extract(address, r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)$", i).try_cast("int") for i in (1, 2, 3, 4)]
+    plain = F.when(octets[0].isNotNull(), F.concat(F.regexp_replace(address, r"[0-9]+(?:\.[0-9]+){3}$", ""), F.hex(octets[0] * 256 + octets[1]), F.lit(":"), F.hex(octets[2] * 256 + octets[3]))).otherwise(address)
+    left, right = (F.filter(F.split(F.coalesce(F.get(F.split(plain, "::"), F.lit(i)), F.lit("")), ":"), lambda g: g != "") for i in (0, 1))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right)))
+    return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(F.lower(g), 4, "0")), ":")
+
+
 def parts_of(found: Column) -> Column:
     """array<struct<kind, norm, shape, part>>: the entities in a match; a name has one for each of its parts."""
     kind = kind_of(found)
     value = _value(found, kind)
     digits = F.regexp_replace(value, "[^0-9]", "")
-    norm = F.when(kind.isin("phone", "number"), digits).otherwise(F.lower(value))
+    norm = F.when(kind.isin("phone", "number", "ssn"), digits).when(kind == "ip6", _groups(value)).otherwise(F.lower(value))
     shape = (
         F.when(kind == "number", F.concat(F.length(digits).cast("string"), F.when(_luhn(digits) % 10 == 0, "v").otherwise("n")))
-        .when(kind == "phone", F.concat(F.length(digits).cast("string"), F.when(value.startswith("+"), F.concat(F.lit("+"), F.substring(digits, 1, 1))).otherwise("")))
+        .when(kind == "phone", F.concat(F.length(digits).cast("string"), F.when(value.startswith("+") | digits.startswith("0"), F.concat(F.lit("+"), F.substring(digits, 1, 1))).otherwise("")))
+        .when(kind == "ssn", "9")
         .when(kind == "secret", F.concat(F.length(value).cast("string"), F.when(value.rlike("^[0-9A-Fa-f]+$"), "x").otherwise("a")))
         .when(kind == "email", F.when(value.rlike("[0-9][^@]*@"), "d").otherwise("l"))
         .otherwise("")
@@ -167,7 +200,8 @@ def candidates(entities: DataFrame, key: str = KEY) -> DataFrame:
     surrogate = (
         F.when(kind == "email", email)
         .when(kind == "ip", octets)
-        .when(kind == "phone", phone)
+        .when(kind == "ip6", F.regexp_replace(F.substr("stream", F.lit(1), F.lit(32)), "(.{4})(?!$)", "$1:"))
+        .when(kind.isin("phone", "ssn"), phone)
         .when(kind == "number", number)
         .when(kind == "secret", F.substr("stream", F.lit(1), n))
         .otherwise(names)
@@ -199,7 +233,17 @@ def _in_form(part: Column, kind: Column, surrogate: Column) -> Column:
     spaced = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(digits, i), F.lit("")))), "")
     upper = (part == F.upper(part)) & (part != F.lower(part))
     cased = F.when(upper, F.upper(surrogate)).when(kind.isin("given", "family"), F.initcap(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("phone", "number"), spaced).otherwise(cased)
+    return F.when(kind.isin("phone", "number", "ssn"), spaced).otherwise(cased)
+
+
+def _renamed(piece: Column) -> Column:
+    """Text outside the matches, its mentions of the column names' keys replaced."""
+    found = F.regexp_extract_all(piece, F.lit(MENTION), F.lit(0))
+
+    def renamed(mention: Column) -> Column:
+        return F.coalesce(_in_form(mention, F.lit("family"), F.try_element_at("names", F.lower(mention))), mention, F.lit(""))
+
+    return F.array_join(F.transform(F.split(piece, MENTION, -1), lambda gap, i: F.concat(gap, renamed(F.get(found, i)))), "")
 
 
 def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
@@ -213,21 +257,28 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFram
     each = cut(each.select(*keys, "at", "match", F.posexplode(parts_of(F.col("match"))).alias("i", "p")).select(*keys, "at", "match", "i", "p.*"))
     # the part's surrogate, then the match with its parts replaced, then a text's matches in order
     mapped = each.join(surrogates(each.select("kind", "norm", "shape"), key), ["kind", "norm"])
-    formed = mapped.select(*keys, "at", "match", "kind", "i", "part", _in_form(F.col("part"), F.col("kind"), F.col("surrogate")).alias("new"))
-    whole = formed.groupBy(*keys, "at").agg(F.first("match").alias("match"), F.sort_array(F.collect_list(F.struct("i", "part", "new"))).alias("parts"))
+    formed = mapped.select(*keys, "at", "match", "kind", "norm", "surrogate", "i", "part", _in_form(F.col("part"), F.col("kind"), F.col("surrogate")).alias("new"))
+    whole = formed.groupBy(*keys, "at").agg(F.first("match").alias("match"), F.sort_array(F.collect_list(F.struct("i", "part", "new", "kind", "norm", "surrogate"))).alias("parts"))
     total = F.aggregate("parts", F.lit(0), lambda a, p: a + F.length(p["part"])) + F.size("parts") - 1
     head = F.expr("substring(match, 1, char_length(match) - char_length(tail))")
     gaps = F.regexp_extract_all(F.col("tail"), F.lit(r"[ \t\-]+"), F.lit(0))
     name = F.array_join(F.transform("parts", lambda p, i: F.concat(F.when(i > 0, F.coalesce(F.get(gaps, i - 1), F.lit(" "))).otherwise(""), p["new"])), "")
     whole = whole.withColumn("tail", F.substr("match", F.char_length("match") - total + 1))
-    texts = whole.select(*keys, F.struct("at", F.concat(head, F.when(F.size("parts") > 1, name).otherwise(F.get("parts", F.lit(0))["new"])).alias("new")).alias("m")).groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("new"))
+    texts = whole.select(*keys, F.filter("parts", lambda p: p["kind"].isin("given", "family")).alias("names"), F.struct("at", F.concat(head, F.when(F.size("parts") > 1, name).otherwise(F.get("parts", F.lit(0))["new"])).alias("new")).alias("m")).groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("new"), F.flatten(F.collect_list("names")).alias("names"))
+    # a text's names by norm; one that is a given and a family name is the family's
+    named_parts = F.array_sort(F.array_distinct(F.transform("names", lambda p: F.struct(p["norm"], p["kind"], p["surrogate"]))))
+    texts = texts.select(*keys, "new", named_parts.alias("names"))
+    once = F.filter("names", lambda p, i: (i == 0) | (p["norm"] != F.get("names", i - 1)["norm"]))
+    texts = texts.select(*keys, "new", F.map_from_entries(F.transform(once, lambda p: F.struct(p["norm"], p["surrogate"]))).alias("names"))
     texts = cut(texts)  # so that the join below has an exchange of its own on either side, and a hot text is split
     pieces = F.split("text", ENTITY, -1)
-    text = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("new"), i)["new"], F.lit("")))), "")
+    text = F.array_join(F.transform(pieces, lambda p, i: F.concat(F.when(F.size("names") > 0, _renamed(p)).otherwise(p), F.coalesce(F.get(F.col("new"), i)["new"], F.lit("")))), "")
+    mentions = F.aggregate(pieces, F.lit(0), lambda a, p: a + F.size(F.filter(F.regexp_extract_all(p, F.lit(MENTION), F.lit(0)), lambda m: F.map_contains_key("names", F.lower(m)))))
+    found_in = F.size("new") + F.when(F.size("names") > 0, mentions).otherwise(0)
     return (
         source.select("row", "text", *named)
         .join(texts, keys, "left")
-        .select("row", F.when(F.col("new").isNotNull(), text).otherwise(F.col("text")).alias("text"), F.coalesce(F.size("new"), F.lit(0)).alias("n_entities"))
+        .select("row", F.when(F.col("new").isNotNull(), text).otherwise(F.col("text")).alias("text"), F.coalesce(F.when(F.col("new").isNotNull(), found_in), F.lit(0)).alias("n_entities"))
     )
 
 

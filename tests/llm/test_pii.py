@@ -95,3 +95,23 @@ def test_odd_rows_and_columns(spark):
 
 def test_empty(spark):
     assert pii.replace(empty(spark)).collect() == []
+
+
+def test_national_phones_ssn_and_ipv6(spark):
+    forms = ["743-555-3824", "743 555 3824", "743.555.3824", "1-743-555-3824", "030 1234567", "(030) 1234567", "0171/1234567", "020 7946 0958", "01 23 45 67 89", "078-05-1120", "078 05 1120"]
+    plain = ["01.02.2024 10.30", "2024-01-02", "12:30:45", "00:1a:2b:3c:4d:5e", "std::vector", "1-2-3", "3.14159", "a::b", "100 200", "::"]
+    six = ["2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "fe80::1:2", "2001:db8:1:2:3:4:5:6", "::ffff:192.0.2.7", "::ffff:c000:207"]
+    out = run(spark, [f"a {x}, b" for x in forms + six] + [f"a {x}, b" for x in plain])
+    for x, y in zip(forms, out, strict=False):
+        assert x not in y and re.sub("[0-9]", "0", y) == re.sub("[0-9]", "0", f"a {x}, b")
+        assert not x.startswith("0") or x in ("078-05-1120", "078 05 1120") or y[2] == "0"
+    got = [re.fullmatch(r"a ((?:[0-9a-fA-F]{4}:){7}[0-9a-fA-F]{4}), b", y)[1].lower() for y in out[len(forms) : len(forms) + len(six)]]
+    assert got[0] == got[1] and got[4] == got[5] and len(set(got)) == 4  # one address, whatever the form
+    assert out[len(forms) + len(six) :] == [f"a {x}, b" for x in plain]
+
+
+def test_bare_mentions_of_a_name_are_replaced(spark):
+    a, b = run(spark, ["Smith said: Mr. John Smith's car. SMITH and John, not Smithson, blacksmith or smith; ask John Smith.", "Smith has no title here"])
+    m = re.fullmatch(r"(\w+) said: Mr\. (\w+) (\w+)'s car\. (\w+) and (\w+), not Smithson, blacksmith or smith; ask (\w+) (\w+)\.", a)
+    assert m[1] == m[3] == m[7] != "Smith" and m[4] == m[3].upper() and m[2] == m[5] == m[6] != "John"
+    assert b == "Smith has no title here"
