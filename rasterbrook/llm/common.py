@@ -75,20 +75,6 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(whole, schema)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list]:
-    """The column text of the batches in lists of about limit bytes, over the batches' bounds."""
-    held: list = []
-    size = 0
-    for _, texts in chunks(batches, limit=limit):
-        held += texts
-        size += sum(len(t) for t in texts if t is not None)
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches with at most about limit bytes of text each (one longer text stands alone), and those texts."""
     for batch in batches:

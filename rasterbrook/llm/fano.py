@@ -79,6 +79,19 @@ class Sequence:
         data = self.high[word]
         return word * 64 + select_in_word(~data if flip else data, i - before[word])
 
+    def _after(self, place: np.ndarray, i: np.ndarray, flip: bool) -> np.ndarray:
+        """Place of the one (or zero) number i + 1, given that of number i: mostly in the same word, else selected."""
+        word, u = place >> 6, np.uint64
+        data = self.high[word]
+        if flip:
+            data = ~data
+        data = data & ~((u(2) << (place & 63).astype(u)) - u(1))
+        out = (word << 6) + np.bitwise_count((data & (~data + u(1))) - u(1))
+        far = np.flatnonzero(data == 0)
+        if len(far):
+            out[far] = self._select(i[far] + 1, flip)
+        return out
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         at = i * self.width
         return (self.low[at >> 3] >> (at & 7).astype(np.uint64) & np.uint64((1 << self.width) - 1)).astype(np.int64)
@@ -90,6 +103,16 @@ class Sequence:
             out[a : a + BLOCK] = (self._select(part, False) - part << self.width) + self._low(part)
         return out
 
+    def get_both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at i and at i + 1."""
+        here, after = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        for a in range(0, len(i), BLOCK):
+            part = i[a : a + BLOCK]
+            place = self._select(part, False)
+            here[a : a + BLOCK] = (place - part << self.width) + self._low(part)
+            after[a : a + BLOCK] = (self._after(place, part, False) - part - 1 << self.width) + self._low(part + 1)
+        return here, after
+
     def find(self, x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Index of x among those from first to end, or -1; x is not repeated there."""
         out = np.zeros(len(x), np.int64)
@@ -100,9 +123,10 @@ class Sequence:
 
     def _find(self, x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = x >> self.width
-        both = self._select(np.concatenate((np.maximum(h - 1, 0), h)), True)
-        lo = np.maximum(np.where(h > 0, both[: len(h)] - (h - 1), 0), first)
-        hi = np.minimum(both[len(h) :] - h, end)
+        before = np.maximum(h - 1, 0)
+        place = self._select(before, True)
+        lo = np.maximum(np.where(h > 0, place - before, 0), first)
+        hi = np.minimum(np.where(h > 0, self._after(place, before, True), place) - h, end)
         want = x & ((1 << self.width) - 1)
         stop = hi.copy()
         while True:  # the first index whose low bits are not below the wanted ones

@@ -1,8 +1,11 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Counting. A pass over the training texts counts words; later passes count
-n-grams order by order. A slice of text is reduced to its distinct n-grams
-before anything is exchanged, and goes out as one packed block per shard.
+Counting. A pass over the training texts counts words. A second one writes each
+slice of text once as word codes, in the shared folder; later passes read those
+codes and count n-grams order by order. A slice is reduced to its distinct
+n-grams before anything is exchanged, and goes out as one packed block per
+shard that it touches. A shard merges its blocks as they come, a bounded run at
+a time, so a frequent n-gram that every slice brings stays one row.
 The texts form one stream in which an end token parts them; it is also the
 context of a text's first word.
 
@@ -10,13 +13,15 @@ Trie. Words have ids in order of their hash. A level holds the n-grams of one
 order sorted by context node, then by successor; its pointers (where each
 context's successors begin), its successors (made monotone by adding each
 list's start value) and its running counts (of which backoff weights follow)
-are Elias-Fano sequences, and its probabilities are quantised to STEP_LOG. Above order two a successor is kept as its
-rank among the successors of the shorter context, so a question walks down by
-context-relative search. Levels are cut into shards of about SHARD_TOKENS
-occurrences by a monotone function of context and successor, so that a
-frequent context is spread over shards; shard files lie in the shared folder
-(which must be mounted, as spark.checkpoint.dir of a cluster of this kind is)
-and are memory-mapped, so a task pages in what its questions touch.
+are Elias-Fano sequences, and its probabilities are quantised to STEP_LOG. Above
+order two a successor is kept as its rank among the successors of the shorter
+context, so a question walks down by context-relative search. Levels are cut
+into shards of about shard_tokens occurrences, as many as that makes, by a
+monotone function of context and successor, so that a frequent context is
+spread over shards; shard files lie in the shared folder (which must be
+mounted, as spark.checkpoint.dir of a cluster of this kind is) and are
+memory-mapped, so a task pages in what its questions touch. A slice asks each
+distinct n-gram once, in the order in which the level is sorted.
 
 Smoothing: p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m), h' the shorter
 context, down to unigrams (c(w) + 1/2) / (N + (V + 1) / 2); a distribution
@@ -25,7 +30,8 @@ over the V known tokens and one unknown. m is MASS[order].
 Defined results: null texts count as empty: one end token. Rows whose id is
 null are not held out, and train. Repeated rows count as often as they stand.
 With no training rows N = V = 0 and every token has probability 1. An empty
-table gives no rows. Words are told apart by a 64-bit hash.
+table gives no rows. Words are told apart by a 64-bit hash; ids and n-grams
+are counted in 64 bits. A text is held whole, in about fifteen times its bytes.
 """
 
 from __future__ import annotations
@@ -33,7 +39,6 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import unquote, urlparse
@@ -46,15 +51,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterbrook.llm import fano
-from rasterbrook.llm.common import chunks, fold, map_batches, shared_dir, table, text_slices
+from rasterbrook.llm.common import chunks, cut, fold, map_batches, shared_dir, table
 
 ORDER = 3
 #: Weight of the shorter context, by order.
 MASS = {2: 1000.0, 3: 10.0, 4: 5.0, 5: 5.0}
-SHARD_TOKENS = 4 << 20
-MOST_SHARDS = 1 << 16
+#: Occurrences of a shard; a task holds about 60 bytes for each n-gram of one.
+SHARD_TOKENS = 2 << 20
 #: Bytes of text that are counted or scored together.
 SLICE = 8 << 20
+#: N-grams that a shard gathers before it merges them.
+MERGE = 1 << 20
 STEP_LOG = 1 / 2048
 FOLDS = 5
 #: The end token; no word has a line break.
@@ -80,6 +87,23 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def _pack_pairs(context: np.ndarray, successor: np.ndarray) -> bytes:
+    """Ascending pairs of whole numbers: as one number each where both fit, else side by side."""
+    if not len(context) or (int(context[-1]) < 1 << 32 and int(successor.max()) < 1 << 32):
+        return b"\0" + _pack(context.astype(np.uint64) << np.uint64(32) | successor.astype(np.uint64))
+    first = _pack(context)
+    return b"\1" + len(first).to_bytes(8, "little") + first + zstandard.compress(np.ascontiguousarray(successor.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if data[0] == 0:
+        keys = _unpack(data[1:])
+        return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    n = int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(zstandard.decompress(data[9 + n :]), np.uint8).reshape(8, -1)
+    return _unpack(data[9 : 9 + n]).astype(np.int64), np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 def _pack_small(numbers: np.ndarray) -> bytes:
     return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
@@ -123,21 +147,18 @@ class Trie:
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Id (or -1), count and occurrences of smaller ids, of each word hash."""
-        ids, counts, before = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+    def words(self, hashes: np.ndarray) -> np.ndarray:
+        """Id (or -1) of each word hash."""
+        ids = np.full(len(hashes), -1)
         shard = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
         for s, own in _grouped(shard):
             if self.offsets[0][s + 1] == self.offsets[0][s]:
                 continue
-            a = _vocabulary(f"{self.folder}/words/{s}")
-            at = np.minimum(np.searchsorted(a["hash"], hashes[own]), len(a["hash"]) - 1)
-            hit = a["hash"][at] == hashes[own]
-            own, at = own[hit], at[hit]
-            ids[own] = at + self.offsets[0][s]
-            counts[own] = a["sum"][at + 1] - a["sum"][at]
-            before[own] = a["sum"][at] + self.before[0][s]
-        return ids, counts, before
+            known = _vocabulary(f"{self.folder}/words/{s}")["hash"]
+            at = np.minimum(np.searchsorted(known, hashes[own]), len(known) - 1)
+            hit = known[at] == hashes[own]
+            ids[own[hit]] = at[hit] + self.offsets[0][s]
+        return ids
 
     def word_counts(self, ids: np.ndarray) -> np.ndarray:
         counts = np.zeros(len(ids), np.int64)
@@ -156,7 +177,7 @@ class Trie:
                 low, high = sums[at], sums[at + 1]
             else:
                 sums = _level(f"{self.folder}/{k}/{s}")[4]
-                low, high = sums.get(at), sums.get(at + 1)
+                low, high = sums.get_both(at)
             counts[own] = high - low
             before[own] = low + self.before[k - 1][s]
         return counts, before
@@ -182,8 +203,7 @@ class Trie:
             # once for each run of questions with the same context
             fresh = np.flatnonzero(np.r_[True, local[1:] != local[:-1]]) if len(own) else own
             runs = np.diff(np.r_[fresh, len(own)])
-            ends = pointers.get(np.concatenate((local[fresh], local[fresh] + 1)))
-            lo, hi = ends[: len(fresh)], ends[len(fresh) :]
+            lo, hi = pointers.get_both(local[fresh])
             base = np.zeros(len(fresh), np.int64)
             later = (lo > 0) & (lo < hi)
             base[later] = successors.get(lo[later] - 1)
@@ -199,23 +219,22 @@ class Trie:
         # a context that is spread over shards begins in an earlier one
         spread = np.flatnonzero((home != shard) & (node >= 0))
         if len(spread):
-            start[spread] = self._begin(k, context[spread], home[spread], shard[spread], start[spread])
+            fresh = np.flatnonzero(np.r_[True, np.diff(context[spread]) != 0])
+            begins = [self._begin(k, int(context[i]), int(home[i]), int(shard[i])) for i in spread[fresh]]
+            begin = np.repeat([start[i] if b < 0 else b for i, b in zip(spread[fresh], begins, strict=True)], np.diff(np.r_[fresh, len(spread)]))
+            start[spread] = np.minimum(start[spread], begin)
         return node, logp, start
 
-    def _begin(self, k: int, context: np.ndarray, home: np.ndarray, shard: np.ndarray, start: np.ndarray) -> np.ndarray:
-        start = start.copy()
-        pairs, inverse = np.unique(np.stack((context, home, shard), axis=1), axis=0, return_inverse=True)
-        least = np.full(len(pairs), np.iinfo(np.int64).max)
-        for i, (c, h, s) in enumerate(pairs.tolist()):
-            for x in range(h, s):
-                if self.offsets[k - 1][x + 1] > self.offsets[k - 1][x]:
-                    first, contexts, pointers, *_ = _level(f"{self.folder}/{k}/{x}")
-                    if 0 <= c - first < contexts:
-                        lo, hi = pointers.get(np.array([c - first, c - first + 1])).tolist()
-                        if lo < hi:
-                            least[i] = lo + self.offsets[k - 1][x]
-                            break
-        return np.minimum(start, least[inverse.ravel()])
+    def _begin(self, k: int, context: int, home: int, shard: int) -> int:
+        """The node at which the successors of context begin in the shards from home to before shard, or -1."""
+        for x in range(home, shard):
+            if self.offsets[k - 1][x + 1] > self.offsets[k - 1][x]:
+                first, contexts, pointers, *_ = _level(f"{self.folder}/{k}/{x}")
+                if 0 <= context - first < contexts:
+                    lo, hi = (int(v[0]) for v in pointers.get_both(np.array([context - first])))
+                    if lo < hi:
+                        return lo + int(self.offsets[k - 1][x])
+        return -1
 
 
 def _grouped(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -233,6 +252,7 @@ def _grouped(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _distinct(context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of pairs: the order in which they ascend, and where in it each distinct pair begins, and how often it occurs."""
+    context, successor = context.astype(np.int64), successor.astype(np.int64)
     if not len(context):
         return context, context, context
     low, least = successor.min(), context.min()
@@ -248,66 +268,130 @@ def _distinct(context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, n
     return order, fresh, np.diff(np.r_[fresh, len(order)])
 
 
-class Stream:
-    """The tokens of some texts: an end, then each text's words and its end."""
-
-    def __init__(self, texts: list[bytes | None]):
-        flat = [b"\n"]
-        self.sizes = []
-        for t in texts:
-            words = (t or b"").lower().split()
-            flat += words
-            flat.append(b"\n")
-            self.sizes.append(len(words) + 1)
-        known = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        self.code = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-        self.hashes = np.array(list(map(xxhash.xxh64_intdigest, known)), np.uint64)
-
-    def walk(self, trie: Trie, order: int, more: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
-        """Counts of all tokens, their log10 probabilities by n-grams up to order, and of each order (node, start, logp, count, before); the last order's counts only with more."""
-        ids, counts, before = (x[self.code] for x in trie.words(self.hashes))
-        logp = trie.unigram(counts)
-        levels = [(ids, None, logp, counts, before)]
-        n = len(ids)
-        times, sums = counts, before  # of the nodes of the order before
+def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of an end, then each text's words and its end; the distinct tokens' hashes by code; tokens of each text."""
+    flat, sizes = [b"\n"], []
+    for t in texts:
+        words = (t or b"").lower().split()
+        flat += words
+        flat.append(b"\n")
+        sizes.append(len(words) + 1)
+    known = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    code = np.fromiter(map(known.__getitem__, flat), np.int32, len(flat))
+    return code, np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known)), np.array(sizes, np.int64)
+
+
+class Slice:
+    """Some texts as word codes: ascending with the words' ids, unknown words last, under one code."""
+
+    def __init__(self, code: np.ndarray, ids: np.ndarray, sizes: np.ndarray, train: np.ndarray):
+        self.code, self.ids, self.sizes, self.train = code, ids, sizes, train
+
+    @classmethod
+    def of(cls, texts: list[bytes | None], train: np.ndarray, trie: Trie) -> Slice:
+        code, hashes, sizes = _words(texts)
+        order = np.argsort(hashes)
+        ids = trie.words(hashes[order])
+        known = ids >= 0
+        place = np.full(len(order), known.sum(), np.int32)
+        place[order[known]] = np.arange(known.sum())
+        return cls(place[code], ids[known], sizes, train)
+
+    @classmethod
+    def read(cls, path: str) -> Slice:
+        a, _ = fano.read(path)
+        return cls(_unpack_small(a["code"]).astype(np.int32), _unpack(a["ids"]).astype(np.int64), a["sizes"], a["train"] > 0)
+
+    def write(self, path: str) -> None:
+        packed = {"code": _pack_small(self.code), "ids": _pack(self.ids)}
+        fano.write(path, {k: np.frombuffer(v, np.uint8) for k, v in packed.items()} | {"sizes": self.sizes, "train": self.train.astype(np.uint8)}, {})
+
+    def walk(self, trie: Trie, order: int, at: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray, dict]:
+        """Counts of the tokens at the places `at`, their log10 probabilities by n-grams up to order, and the last order's grams; those with counts, if there is more to come.
+
+        Grams: of each distinct n-gram, in order: node, start, logp, count, before, last (its last word's code); and of each token its n-gram, or -1.
+        """
+        counts, before = trie.counts(1, self.ids)
+        counts, before, ids = np.append(counts, 0), np.append(before, trie.tokens), np.append(self.ids, -1)
+        grams = {"node": ids, "start": np.zeros(len(ids), np.int64), "logp": trie.unigram(counts), "count": counts, "before": before, "last": np.arange(len(ids)), "of": self.code}
+        tokens = grams["logp"][self.code[at]]
+        here = np.arange(len(at))
         for k in range(2, order + 1):
-            node, start, *_ = levels[-1]
-            context = np.flatnonzero((node[:-1] >= 0) & (self.code[:-1] != 0)) if k > 2 else np.flatnonzero(node[:-1] >= 0)  # no n-gram runs over an end
+            if k > 2:  # no n-gram runs over an end
+                here = here[self.code[at[here] - 1] != self.code[0]]
+                here = here[grams["of"][at[here] - 1] >= 0]
+            left, right = grams["of"][at[here] - 1], grams["of"][at[here]]
+            sort, first, _ = _distinct(left, right)
+            left, right = left[sort[first]].astype(np.int64), right[sort[first]].astype(np.int64)
+            of = np.full(len(self.code), -1, np.int32)
+            fresh = np.zeros(len(sort), np.int32)
+            fresh[first[1:]] = 1
+            of[at[here[sort]]] = np.cumsum(fresh)
+            n = len(left)
             # without a context of this order, the next lower order's probability stands
-            logp = logp.copy()
-            logp[context + 1] += np.log10(trie.mass[k] / (times[context] + trie.mass[k]))
-            fresh, begin, new_logp = np.full(n, -1), np.full(n, -1), np.zeros(n)
-            new_times, new_sums = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            at = context[node[context + 1] >= 0] + 1
-            if len(at):
-                successor = node[at] if k == 2 else node[at] - start[at]
-                sort, first, repeats = _distinct(node[at - 1], successor)
-                pick = at[sort[first]]
-                found = trie.find(k, node[pick - 1], times[pick - 1], sums[pick - 1], before[pick], successor[sort[first]])
-                extra = (np.zeros(len(pick), np.int64), np.zeros(len(pick), np.int64))
+            logp = grams["logp"][right]
+            times, context, node = grams["count"][left], grams["node"][left], grams["node"][right]
+            logp += np.where(context >= 0, np.log10(trie.mass[k] / (times + trie.mass[k])), 0.0)
+            new = {"node": np.full(n, -1), "start": np.full(n, -1), "logp": logp, "count": np.zeros(n, np.int64), "before": np.zeros(n, np.int64), "last": grams["last"][right], "of": of}
+            ask = np.flatnonzero((context >= 0) & (node >= 0))
+            if len(ask):
+                successor = node[ask] if k == 2 else node[ask] - grams["start"][right[ask]]
+                found, found_logp, start = trie.find(k, context[ask], times[ask], grams["before"][left[ask]], before[new["last"][ask]], successor)
+                hit = found >= 0
+                ask, found = ask[hit], found[hit]
+                logp[ask], new["node"][ask], new["start"][ask] = found_logp[hit], found, start[hit]
                 if k < order or more:
-                    hit = np.flatnonzero(found[0] >= 0)
-                    for whole, part in zip(extra, trie.counts(k, found[0][hit]), strict=True):
-                        whole[hit] = part
-                for whole, part in zip((fresh, new_logp, begin, new_times, new_sums), (*found, *extra), strict=True):
-                    whole[at[sort]] = np.repeat(part, repeats)
-                hit = np.flatnonzero(fresh >= 0)
-                logp[hit] = new_logp[hit]
-            times, sums = new_times, new_sums
-            levels.append((fresh, begin, logp, times, sums))
-        return counts, logp, levels
+                    new["count"][ask], new["before"][ask] = trie.counts(k, found)
+            tokens[here] = logp[of[at[here]]]
+            grams = new
+        return counts[self.code[at]], tokens, grams
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list, np.ndarray]]:
+    """Parts of the batches (row, train, text) with about SLICE bytes of text, over the batches' bounds: the parts, their texts, which of them train."""
+    parts: list = []
+    texts: list = []
+    size = 0
+    for part, some in chunks(batches, limit=SLICE // 4):
+        parts.append(part)
+        texts += some
+        size += sum(len(t) for t in some if t is not None)
+        if size >= SLICE:
+            yield parts, texts, _train(parts)
+            parts, texts, size = [], [], 0
+    if parts:
+        yield parts, texts, _train(parts)
+
+
+def _train(parts: list[pa.RecordBatch]) -> np.ndarray:
+    return np.concatenate([p.column("train").to_numpy(zero_copy_only=False) for p in parts]).astype(bool)
 
 
 def _count_words(rows: DataFrame) -> DataFrame:
+    """(hash, n) over the training rows (train, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts, _ in _slices(batches):
+            code, hashes, _ = _words(texts)
+            n = np.bincount(code[1:], minlength=len(hashes))
+            yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(n)], names=["hash", "n"])
+
+    return map_batches(rows.filter("train").select("train", "text"), run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def _code(rows: DataFrame, trie: Trie) -> DataFrame:
+    """(path, ids) of each slice of rows (id, train, text): a file of word codes in the shared folder, and the ids of its texts."""
+    shipped = rows.sparkSession.sparkContext.broadcast(trie)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in text_slices(batches, SLICE):
-            counts: Counter = Counter()
-            for t in texts:
-                counts.update((t or b"").lower().split())
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in counts] + [END], np.uint64)
-            yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array([*counts.values(), len(texts)], pa.int64())], names=["hash", "n"])
+        own = shipped.value
+        for parts, texts, train in _slices(batches):
+            path = f"{own.folder}/slices/{uuid.uuid4().hex}"
+            Slice.of(texts, train, own).write(path)
+            ids = pa.concat_arrays([p.column(0) for p in parts])
+            yield pa.record_batch([pa.array([path]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=["path", "ids"])
 
-    return map_batches(rows.select("text"), run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return cut(map_batches(rows, run, f"path string, ids array<{rows.schema[0].dataType.simpleString()}>"))
 
 
 def _write_words(counted: DataFrame, folder: str, bits: int) -> DataFrame:
@@ -336,35 +420,47 @@ def _write_words(counted: DataFrame, folder: str, bits: int) -> DataFrame:
     return map_batches(dealt, run, "shard long, size long, total long")
 
 
-def _blocks(rows: DataFrame, trie: Trie, k: int) -> DataFrame:
-    """(shard, keys, counts, lower): the distinct n-grams of each slice, packed by shard."""
-    shipped = rows.sparkSession.sparkContext.broadcast(trie)
+def _blocks(slices: DataFrame, trie: Trie, k: int) -> DataFrame:
+    """(shard, first, keys, counts, lower, size): the distinct n-grams of each slice's training texts, packed by shard."""
+    shipped = slices.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_trie = shipped.value
-        for texts in text_slices(batches, SLICE):
-            stream = Stream(texts)
-            _, lower, levels = stream.walk(own_trie, k - 1, True)
-            node, start, _, counts, before = levels[-1]
-            word_before = levels[0][4]
-            at = np.arange(1, len(node))
-            if k > 2:
-                at = at[(stream.code[at - 1] != 0) & (node[at - 1] >= 0) & (node[at] >= 0)]
-            successor = node[at] if k == 2 else node[at] - start[at]
-            order, fresh, n = _distinct(node[at - 1], successor)
-            at, successor = at[order[fresh]], successor[order[fresh]]
-            context = node[at - 1]
-            shard = own_trie.shard(counts[at - 1], before[at - 1], word_before[at])
-            out: list[list] = [[], [], [], [], [], []]
-            for s, own in _grouped(shard):
-                first = int(context[own[0]])
-                keys = (context[own] - first).astype(np.uint64) << np.uint64(32) | successor[own].astype(np.uint64)
-                for column, value in zip(out, (s, first, _pack(keys), _pack_small(n[own]), _pack_small(quantised(lower[at[own]])), len(own)), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["shard", "first", "keys", "counts", "lower", "size"])
-
-    return map_batches(rows.select("text"), run, "shard long, first long, keys binary, counts binary, lower binary, size long")
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                yield block(own_trie, Slice.read(path))
+
+    def block(own_trie: Trie, own: Slice) -> pa.RecordBatch:
+        at = 1 + np.flatnonzero(np.repeat(own.train, own.sizes))
+        _, _, grams = own.walk(own_trie, k - 1, at, True)
+        if k > 2:
+            at = at[own.code[at - 1] != own.code[0]]
+            at = at[grams["of"][at - 1] >= 0]
+        left, right = grams["of"][at - 1], grams["of"][at]
+        sort, first, n = _distinct(left, right)
+        left, right = left[sort[first]], right[sort[first]]
+        context, node = grams["node"][left], grams["node"][right]
+        successor = node if k == 2 else node - grams["start"][right]
+        word_before = own_trie.counts(1, own.ids)[1][grams["last"][right]] if len(left) else left
+        shard = own_trie.shard(grams["count"][left], grams["before"][left], word_before)
+        lower = quantised(grams["logp"][right])
+        out: list[list] = [[], [], [], [], [], []]
+        for s, mine in _grouped(shard):
+            base = int(context[mine[0]])
+            for column, value in zip(out, (s, base, _pack_pairs(context[mine] - base, successor[mine]), _pack_small(n[mine]), _pack_small(lower[mine]), len(mine)), strict=True):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        return pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["shard", "first", "keys", "counts", "lower", "size"])
+
+    return map_batches(slices.select("path"), run, "shard long, first long, keys binary, counts binary, lower binary, size long")
+
+
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, successor) in order, with their counts' sums and the lower order's probability."""
+    context, successor, n, lower = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order, fresh, _ = _distinct(context, successor)
+    keep = order[fresh]
+    return context[keep], successor[keep], np.add.reduceat(n[order], fresh), lower[keep]
 
 
 def _write_level(blocks: DataFrame, trie: Trie, k: int, top: bool) -> DataFrame:
@@ -373,13 +469,7 @@ def _write_level(blocks: DataFrame, trie: Trie, k: int, top: bool) -> DataFrame:
 
     def done(s: int, parts: list) -> pa.RecordBatch:
         own_trie = shipped.value
-        context = np.concatenate([f + (key >> np.uint64(32)).astype(np.int64) for f, key, _, _ in parts])
-        successor = np.concatenate([(key & np.uint64(0xFFFFFFFF)).astype(np.int64) for _, key, _, _ in parts])
-        n, lower = np.concatenate([c for _, _, c, _ in parts]), np.concatenate([x for _, _, _, x in parts])
-        order = np.lexsort((successor, context))
-        context, successor, n, lower = context[order], successor[order], n[order], lower[order]
-        fresh = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])])
-        n, context, successor, lower = np.add.reduceat(n, fresh), context[fresh], successor[fresh], lower[fresh]
+        context, successor, n, lower = _merged(parts)
         lists = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
         mass = own_trie.mass[k]
         times = own_trie.counts(k - 1, context[lists])[0]
@@ -406,23 +496,32 @@ def _write_level(blocks: DataFrame, trie: Trie, k: int, top: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
+        size = 0
         at = None
         for batch in batches:
-            for s, f, keys, counts, lower in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+            for s, f, keys, counts, lower in zip(*batch.columns[:5], strict=True):
+                s = s.as_py()
                 if s != at and held:
                     yield done(at, held)
-                    held = []
+                    held, size = [], 0
                 at = s
-                held.append((f, _unpack(keys), _unpack_small(counts), _unpack_small(lower)))
+                context, successor = _unpack_pairs(keys.as_py())
+                held.append((context + f.as_py(), successor, _unpack_small(counts.as_py()), _unpack_small(lower.as_py()).astype(np.uint16)))
+                size += len(context)
+                if size > max(MERGE, 2 * len(held[0][0])):
+                    held = [_merged(held)]
+                    size = len(held[0][0])
         if held:
             yield done(at, held)
 
     return map_batches(blocks.filter("size > 0").repartition("shard").sortWithinPartitions("shard"), run, "shard long, size long, total long")
 
 
-def build(rows: DataFrame, order: int = ORDER, mass: dict[int, float] | None = None, shard_tokens: int = SHARD_TOKENS) -> Trie:
-    """A trie of the texts in rows (text binary), its files in the shared folder."""
-    mass = MASS if mass is None else mass
+def _rows(docs: DataFrame, id_col: str, text_col: str, train: F.Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), train.alias("train"), F.col(text_col).cast("binary").alias("text"))
+
+
+def _vocabulary_of(rows: DataFrame, mass: dict[int, float], shard_tokens: int) -> Trie:
     folder = f"{mounted(shared_dir(rows.sparkSession))}/lm-{uuid.uuid4().hex}"
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     counted = _count_words(rows)
@@ -431,36 +530,59 @@ def build(rows: DataFrame, order: int = ORDER, mass: dict[int, float] | None = N
         state = {r.shard: r for r in _write_words(counted, folder, bits).collect()}
         trie = Trie(folder, bits, {s: r["size"] for s, r in state.items()}, {s: r.total for s, r in state.items()}, mass)
         wanted = max(1, trie.types // shard_tokens).bit_length()
-        if wanted <= bits + 2 or bits >= 16:
-            break
-        folder, bits = f"{folder}/finer", min(16, wanted)  # far more words than thought: cut finer
-    trie.shards = min(MOST_SHARDS, max(4, -(-trie.tokens // shard_tokens)))
+        if wanted <= bits + 2:
+            trie.shards = max(4, -(-trie.tokens // shard_tokens))
+            return trie
+        folder, bits = f"{folder}/finer", wanted  # far more words than thought: cut finer
+
+
+def _levels(slices: DataFrame, trie: Trie, order: int) -> Trie:
     for k in range(2, order + 1) if trie.tokens else ():
-        state = {r.shard: r for r in _write_level(_blocks(rows, trie, k), trie, k, k == order).collect()}
+        state = {r.shard: r for r in _write_level(_blocks(slices, trie, k), trie, k, k == order).collect()}
         trie.offsets.append(np.cumsum([0, *(state[i]["size"] if i in state else 0 for i in range(trie.shards))]))
         trie.before.append(np.cumsum([0, *(state[i].total if i in state else 0 for i in range(trie.shards))]))
     return trie
 
 
+def build(rows: DataFrame, order: int = ORDER, mass: dict[int, float] | None = None, shard_tokens: int = SHARD_TOKENS) -> Trie:
+    """A trie of the texts in rows (text binary), its files in the shared folder."""
+    rows = _rows(rows.select("text", F.lit(0).alias("id")), "id", "text", F.lit(True))
+    trie = _vocabulary_of(rows, MASS if mass is None else mass, shard_tokens)
+    return _levels(_code(rows, trie), trie, order)
+
+
+def _scored(slices: DataFrame, trie: Trie, id_col: str) -> DataFrame:
+    shipped = slices.sparkSession.sparkContext.broadcast(trie)
+    kind = slices.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_trie = shipped.value
+        for batch in batches:
+            for path, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = Slice.read(path)
+                n = len(own.sizes)
+                first = np.concatenate(([0], np.cumsum(own.sizes)[:-1]))
+                if own_trie.tokens:
+                    counts, logp, _ = own.walk(own_trie, len(own_trie.offsets), np.arange(1, len(own.code)), False)
+                    columns = [np.add.reduceat(counts > 0, first, dtype=np.int64), np.full(n, own_trie.tokens), np.add.reduceat(own_trie.unigram(counts), first), np.add.reduceat(logp, first)]
+                else:
+                    columns = [np.zeros(n, np.int64)] * 2 + [np.zeros(n)] * 2
+                yield pa.record_batch([ids.values, pa.array(np.asarray(own.sizes)), *map(pa.array, columns)], names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return map_batches(slices, run, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
 def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each row."""
-    shipped = docs.sparkSession.sparkContext.broadcast(trie)
-    source = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"))
+    return _scored(_code(_rows(docs, id_col, text_col, F.lit(False)), trie), trie, id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
-        for part, texts in chunks(batches, limit=SLICE):
-            stream = Stream(texts)
-            sizes = np.array(stream.sizes)
-            first = 1 + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            if own.tokens:
-                counts, logp, _ = stream.walk(own, len(own.offsets))
-                columns = [np.add.reduceat(counts > 0, first, dtype=np.int64), np.full(len(texts), own.tokens), np.add.reduceat(own.unigram(counts), first), np.add.reduceat(logp, first)]
-            else:
-                columns = [np.zeros(len(texts), np.int64)] * 2 + [np.zeros(len(texts))] * 2
-            yield pa.record_batch([part.column(0), pa.array(sizes), *map(pa.array, columns)], names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return map_batches(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def train_and_score(docs: DataFrame, train: F.Column, order: int = ORDER, mass: dict[int, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score() of all rows by a trie of those for which train holds; the texts are coded once for both."""
+    rows = _rows(docs, id_col, text_col, train)
+    trie = _vocabulary_of(rows, MASS if mass is None else mass, SHARD_TOKENS)
+    slices = _code(rows, trie)
+    return _scored(slices, _levels(slices, trie, order), id_col)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -468,7 +590,5 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    trie = build(docs.filter(~held_out()).select(F.col("text").cast("binary").alias("text")))
-    scored = score(docs, trie)
+    scored = train_and_score(table(spark, sf_dir, "documents"), ~held_out())
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

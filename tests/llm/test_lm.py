@@ -97,6 +97,16 @@ def test_empty_tables(spark):
     assert {(r.n_known, r.train_tokens, r.score) for r in lm.score(odd(spark), trie).collect()} == {(0, 0, 0.0)}
 
 
+def test_wide_pairs_and_merges_in_runs():
+    rng = np.random.default_rng(5)
+    for top in (1 << 20, 1 << 40):
+        context, successor = np.sort(rng.integers(0, top, 500)), rng.integers(0, top, 500)
+        got = lm._unpack_pairs(lm._pack_pairs(context, successor))
+        assert (got[0] == context).all() and (got[1] == successor).all()
+    parts = [tuple(np.array(x) for x in ([3, 3, 9], [1, 2, 0], [1, 1, 4], [7, 8, 9])), tuple(np.array(x) for x in ([3, 9], [2, 1], [5, 1], [8, 6]))]
+    assert [x.tolist() for x in lm._merged([lm._merged(parts[:1]), parts[1]])] == [[3, 3, 9, 9], [1, 2, 0, 1], [1, 6, 4, 1], [7, 8, 9, 6]]
+
+
 def test_sequences(tmp_path):
     rng = np.random.default_rng(3)
     for n, universe in ((1, 10), (800, 5), (5000, 10**6), (40_000, 10**11), (10, 2**40), (70_000, 70_001)):
@@ -104,6 +114,9 @@ def test_sequences(tmp_path):
         fano.write(str(tmp_path / "x"), *fano.encode(values, universe, "x"))
         got = fano.Sequence(*fano.read(str(tmp_path / "x")), "x")
         assert (got.get(np.arange(n)) == values).all()
+        if n > 1:
+            here, after = got.get_both(np.arange(n - 1))
+            assert (here == values[:-1]).all() and (after == values[1:]).all()
         once = np.unique(values)
         got = fano.Sequence(*fano.encode(once, universe, "x"), "x")
         ask = np.concatenate((rng.integers(0, universe, 3000), once[:3000]))
