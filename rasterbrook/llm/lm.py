@@ -59,7 +59,9 @@ MASS = {2: 1000.0, 3: 10.0, 4: 5.0, 5: 5.0}
 #: Occurrences of a shard; a task holds about 60 bytes for each n-gram of one.
 SHARD_TOKENS = 2 << 20
 #: Bytes of text that are counted or scored together.
-SLICE = 8 << 20
+SLICE = 6 << 20
+#: N-grams that are looked up together.
+QUESTIONS = 1 << 17
 #: N-grams that a shard gathers before it merges them.
 MERGE = 1 << 20
 STEP_LOG = 1 / 2048
@@ -313,16 +315,16 @@ class Slice:
         """
         counts, before = trie.counts(1, self.ids)
         counts, before, ids = np.append(counts, 0), np.append(before, trie.tokens), np.append(self.ids, -1)
-        grams = {"node": ids, "start": np.zeros(len(ids), np.int64), "logp": trie.unigram(counts), "count": counts, "before": before, "last": np.arange(len(ids)), "of": self.code}
+        grams = {"node": ids, "start": np.zeros(len(ids), np.int64), "logp": trie.unigram(counts), "count": counts, "before": before, "last": np.arange(len(ids), dtype=np.int32), "of": self.code}
         tokens = grams["logp"][self.code[at]]
-        here = np.arange(len(at))
+        here = np.arange(len(at), dtype=np.int32 if len(self.code) < 1 << 31 else np.int64)
         for k in range(2, order + 1):
             if k > 2:  # no n-gram runs over an end
                 here = here[self.code[at[here] - 1] != self.code[0]]
                 here = here[grams["of"][at[here] - 1] >= 0]
             left, right = grams["of"][at[here] - 1], grams["of"][at[here]]
             sort, first, _ = _distinct(left, right)
-            left, right = left[sort[first]].astype(np.int64), right[sort[first]].astype(np.int64)
+            left, right = left[sort[first]], right[sort[first]]
             of = np.full(len(self.code), -1, np.int32)
             fresh = np.zeros(len(sort), np.int32)
             fresh[first[1:]] = 1
@@ -332,9 +334,11 @@ class Slice:
             logp = grams["logp"][right]
             times, context, node = grams["count"][left], grams["node"][left], grams["node"][right]
             logp += np.where(context >= 0, np.log10(trie.mass[k] / (times + trie.mass[k])), 0.0)
-            new = {"node": np.full(n, -1), "start": np.full(n, -1), "logp": logp, "count": np.zeros(n, np.int64), "before": np.zeros(n, np.int64), "last": grams["last"][right], "of": of}
-            ask = np.flatnonzero((context >= 0) & (node >= 0))
-            if len(ask):
+            new = {"node": np.full(n, -1), "start": np.full(n, -1), "logp": logp, "count": np.zeros(n, np.int32 if trie.tokens < 1 << 31 else np.int64), "before": np.zeros(n, np.int64), "last": grams["last"][right], "of": of}
+            asked = np.flatnonzero((context >= 0) & (node >= 0))
+            del sort, first, fresh
+            for a in range(0, len(asked), QUESTIONS):
+                ask = asked[a : a + QUESTIONS]
                 successor = node[ask] if k == 2 else node[ask] - grams["start"][right[ask]]
                 found, found_logp, start = trie.find(k, context[ask], times[ask], grams["before"][left[ask]], before[new["last"][ask]], successor)
                 hit = found >= 0
