@@ -3,18 +3,28 @@
 A task collects the distinct pre-tokens of a slice of its texts. Those that
 are no token themselves become token-position rows, one per byte, that a
 recursive query joins with the merge table and contracts, each word's leftmost
-pair of least rank in each step, until no pair is left. Words of over
-LONG_WORD bytes go through a second recursive query that contracts, in one
-step, all disjoint leftmost-first occurrences of the least-ranked pair where
-that is the same (no token built from the merged one has a lower rank), so
-their steps don't grow with their length. Decoding unnests the ids and
-aggregates their bytes in order.
+pair of least rank in each step, until no pair is left. Decoding unnests the
+ids and aggregates their bytes in order.
 
-Memory per task: one slice of text, its pre-tokens, and at most twice CACHED
-words from slices before.
+Words of over LONG_WORD bytes are cut into pieces of PIECE bytes, contracted
+all at once, and joined again. A sequence of tokens is the word's encoding if
+and only if each two neighbours, contracted alone, stay as they are (the first
+merge over a boundary needs nothing but these two), so the seams are checked
+by contracting the pair on either side, and where one fails, a window around it
+is contracted anew, twice as wide each time. Windows of over LONG_WORD bytes
+go through a second recursive query that contracts, in one step, all disjoint
+leftmost-first occurrences of the least-ranked pair where that is the same (no
+token built from the merged one has a lower rank), and keeps only the newest
+row of each place.
+
+Memory per task: one slice of text, its pre-tokens, at most twice CACHED words
+and CACHED_BYTES from slices before, and rows in DuckDB in proportion to
+ROWS_AT_ONCE or the longest window; a window is the whole word only where
+no piece of it settles.
 
 Defined results: a null or empty text has no tokens, ids '' and decodes to no
-bytes. Rows are independent, so repeated rows repeat and an empty table stays so.
+bytes. Invalid UTF-8 in a text is read as U+FFFD. Rows are independent, so
+repeated rows repeat and an empty table stays so.
 """
 
 from __future__ import annotations
@@ -28,20 +38,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import chunks, map_batches, table
+from rasterbrook.llm.common import chunks, map_batches, table, utf8
 from rasterbrook.llm.pretokens import RANKS, load_ranks, splitter
 
 LONG_WORD = 64
+#: Bytes of a long word's pieces; a multiple of the short periods that texts repeat with.
+PIECE = 60
+#: Rows that a contraction may make over all its steps, about.
+ROWS_AT_ONCE = 2_000_000
+#: Token ids are below this.
+SHIFT = 1 << 31
 #: Words per recursive query, and words kept from one slice to the next.
 WORDS_AT_ONCE = 20_000
 CACHED = 150_000
+CACHED_BYTES = 48 << 20
 
-_CONTRACT = """
+_CONTRACT = f"""
 WITH RECURSIVE s(w, p, t, p2, t2, done) AS (
   SELECT w, p, t, p2, t2, false FROM start
   UNION ALL (
   WITH live AS (SELECT * FROM s WHERE NOT done),
-  best AS (SELECT w, min(r * 1048576 + p) AS b FROM live JOIN merges ON k = t * 65536 + t2 GROUP BY w),
+  best AS (SELECT w, min(r * 1048576 + p) AS b FROM live JOIN merges ON k = t * {SHIFT} + t2 GROUP BY w),
   pick AS (SELECT l.w, l.p, b // 1048576 AS r, l.p2 AS q FROM best JOIN live l ON l.w = best.w AND l.p = b % 1048576),
   swap AS (SELECT pick.*, n.p2, n.t2 FROM pick JOIN live n ON n.w = pick.w AND n.p = pick.q)
   SELECT l.w, l.p,
@@ -53,19 +70,19 @@ WITH RECURSIVE s(w, p, t, p2, t2, done) AS (
 SELECT w, string_agg(CAST(t AS VARCHAR), ' ' ORDER BY p) AS ids FROM s WHERE done GROUP BY w
 """
 
-_CONTRACT_LONG = """
-WITH RECURSIVE s(i, w, p, t) AS (
-  SELECT 0, w, p, t FROM start
-  UNION ALL
-  SELECT i + 1, w, p, CASE WHEN take THEN r ELSE t END FROM (
+_CONTRACT_LONG = f"""
+WITH RECURSIVE s(w, p, t) USING KEY (w, p) AS (
+  SELECT w, p, t FROM start
+  UNION (
+  SELECT w, p, CASE WHEN take THEN r ELSE -1 END FROM (
     SELECT *, lag(take, 1, false) OVER (PARTITION BY w ORDER BY p) AS gone FROM (
       SELECT *, hit AND CASE WHEN safe THEN row_number() OVER (PARTITION BY w, hit, k - nth ORDER BY p) % 2 = 1 ELSE nth = 1 END AS take FROM (
         SELECT *, sum(CAST(hit AS INT)) OVER (PARTITION BY w ORDER BY p) AS nth FROM (
-          SELECT *, coalesce(r = min(r) OVER (PARTITION BY w), false) AS hit, count(r) OVER (PARTITION BY w) AS n FROM (
+          SELECT *, coalesce(r = min(r) OVER (PARTITION BY w), false) AS hit FROM (
             SELECT x.*, m.r, m.safe FROM (
-              SELECT i, w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS t2, row_number() OVER (PARTITION BY w ORDER BY p) AS k FROM s) x
-            LEFT JOIN merges m ON m.k = x.t * 65536 + x.t2)) WHERE n > 0))) WHERE NOT gone)
-SELECT w, string_agg(CAST(t AS VARCHAR), ' ' ORDER BY p) AS ids FROM (SELECT *, max(i) OVER (PARTITION BY w) AS last FROM s) WHERE i = last GROUP BY w
+              SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS t2, row_number() OVER (PARTITION BY w ORDER BY p) AS k FROM recurring.s WHERE t >= 0) x
+            LEFT JOIN merges m ON m.k = x.t * {SHIFT} + x.t2))))) WHERE take OR gone))
+SELECT w, string_agg(CAST(t AS VARCHAR), ' ' ORDER BY p) AS ids FROM s WHERE t >= 0 GROUP BY w
 """
 
 _DECODE = """
@@ -80,6 +97,8 @@ class Codec:
 
     def __init__(self, path: str = RANKS):
         self.ranks = load_ranks(path)
+        if max(self.ranks.values()) >= SHIFT:
+            raise ValueError(f"token ids must be below {SHIFT}")
         left, right, rank = [], [], []
         for token, r in self.ranks.items():
             for i in range(1, len(token)):
@@ -91,9 +110,12 @@ class Codec:
         np.minimum.at(lowest, a, r)
         np.minimum.at(lowest, b, r)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self._table("merges", {"k": a * 65536 + b, "r": r, "safe": lowest[r] > r})
+        self._table("merges", {"k": a * SHIFT + b, "r": r, "safe": lowest[r] > r})
         self._table("vocabulary", {"t": list(self.ranks.values()), "hex": [x.hex() for x in self.ranks]})
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.token = {r: t for t, r in self.ranks.items()}
+        self.apart: dict[tuple[int, int], bool] = {}  # pairs of tokens that stay as they are
+        self.held = 0  # bytes of the words in self.ids
         self.ids: dict[str, str] = {}
         self.texts: dict[str, bytes] = {}
         self.older: tuple[dict[str, str], dict[str, bytes]] = {}, {}
@@ -115,30 +137,109 @@ class Codec:
         found = dict(self.db.execute(_CONTRACT_LONG if long else _CONTRACT).fetchall())
         return [found[i] for i in range(len(words))]
 
+    def contract_all(self, words: set[bytes]) -> dict[bytes, str]:
+        """Ids of each word, a bounded number of rows at a time."""
+        out: dict[bytes, str] = {}
+        for long in (False, True):
+            held: list[bytes] = []
+            rows = 0
+            for w in (w for w in words if (len(w) > LONG_WORD) == long):
+                more = len(w) if long else len(w) ** 2 // 2
+                if held and (rows + more > ROWS_AT_ONCE or len(held) >= WORDS_AT_ONCE):
+                    out.update(zip(held, self.contract(held, long), strict=True))
+                    held, rows = [], 0
+                held.append(w)
+                rows += more
+            if held:
+                out.update(zip(held, self.contract(held, long), strict=True))
+        return out
+
+    def contract_long(self, words: list[bytes]) -> list[str]:
+        """Ids of long words, by pieces that are joined and mended where two neighbours would have merged."""
+        cut = [[w[i : i + PIECE] for i in range(0, len(w), PIECE)] for w in words]
+        coded = self._numbers({p for c in cut for p in c})
+        state = []  # tokens, and the places of the seams among them
+        for c in cut:
+            runs = [coded[p] for p in c]
+            ends = np.cumsum([len(r) for r in runs])
+            state.append(([t for r in runs for t in r], ends[:-1].tolist()))
+        reach = 4
+        while True:
+            self._judge({(ids[i - 1], ids[i]) for ids, seams in state for i in seams})
+            windows: list[list[list[int]]] = []
+            for ids, seams in state:
+                spans: list[list[int]] = []
+                for i in seams:
+                    if not self.apart[ids[i - 1], ids[i]]:
+                        a, b = max(0, i - reach), min(len(ids), i + reach)
+                        if spans and a <= spans[-1][1]:
+                            spans[-1][1] = b
+                        else:
+                            spans.append([a, b])
+                windows.append(spans)
+            if not any(windows):
+                return [" ".join(map(str, ids)) for ids, _ in state]
+            raw = [[b"".join([self.token[t] for t in ids[a:b]]) for a, b in spans] for (ids, _), spans in zip(state, windows, strict=True)]
+            coded = self._numbers({r for rs in raw for r in rs})
+            fresh = []
+            for (ids, _), spans, rs in zip(state, windows, raw, strict=True):
+                out: list[int] = []
+                seams, last = [], 0
+                for (a, b), r in zip(spans, rs, strict=True):
+                    out += ids[last:a]
+                    seams += [len(out)] if a else []
+                    out += coded[r]
+                    seams += [len(out)] if b < len(ids) else []
+                    last = b
+                fresh.append((out + ids[last:], seams))
+            state = fresh
+            reach *= 2
+
+    def _numbers(self, words: set[bytes]) -> dict[bytes, list[int]]:
+        return {w: list(map(int, ids.split())) for w, ids in self.contract_all(words).items()}
+
+    def _judge(self, pairs: set[tuple[int, int]]) -> None:
+        """Makes self.apart know all these pairs."""
+        if len(self.apart) > CACHED:
+            self.apart = {}
+        new = {p: self.token[p[0]] + self.token[p[1]] for p in pairs if p not in self.apart}
+        coded = self.contract_all(set(new.values()))
+        self.apart.update((p, coded[w] == f"{p[0]} {p[1]}") for p, w in new.items())
+
     def learn(self, words: set[str]) -> None:
         """Makes self.ids know all these words, and self.texts what their ids decode to."""
-        if len(self.ids) > CACHED:  # words that the last CACHED didn't use are forgotten
+        if len(self.ids) > CACHED or self.held > CACHED_BYTES:  # words that the last ones didn't use are forgotten
             self.older, self.ids = (self.ids, self.texts), {}
-            self.texts = {}
+            self.texts, self.held = {}, 0
         ids, texts = self.older
         for w in words.intersection(ids).difference(self.ids):
             self.ids[w] = ids[w]
             self.texts[ids[w]] = texts[ids[w]]
+            self.held += len(w)
         new = [(w, w.encode()) for w in words.difference(self.ids)]
-        rest: dict[bool, list] = {False: [], True: []}
+        self.held += sum(len(raw) for _, raw in new)
+        short = {}
+        long = []
         for w, raw in new:
             whole = self.ranks.get(raw)
             if whole is not None:
                 self.ids[w] = str(whole)
+            elif len(raw) <= LONG_WORD:
+                short[raw] = w
             else:
-                rest[len(raw) > LONG_WORD].append((w, raw))
-        for long, pairs in rest.items():
-            for i in range(0, len(pairs), WORDS_AT_ONCE):
-                part = pairs[i : i + WORDS_AT_ONCE]
-                self.ids.update(zip((w for w, _ in part), self.contract([raw for _, raw in part], long), strict=True))
+                long.append((w, raw))
+        self.ids.update((short[raw], ids) for raw, ids in self.contract_all(set(short)).items())
+        self.ids.update(zip((w for w, _ in long), self.contract_long([raw for _, raw in long]), strict=True))
         fresh = [x for x in {self.ids[w] for w, _ in new} if x not in self.texts]
-        for i in range(0, len(fresh), WORDS_AT_ONCE):
-            self.texts.update(self.decode(fresh[i : i + WORDS_AT_ONCE]))
+        held, size = [], 0
+        for x in fresh:
+            if held and (len(held) >= WORDS_AT_ONCE or size + len(x) > ROWS_AT_ONCE):
+                self.texts.update(self.decode(held))
+                held, size = [], 0
+            held.append(x)
+            size += len(x)
+        if held:
+            self.texts.update(self.decode(held))
 
     def decode(self, coded: list[str]) -> dict[str, bytes]:
         """Sequences of ids to their bytes, by ordered aggregation."""
@@ -166,7 +267,7 @@ def codec(path: str) -> Codec:
 
 def round_trip(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids, decoded): ids in decimal, joined by a blank; decoded is binary."""
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col), utf8(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

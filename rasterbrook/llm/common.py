@@ -53,6 +53,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def utf8(text: Column | str) -> Column:
+    """A text column as Python workers can read it: each invalid UTF-8 sequence is U+FFFD."""
+    return F.make_valid_utf8((F.col(text) if isinstance(text, str) else text).cast("string"))
+
+
 def release() -> None:
     """Gives freed memory back, which a worker that is kept would hold otherwise."""
     pa.default_memory_pool().release_unused()

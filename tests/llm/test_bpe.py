@@ -1,6 +1,9 @@
+import base64
 import hashlib
+import random
 
 import public_tokenizers
+import regex
 import tiktoken
 from helpers import ODD_TEXTS, empty, odd, same
 
@@ -41,6 +44,41 @@ def test_empty(spark):
     assert bpe.digests(bpe.round_trip(empty(spark))).collect() == []
 
 
+def long_words():
+    rng = random.Random(4)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    yield from (letters[:10_000], letters[:100_000], letters)
+    yield base64.b64encode(rng.randbytes(30_000)).decode().replace("+", "A").replace("/", "B")
+    yield "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(20_000))
+    yield "abcdefg" * 3_000
+    yield "ha" * 50_001
+    yield "=" * 100_003
+    yield ("the" * 7 + "quick" * 3) * 500
+
+
+def test_long_words_are_the_library_s():
+    codec, encoding = bpe.Codec(), library()
+    for word in long_words():
+        want = [i for piece in regex.findall(public_tokenizers.PATTERN, word) for i in encoding._core_bpe.encode_single_piece(piece.encode())]
+        counts, ids, back = codec.run([word])
+        assert ids[0] == " ".join(map(str, want)) and counts[0] == len(want) and back[0] == word.encode()
+
+
+def test_invalid_utf8_is_replaced(spark):
+    docs = spark.sql("SELECT 1 AS doc_id, cast(unhex('61FFC3622020E282') AS string) AS text")
+    assert bytes(bpe.round_trip(docs).first().decoded).decode().replace("\ufffd", "?").startswith("a?")
+
+
+def test_wide_ids(tmp_path):
+    """Ids of 65,536 and more are kept apart."""
+    ranks = load_ranks()
+    path = tmp_path / "wide.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {r + 70_000 * (r >= 256)}\n" for t, r in ranks.items()))
+    own, plain = bpe.Codec(str(path)), bpe.Codec()
+    text = "Some unusual words: thouwh NDESWH ciónasta"
+    assert own.run([text])[1][0] == " ".join(str(int(x) + 70_000 * (int(x) >= 256)) for x in plain.run([text])[1][0].split())
+
+
 def test_both_recursions_agree_and_the_cache_may_be_dropped(monkeypatch):
     codec, encoding = bpe.Codec(), library()
     words = [w.encode() for w in [" thouwh", "NDESWH", "aaaaaaaaaaaaaaaaaaaaaaa", "ciónasta", "=====*****", "́̂", " 漢字漢字"]]
@@ -51,7 +89,5 @@ def test_both_recursions_agree_and_the_cache_may_be_dropped(monkeypatch):
 
 
 def test_split_is_the_pattern():
-    import regex
-
     for t in ODD_TEXTS:
         assert splitter()(t or "") == regex.findall(public_tokenizers.PATTERN, t or "")
