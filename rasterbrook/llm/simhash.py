@@ -18,9 +18,13 @@ Only spanning links leave a bucket; components are joined by alternating star
 contraction, as tables, never on the driver.
 
 Defined results: a null or word-less text has fingerprint zero and is linked
-like any other. Equal rows share their fingerprint and component. Rows with a
-null doc_id get the component of their fingerprint and never name one; if no
-row of a component has an id, component_id is null. An empty table gives none.
+like any other. Equal rows share their fingerprint and component. Ids are of
+any type with an order. Rows with a null id get the component of their
+fingerprint and never name one; if no row of a component has an id,
+component_id is null. An empty table gives none. keep_one keeps one row of each
+component: that of the least id (a null id counts last), then the least text by
+two hashes and the length; of rows equal in both, one. Rows that share an id
+but not a component are told apart.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ HOT = 4096
 FIELDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PAIRS = tuple(combinations(range(5), 2))
 FANOUT = 8
+#: Names (some 40 bytes each) that keep_one broadcasts at most.
+MOST_BROADCAST = 500_000
 #: Index nodes that a search looks at together.
 FRONTIER = 1 << 18
 
@@ -71,13 +77,15 @@ def fingerprint_batch(texts: list[bytes | None], k: int = SHINGLE) -> np.ndarray
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row of docs."""
+    """(doc_id, fp): one row per row of docs; after them h1, h2 and n, two hashes and the length of its text."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    source = source.select("doc_id", F.xxhash64("text").alias("h1"), F.crc32("text").alias("h2"), F.octet_length("text").alias("n"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
-            yield pa.record_batch([part.column(0), pa.array(fingerprint_batch(texts).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([part.column(0), pa.array(fingerprint_batch(texts).view(np.int64)), *part.columns[1:4]], names=["doc_id", "fp", "h1", "h2", "n"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), run, "doc_id long, fp long")
+    return map_batches(source, run, f"doc_id {source.schema[0].dataType.simpleString()}, fp long, h1 long, h2 long, n int")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -258,22 +266,51 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """fingerprints(), and (fp, root) of each distinct one."""
+    prints = cut(fingerprints(docs, id_col, text_col))
+    codes = prints.select("fp").distinct()
+    roots = components(spanning_links(codes))
+    return prints, codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of docs."""
-    prints = cut(fingerprints(docs, id_col, text_col))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(spanning_links(reps.select("fp")))
-    placed = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints, placed = _placed(docs, id_col, text_col)
+    placed = placed.join(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     owners = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(owners, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group: the least doc_id, once. Rows without an id stay, since nothing names them."""
-    kept = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    return named.union(docs.filter(F.col(id_col).isNull()))
+    """docs with one row of each component.
+
+    Rows are named by id and text. What goes is mostly little, so it is
+    broadcast up to MOST_BROADCAST names; beyond, both sides are exchanged.
+    """
+    names = ["doc_id", "h1", "h2", "n"]
+    prints, placed = _placed(docs, id_col, text_col)
+    rows = prints.groupBy("fp", *names).agg(F.count("*").alias("copies")).join(placed, "fp")
+    order = F.struct(F.col("doc_id").isNull(), *names)
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    # names that go, and names that stay but stand on several rows
+    marked = rows.join(first, "root").select(*names, (order == F.col("first")).alias("stays"), "copies").filter("NOT stays OR copies > 1")
+    marked = cut(marked)
+    few = marked.count() <= MOST_BROADCAST
+    text = F.col(text_col).cast("binary")
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h1"), F.crc32(text).alias("h2"), F.octet_length(text).alias("n"))
+
+    def matched(side: DataFrame, how: str) -> DataFrame:
+        side = side.select(*(F.col(c).alias(f"_{c}") for c in names))
+        same = F.lit(True)
+        for c in names:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return whole.join(F.broadcast(side) if few else side, same, how)
+
+    once = matched(marked, "left_anti").select("row")
+    again = matched(marked.filter("stays"), "left_semi").dropDuplicates(names).select("row")
+    return once.union(again).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

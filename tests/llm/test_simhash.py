@@ -114,8 +114,19 @@ def test_components_of_long_chain(spark):
     assert {r.root for r in simhash.components(df).collect()} == {0}
 
 
-def test_keep_one_keeps_columns_and_one_of_each(spark):
-    df = spark.createDataFrame([(1, "a b c d", "x", 1), (2, "a b c d", "y", 2), (1, "a b c d", "x", 1), (None, "a b c d", "z", 3), (3, "p q r s t", None, None)], SCHEMA)
-    out = simhash.keep_one(df)
-    assert out.columns == df.columns
-    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "None"]
+def test_keep_one_keeps_columns_and_one_of_each(spark, monkeypatch):
+    rows = [(1, "a b c d", "x", 1), (2, "a b c d", "y", 2), (1, "a b c d", "x", 1), (None, "a b c d", "z", 3), (3, "p q r s t", None, None)]
+    rows += [(5, "one text about many things", "x", 1), (5, "another that has nothing in common", "x", 1), (None, "named by nothing at all", None, None), (None, "named by nothing at all", None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(str, [(1, "a b c d"), (3, "p q r s t"), (5, "one text about many things"), (5, "another that has nothing in common"), (None, "named by nothing at all")]))
+    for most in (1000, 0):
+        monkeypatch.setattr(simhash, "MOST_BROADCAST", most)
+        out = simhash.keep_one(df)
+        assert out.columns == df.columns
+        assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == want
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("b", "a b c d"), ("a", "a b c d"), ("z", "quite another text")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [("a", "a"), ("b", "a"), ("z", "z")]
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == ["a", "z"]
