@@ -5,9 +5,12 @@ lower-cased. An item's windows are its runs of WINDOW words, or all its words
 if it has fewer. The set is built on the driver from the benchmark, in slices
 of at most SLICE_BYTES of text, and each slice is broadcast; documents are
 scanned against one slice after another, so no set in memory outgrows the
-bound however large the benchmark is. A scan maps words to the benchmark's
-vocabulary, hashes only windows made of known words, probes the sorted hashes,
-and verifies each hit word by word.
+bound however large the benchmark is. A slice is a few arrays, some five bytes
+for each byte of text: its words, joined by blanks, where each word begins, the
+sorted hashes of its distinct words and of its windows, and where these stand.
+A scan hashes the distinct words of a slice of documents, hashes only windows
+made of known words, probes the sorted hashes, and verifies each hit letter by
+letter against the item's words.
 
 Defined results: a null or word-less text has no words and no hits. Items that
 are null or word-less have no windows. Items without an id mark words but are
@@ -19,11 +22,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
 #: Bytes of benchmark text behind one broadcast set.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 
 #: Every ASCII byte but 0-9 and letters to a blank, A-Z to a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -45,46 +48,69 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
+def word_hashes(found: list[bytes]) -> np.ndarray:
+    known: dict[bytes, int] = dict.fromkeys(found, 0)
+    for w in known:
+        known[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+
+
+def _window_hashes(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        out = out * _MIX + hashes[at + j]
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class TestSet:
     """Windows of some items. items: (name or None, text)."""
 
     __test__ = False  # not a test class
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple[bytes, ...], set]] = {}
-        for name, text in items:
+        self.names = [name for name, _ in items]
+        flat: list[bytes] = []
+        sizes = []
+        for _, text in items:
             found = words(text)
-            for w in found:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-            n = min(window, len(found))
-            for i in range(len(found) - n + 1 if n else 0):
-                self.windows.setdefault(n, {}).setdefault(tuple(found[i : i + n]), set()).add(name)
-        self.hashes = {n: np.unique(self._hash(np.array([[self.vocabulary[w] for w in x] for x in keys], np.uint64))) for n, keys in self.windows.items()}
-
-    @staticmethod
-    def _hash(ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), np.uint64)
-        for j in range(ids.shape[1]):
-            out = out * _MIX + ids[:, j]
-            out ^= out >> np.uint64(29)
-        return out
-
-    def scan(self, found: list[bytes], hit: np.ndarray, names: set) -> None:
+            flat += found
+            sizes.append(len(found))
+        self.text = b" ".join(flat)
+        self.starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in flat], dtype=np.int64)))
+        hashes = word_hashes(flat)
+        del flat
+        self.vocabulary = np.unique(hashes)
+        self.items = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))  # first word of each
+        sizes = np.array(sizes, np.int64)
+        length = np.minimum(sizes, window)
+        self.windows = {}  # length: sorted hashes, and the first word of each
+        for n in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == n)
+            at = np.concatenate([np.arange(self.items[i], self.items[i + 1] - n + 1) for i in own])
+            found = _window_hashes(hashes, at, n)
+            order = np.argsort(found, kind="stable")
+            self.windows[n] = found[order], at[order]
+
+    def scan(self, found: list[bytes], hashes: np.ndarray, hit: np.ndarray, names: set) -> None:
         """Marks the words of found that lie in a window, and adds the items' names."""
-        ids = np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.uint64, len(found))
-        runs = np.concatenate(([0], np.cumsum(ids > 0)))
-        for n, keys in self.windows.items():
-            at = np.flatnonzero(runs[n:] - runs[:-n] == n) if len(found) >= n else ()
-            if len(at):
-                hashes = self._hash(ids[at[:, None] + np.arange(n)])
-                known = self.hashes[n]
-                place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                for i in at[known[place] == hashes].tolist():
-                    who = keys.get(tuple(found[i : i + n]))
-                    if who is not None:
+        if not len(self.vocabulary) or not len(hashes):
+            return
+        known = self.vocabulary[np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)] == hashes
+        runs = np.concatenate(([0], np.cumsum(known)))
+        for n, (sorted_, places) in self.windows.items():
+            at = np.flatnonzero(runs[n:] - runs[:-n] == n) if len(found) >= n else np.zeros(0, np.int64)
+            if not len(at):
+                continue
+            mine = _window_hashes(hashes, at, n)
+            lo, hi = np.searchsorted(sorted_, mine), np.searchsorted(sorted_, mine, "right")
+            for i, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                here = b" ".join(found[i : i + n])
+                for first in places[a:b].tolist():
+                    if self.text[self.starts[first] : self.starts[first + n] - 1] == here:
                         hit[i : i + n] = True
-                        names |= who
+                        names.add(self.names[np.searchsorted(self.items, first, "right") - 1])
 
 
 def test_sets(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> Iterator[TestSet]:
@@ -126,15 +152,17 @@ def mark(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             out: list[list] = [[], [], [], [], []]
-            state = [(found, np.zeros(len(found), bool), set()) for found in map(words, texts)]
+            split = [words(t) for t in texts]
+            hashes = np.split(word_hashes([w for found in split for w in found]), np.cumsum([len(x) for x in split])[:-1])
+            state = [(found, np.zeros(len(found), bool), set(), h) for found, h in zip(split, hashes, strict=True)]
             for s in shipped:
                 own = s.value
-                for found, hit, names in state:
-                    own.scan(found, hit, names)
+                for found, hit, names, h in state:
+                    own.scan(found, h, hit, names)
                 del own
                 if len(shipped) > 1:
                     s.__dict__.pop("_value", None)  # one slice in memory at a time; it is read again from the broadcast's file
-            for text, (found, hit, names) in zip(texts, state, strict=True):
+            for text, (found, hit, names, _) in zip(texts, state, strict=True):
                 n = int(hit.sum())
                 row = (len(found), n, sorted(x for x in names if x is not None), _spans(text, hit) if n else [], n > 0 and share * n >= len(found))
                 for column, value in zip(out, row, strict=True):

@@ -1,4 +1,6 @@
 import hashlib
+import pickle
+import random
 import re
 
 from helpers import check_sql, empty, odd
@@ -59,3 +61,17 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b")], ITEM)
     assert decontam.mark(empty(spark), bench).collect() == []
     assert {r.n_hit for r in decontam.mark(odd(spark), bench.limit(0)).collect()} == {0}
+
+
+def test_a_set_s_memory_is_bounded_by_its_text():
+    rng = random.Random(1)
+    items = [(str(i), " ".join(f"w{rng.randrange(10**6)}" for _ in range(500)).encode()) for i in range(600)]
+    size = sum(len(t) for _, t in items)
+    made = decontam.TestSet(items)
+    arrays = [made.starts, made.vocabulary, made.items, *(a for w in made.windows.values() for a in w)]
+    assert len(made.text) + sum(a.nbytes for a in arrays) < 7 * size
+    assert len(pickle.dumps(made)) < 7 * size
+    found = decontam.words(items[17][1])
+    hit, names = decontam.np.zeros(len(found), bool), set()
+    made.scan(found, decontam.word_hashes(found), hit, names)
+    assert hit.all() and names == {"17"}
