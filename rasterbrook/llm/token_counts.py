@@ -1,14 +1,15 @@
 """Token counts that follow edits without encoding the document again.
 
-A document's pre-tokens are kept in leaves of about LEAF, under a segment tree
-whose nodes hold their subtree's characters and tokens. An edit walks down by
+A document's pre-tokens and their counts are kept in leaves of about LEAF, under
+a segment tree whose nodes hold their subtree's characters and tokens. An edit walks down by
 characters to its leaf, takes up the pre-tokens that it touches and those
 whose match looked at a changed character, splits the new text from there, and
 stops at the first boundary behind the edit that the old text had too: behind
 it both split alike, since a match depends on nothing before its start. Only
 what lies between is encoded; the sums on the leaves' paths are then updated.
 
-Defined results: a null text counts as empty. Edits are (start, end, text) in
+Defined results: a null text counts as empty; invalid UTF-8 in a text is read
+as U+FFFD. Edits are (start, end, text) in
 characters of the old text; bounds are clamped to it, reversed bounds count as
 an insertion at start, null edits and null fields as none, 0 and ''. They are
 applied from the last to the first; one that overlaps its successor is cut
@@ -27,7 +28,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import chunks, map_batches, table
+from rasterbrook.llm.common import chunks, map_batches, table, utf8
 from rasterbrook.llm.pretokens import RANKS, load_ranks, splitter
 
 LEAF = 32
@@ -60,19 +61,21 @@ class CountTree:
     def __init__(self, text: str, count: Callable[[list[str]], list[int]]):
         self.split, self.count = splitter(), count
         words = self.split(text)
-        tokens = count(words)
         self.pretokens = len(words)
         self.encoded = 0
-        self._build([(words[i : i + LEAF], sum(tokens[i : i + LEAF])) for i in range(0, len(words), LEAF)])
+        self._build(words, count(words))
 
-    def _build(self, leaves: list[tuple[list[str], int]]) -> None:
-        self.leaves = [words for words, _ in leaves] or [[]]
+    def _build(self, words: list[str], counts: list[int]) -> None:
+        """Leaves of LEAF pre-tokens with their counts, and the sums over them."""
+        starts = range(0, max(1, len(words)), LEAF)
+        self.leaves = [words[i : i + LEAF] for i in starts]
+        self.counts = [counts[i : i + LEAF] for i in starts]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.chars = [0] * (2 * self.width)
         self.tokens = [0] * (2 * self.width)
-        for i, (words, n) in enumerate(leaves):
-            self.chars[self.width + i] = sum(map(len, words))
-            self.tokens[self.width + i] = n
+        for i, (leaf, n) in enumerate(zip(self.leaves, self.counts, strict=True)):
+            self.chars[self.width + i] = sum(map(len, leaf))
+            self.tokens[self.width + i] = sum(n)
         for i in range(self.width - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -98,10 +101,10 @@ class CountTree:
                 node += 1
         return node - self.width, before
 
-    def _set(self, leaf: int, words: list[str], tokens: int) -> None:
-        self.leaves[leaf] = words
+    def _set(self, leaf: int, words: list[str], counts: list[int]) -> None:
+        self.leaves[leaf], self.counts[leaf] = words, counts
         node = self.width + leaf
-        self.chars[node], self.tokens[node] = sum(map(len, words)), tokens
+        self.chars[node], self.tokens[node] = sum(map(len, words)), sum(counts)
         while node > 1:
             node //= 2
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -117,10 +120,11 @@ class CountTree:
         skip = next((i for i, e in enumerate(ends[1:]) if e >= start - 1), len(ends) - 1)
         head, at = self.leaves[first][:skip], ends[skip]
         last, old, reach = first, self.leaves[first][skip:], ends[-1]
+        head_counts, old_counts = self.counts[first][:skip], self.counts[first][skip:]
         while True:
             while reach < end or reach == at and last + 1 < len(self.leaves):
                 last += 1
-                old = old + self.leaves[last]
+                old, old_counts = old + self.leaves[last], old_counts + self.counts[last]
                 reach += sum(map(len, self.leaves[last]))
             span = "".join(old)
             changed = span[: start - at] + new + span[end - at :]
@@ -151,24 +155,22 @@ class CountTree:
                 break
             reach_before = reach
             last += 1
-            old = old + self.leaves[last]
+            old, old_counts = old + self.leaves[last], old_counts + self.counts[last]
             reach = reach_before + sum(map(len, self.leaves[last]))
         counts = self.count(fresh)
         self.encoded += len(fresh)
         self.pretokens += len(fresh) + len(tail) - len(old)
-        # what is kept of the old leaves keeps its counts; words are counted from memory, not encoded
+        # what is kept of the old leaves keeps its counts
         words = head + fresh + tail
-        tokens = sum(self.count(head)) + sum(counts) + sum(self.count(tail))
+        counts = head_counts + counts + old_counts[len(old) - len(tail) :]
         for i in range(first, last + 1):
-            self._set(i, words if i == first else [], tokens if i == first else 0)
+            self._set(i, words if i == first else [], counts if i == first else [])
         if len(words) > 4 * LEAF:
             self._spread()
 
     def _spread(self) -> None:
-        """Evens the leaves out; nothing is encoded for it."""
-        words = [w for leaf in self.leaves for w in leaf]
-        tokens = self.count(words)
-        self._build([(words[i : i + LEAF], sum(tokens[i : i + LEAF])) for i in range(0, len(words), LEAF)])
+        """Evens the leaves out; counts go with their pre-tokens."""
+        self._build([w for leaf in self.leaves for w in leaf], [n for leaf in self.counts for n in leaf])
 
     def apply(self, edits: list[dict | None]) -> int:
         """Applies edits of the old text; returns how many."""
@@ -190,7 +192,7 @@ def count_edited(docs: DataFrame, edits: Column, path: str = RANKS, id_col: str
 
     edits: array<struct<start:int,end:int,text:string>> per row.
     """
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), edits.cast("array<struct<start:int,end:int,text:string>>").alias("edits"))
+    source = docs.select(F.col(id_col), utf8(text_col).alias("text"), edits.cast("array<struct<start:int,end:int,text:string>>").alias("edits"))
     names = ["n_tokens", "n_pretokens", "n_edits", "n_tokens_edited", "n_reencoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,7 @@ def count_edited(docs: DataFrame, edits: Column, path: str = RANKS, id_col: str
 
 def edit_log(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """Three edits a row, placed by the id: an insertion, a deletion and a replacement."""
-    size = F.coalesce(F.char_length(text_col), F.lit(0))
+    size = F.coalesce(F.char_length(utf8(text_col)), F.lit(0))
 
     def at(k: int) -> Column:
         return F.pmod(F.crc32(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(k)))), size + 1).cast("int")

@@ -74,3 +74,23 @@ def test_odd_rows_edits_and_empty(spark):
     assert tree.text() == "hello world!"
     assert tree.apply(None) == 0
     random.seed(1)
+
+
+def test_invalid_utf8_is_replaced(spark):
+    docs = spark.sql("SELECT 1 AS doc_id, cast(unhex('61FF62') AS string) AS text")
+    row = token_counts.count_edited(docs, token_counts.edit_log()).first()
+    assert row.n_tokens == full("a\ufffdb")[1]
+
+
+def test_leaves_keep_their_counts():
+    asked = []
+
+    def count(words):
+        asked.append(len(words))
+        return token_counts.counter(RANKS)(words)
+
+    tree = token_counts.CountTree("many other words here " * 400, count)
+    for at in range(4_000, 0, -100):
+        tree.replace(at, at + 2, " of new ones, and more, and yet more")
+    assert sum(asked[1:]) == tree.encoded  # nothing but what edits touched
+    assert tree.n_tokens == full(tree.text())[1]
