@@ -5,17 +5,20 @@ letters read as a blank, hashed to 2^BITS places; a place weighs
 log(1 + count) times its inverse document frequency, and a text's vector has
 length one. Document frequencies come from all training rows. The classifier
 is fitted on the driver, on about SAMPLE rows of each language, SAMPLE_TOTAL in all,
-drawn by hash (the documented bound; rows with equal hashes count once), with
+drawn by hash, and on no more than SAMPLE_PLACES of their features (the
+documented bound; rows with equal hashes count once), with
 follow-the-regularised-leader steps under L1 and L2 penalties. A fifth of the
 sample is kept for the temperature that the logits are divided by, chosen for
 least negative log-likelihood.
 
-Memory: 2^BITS x languages weights, at most MOST_LANGS languages (more raise
-ValueError); one slice of texts in a task.
+Memory: at most MOST_WEIGHTS weights; with more languages than leave 2^BITS
+places each, the n-grams are hashed to fewer places, so that any number of
+languages is learned. Texts are read in bands of BAND characters.
 
 Defined results: a text that is null or has no letter is `und` with score 0.
-Training rows without a language or an id are not learned from. With nothing
-to learn from, all texts are `und`. Ties go to the first language by name.
+Invalid UTF-8 in a text is read as U+FFFD, which is no letter. Training rows
+without a language or an id are not learned from. With nothing to learn from,
+all texts are `und`. Ties go to the first language by name.
 """
 
 from __future__ import annotations
@@ -27,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import chunks, fold, map_batches, table
+from rasterbrook.llm.common import chunks, cut, fold, map_batches, table, utf8
 
 BITS = 15
 ORDER = 3
 SAMPLE = 800
 SAMPLE_TOTAL = 20_000
-MOST_LANGS = 200
+SAMPLE_PLACES = 8_000_000
+MOST_WEIGHTS = 1 << 23
+#: Characters of a text whose n-grams are in memory at once.
+BAND = 1 << 18
 EPOCHS = 3
 #: FTRL's step sizes and the elastic net.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-3, 1e-3
@@ -55,29 +61,40 @@ def _letters() -> np.ndarray:
 _KEEP = _letters()
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Places of the text's n-grams, ascending, and how often each occurs."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.minimum(codes, 127)
-    codes = np.where((codes >= 128) | _KEEP[low], codes, 32).astype(np.uint64)
-    blank = codes == 32
-    codes = codes[~(blank & np.r_[False, blank[:-1]])]
-    found = []
-    h = np.zeros(len(codes), np.uint64)
-    for n in range(1, ORDER + 1):
-        h = (h[: len(codes) - n + 1] + codes[n - 1 :] + np.uint64(n)) * _MIX
-        h ^= h >> np.uint64(29)
-        found.append((h * _MIX) >> np.uint64(64 - BITS))
-    counts = np.bincount(np.concatenate(found).astype(np.int64), minlength=1 << BITS)
+    counts = np.zeros(1 << bits, np.int64)
+    before = np.zeros(0, np.uint64)  # the last codes of the band before, which its n-grams begin with
+    for start in range(0, max(1, len(text)), BAND):
+        band = (" " if start == 0 else "") + text[start : start + BAND].lower() + (" " if start + BAND >= len(text) else "")
+        codes = np.frombuffer(band.encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = np.minimum(codes, 127)
+        codes = np.where((codes >= 128) | _KEEP[low], codes, 32).astype(np.uint64)
+        blank = codes == 32
+        codes = codes[~(blank & np.r_[len(before) > 0 and before[-1] == 32, blank[:-1]])]
+        run = np.concatenate((before, codes))
+        h = np.zeros(len(run), np.uint64)
+        for n in range(1, ORDER + 1):
+            h = (h[: max(0, len(run) - n + 1)] + run[n - 1 :] + np.uint64(n)) * _MIX
+            h ^= h >> np.uint64(29)
+            fresh = h[max(0, len(before) - n + 1) :] * _MIX  # those that end in this band
+            counts += np.bincount((fresh >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(fresh), np.int64), minlength=1 << bits)
+        before = run[1 - ORDER :]
     places = np.flatnonzero(counts)
     return places, counts[places]
 
 
+def bits_for(langs: int) -> int:
+    """How many bits of a hash make a place, so that there are at most MOST_WEIGHTS weights."""
+    return max(0, min(BITS, (MOST_WEIGHTS // max(1, langs)).bit_length() - 1))
+
+
 class Model:
     """Weights, inverse document frequencies and temperature."""
 
     def __init__(self, langs: list[str], idf: np.ndarray):
         self.langs, self.idf = langs, idf.astype(np.float32)
+        self.bits = (len(idf) - 1).bit_length()
         self.weights = np.zeros((len(idf) + 1, len(langs)), np.float32)  # the last row is the bias
         self.temperature = 1.0
 
@@ -131,27 +148,27 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not has_letter(text):
             return UND, 0.0
-        places, counts = features(text)
+        places, counts = features(text, self.bits)
         s = self.logits(places, self.vector(places, counts)).astype(np.float64) / self.temperature
         p = np.exp(s - s.max())
         best = int(p.argmax())
         return self.langs[best], float(p[best] / p.sum())
 
 
-def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
+def _document_frequencies(rows: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     """How many of the rows' texts have each place, and how many texts there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << BITS) + 1, np.int64)
+        total = np.zeros((1 << bits) + 1, np.int64)
         for _, texts in chunks(batches):
             for t in texts:
                 if has_letter(t):
-                    total[features(t)[0]] += 1
+                    total[features(t, bits)[0]] += 1
                     total[-1] += 1
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["place", "n"])
 
-    out = np.zeros((1 << BITS) + 1, np.int64)
+    out = np.zeros((1 << bits) + 1, np.int64)
     for r in map_batches(rows.select("text"), run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
         out[r.place] = r.n
     return out[:-1], int(out[-1])
@@ -160,32 +177,35 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """rows: (doc_id, text, lang) to learn from."""
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"over {MOST_LANGS} languages")
-    langs = sorted(r.lang for r in counts)
+    counts = cut(rows.groupBy("lang").count())
+    langs = sorted(r.lang for r in counts.select("lang").collect())
+    bits = bits_for(len(langs))
     if not langs:
-        return Model([], np.zeros(1 << BITS))
-    df, n = _document_frequencies(rows)
+        return Model([], np.zeros(1 << bits))
+    df, n = _document_frequencies(rows, bits)
     model = Model(langs, np.log((1 + n) / (1 + df)) + 1)
-    sample = min(sample, max(20, SAMPLE_TOTAL // len(langs)))
+    sample = max(1, min(sample, SAMPLE_TOTAL // len(langs)))
     # a row is drawn if its hash falls into the first sample / count of all hashes
-    rate = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample / r["count"]))) for r in counts))
-    drawn = rows.withColumn("h", F.xxhash64(F.lit("sample"), "doc_id", "text")).filter((F.shiftrightunsigned("h", 11) / float(1 << 53)) < rate)
-    drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("h", "lang").limit(2 * sample * len(langs))
+    drawn = rows.withColumn("h", F.xxhash64(F.lit("sample"), "doc_id", "text")).join(counts, "lang").filter((F.shiftrightunsigned("h", 11) / float(1 << 53)) < sample / F.col("count"))
+    drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
     order = {name: i for i, name in enumerate(langs)}
-    vectors = sorted(_vectors(drawn).collect(), key=lambda r: (r.h, r.lang))
-    model.fit([(np.frombuffer(r.places, "<i4"), np.frombuffer(r.counts, "<i4"), order[r.lang]) for r in vectors])
+    vectors, size = [], 0
+    for r in _vectors(drawn, bits).orderBy("h", "lang").toLocalIterator():
+        size += len(r.places) // 4
+        if vectors and size > SAMPLE_PLACES:
+            break
+        vectors.append((np.frombuffer(r.places, "<i4"), np.frombuffer(r.counts, "<i4"), order[r.lang]))
+    model.fit(vectors)
     return model
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
+def _vectors(rows: DataFrame, bits: int) -> DataFrame:
     """(lang, h, places, counts) of (lang, h, text) with a letter: what is sent to the driver is bounded however long the texts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             kept = [i for i, t in enumerate(texts) if has_letter(t)]
-            found = [features(texts[i]) for i in kept]
+            found = [features(texts[i], bits) for i in kept]
             columns = [pa.array([x[j].astype("<i4").tobytes() for x in found], pa.binary()) for j in (0, 1)]
             yield pa.record_batch([*(part.column(c).take(pa.array(kept, pa.int64())) for c in ("lang", "h")), *columns], names=["lang", "h", "places", "counts"])
 
@@ -195,7 +215,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row, lang_pred, score): row is a struct of all columns of docs."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), utf8(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
@@ -208,7 +228,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 def trained_on(docs: DataFrame) -> Model:
     """A model from the rows of docs that are not held out."""
-    return train(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").filter(fold(FOLDS) != 0))
+    return train(docs.select("doc_id", utf8("text").alias("text"), F.make_valid_utf8("lang").alias("lang")).filter(fold(FOLDS) != 0))
 
 
 def known_language(docs: DataFrame, model: Model) -> DataFrame:

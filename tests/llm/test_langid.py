@@ -26,6 +26,31 @@ def test_features_are_counts_of_all_ngrams():
     assert len(places) <= counts.sum() and (np.diff(places) > 0).all()
 
 
+def test_bands_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    for text in ["", "a", "  !", "Some words, and  others 12 ñandú", "".join(rng.choice(list("ab  ,ñ漢Z"), 500))]:
+        want = langid.features(text)
+        for band in (1, 2, 3, 7):
+            monkeypatch.setattr(langid, "BAND", band)
+            got = langid.features(text)
+            assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+        monkeypatch.undo()
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_WEIGHTS", 1 << 12)
+    rows = [(i, f"{'abcdefghij'[i % 10] * 4} {'klmnopqrst'[i // 10 % 10] * 4}", f"l{i % 300}") for i in range(900)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300 and model.weights.size <= (1 << 12) + 300
+    assert model.predict("aaaa kkkk")[0] in model.langs
+
+
+def test_invalid_utf8(spark):
+    model = langid.Model(["a"], np.ones(4))
+    docs = spark.sql("SELECT 1 AS doc_id, cast(unhex('FF20C3') AS string) AS text UNION ALL SELECT 2, cast(unhex('FF6162') AS string)")
+    assert sorted(r.lang_pred for r in langid.identify(docs.select("doc_id", "text"), model).collect()) == ["a", "und"]
+
+
 def test_learns_by_the_stated_steps():
     """One step of follow-the-regularised-leader against the formula, coordinate by coordinate."""
     model = langid.Model(["a", "b"], np.ones(4))
