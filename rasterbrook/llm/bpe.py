@@ -47,19 +47,19 @@ PIECE = 60
 #: Rows that a contraction may make over all its steps, about.
 ROWS_AT_ONCE = 2_000_000
 #: Token ids are below this.
-SHIFT = 1 << 31
+MOST_IDS = 1 << 31
 #: Words per recursive query, and words kept from one slice to the next.
 WORDS_AT_ONCE = 20_000
-CACHED = 150_000
+CACHED = 300_000
 CACHED_BYTES = 48 << 20
 
-_CONTRACT = f"""
+_CONTRACT = """
 WITH RECURSIVE s(w, p, t, p2, t2, done) AS (
   SELECT w, p, t, p2, t2, false FROM start
   UNION ALL (
   WITH live AS (SELECT * FROM s WHERE NOT done),
-  best AS (SELECT w, min(r * 1048576 + p) AS b FROM live JOIN merges ON k = t * {SHIFT} + t2 GROUP BY w),
-  pick AS (SELECT l.w, l.p, b // 1048576 AS r, l.p2 AS q FROM best JOIN live l ON l.w = best.w AND l.p = b % 1048576),
+  best AS (SELECT w, min(CAST(r AS BIGINT) * 1024 + p) AS b FROM live JOIN merges ON a = t AND b = t2 GROUP BY w),
+  pick AS (SELECT l.w, l.p, CAST(b >> 10 AS INTEGER) AS r, l.p2 AS q FROM best JOIN live l ON l.w = best.w AND l.p = CAST(b & 1023 AS SMALLINT)),
   swap AS (SELECT pick.*, n.p2, n.t2 FROM pick JOIN live n ON n.w = pick.w AND n.p = pick.q)
   SELECT l.w, l.p,
     CASE WHEN l.p = x.p THEN x.r ELSE l.t END,
@@ -67,10 +67,10 @@ WITH RECURSIVE s(w, p, t, p2, t2, done) AS (
     CASE WHEN l.p = x.p THEN x.t2 WHEN l.p2 = x.p THEN x.r ELSE l.t2 END,
     x.w IS NULL
   FROM live l LEFT JOIN swap x ON x.w = l.w WHERE x.w IS NULL OR l.p <> x.q))
-SELECT w, string_agg(CAST(t AS VARCHAR), ' ' ORDER BY p) AS ids FROM s WHERE done GROUP BY w
+SELECT w, string_agg(CAST(s.t AS VARCHAR), ' ' ORDER BY p) AS ids, string_agg(v.hex, '' ORDER BY p) AS hex FROM s JOIN vocabulary v ON v.t = s.t WHERE done GROUP BY w
 """
 
-_CONTRACT_LONG = f"""
+_CONTRACT_LONG = """
 WITH RECURSIVE s(w, p, t) USING KEY (w, p) AS (
   SELECT w, p, t FROM start
   UNION (
@@ -81,8 +81,8 @@ WITH RECURSIVE s(w, p, t) USING KEY (w, p) AS (
           SELECT *, coalesce(r = min(r) OVER (PARTITION BY w), false) AS hit FROM (
             SELECT x.*, m.r, m.safe FROM (
               SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS t2, row_number() OVER (PARTITION BY w ORDER BY p) AS k FROM recurring.s WHERE t >= 0) x
-            LEFT JOIN merges m ON m.k = x.t * {SHIFT} + x.t2))))) WHERE take OR gone))
-SELECT w, string_agg(CAST(t AS VARCHAR), ' ' ORDER BY p) AS ids FROM s WHERE t >= 0 GROUP BY w
+            LEFT JOIN merges m ON m.a = x.t AND m.b = x.t2))))) WHERE take OR gone))
+SELECT w, string_agg(CAST(s.t AS VARCHAR), ' ' ORDER BY p) AS ids, string_agg(v.hex, '' ORDER BY p) AS hex FROM s JOIN vocabulary v ON v.t = s.t GROUP BY w
 """
 
 _DECODE = """
@@ -97,8 +97,8 @@ class Codec:
 
     def __init__(self, path: str = RANKS):
         self.ranks = load_ranks(path)
-        if max(self.ranks.values()) >= SHIFT:
-            raise ValueError(f"token ids must be below {SHIFT}")
+        if max(self.ranks.values()) >= MOST_IDS:
+            raise ValueError(f"token ids must be below {MOST_IDS}")
         left, right, rank = [], [], []
         for token, r in self.ranks.items():
             for i in range(1, len(token)):
@@ -110,10 +110,11 @@ class Codec:
         np.minimum.at(lowest, a, r)
         np.minimum.at(lowest, b, r)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self._table("merges", {"k": a * SHIFT + b, "r": r, "safe": lowest[r] > r})
-        self._table("vocabulary", {"t": list(self.ranks.values()), "hex": [x.hex() for x in self.ranks]})
-        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self._table("merges", {"a": a.astype(np.int32), "b": b.astype(np.int32), "r": r.astype(np.int32), "safe": lowest[r] > r})
+        self._table("vocabulary", {"t": np.array(list(self.ranks.values()), np.int32), "hex": [x.hex() for x in self.ranks]})
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.token = {r: t for t, r in self.ranks.items()}
+        self.names = {r: str(r) for r in self.token}
         self.apart: dict[tuple[int, int], bool] = {}  # pairs of tokens that stay as they are
         self.held = 0  # bytes of the words in self.ids
         self.ids: dict[str, str] = {}
@@ -125,21 +126,21 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def contract(self, words: list[bytes], long: bool) -> list[str]:
-        """Ids of non-empty words, joined by a blank."""
+    def contract(self, words: list[bytes], long: bool) -> list[tuple[str, bytes]]:
+        """Ids of non-empty words, joined by a blank, and what they decode to."""
         size = np.array([len(w) for w in words])
         tokens = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
-        place = np.arange(len(tokens)) - np.repeat(first, size)
-        after = np.append(tokens[1:], -1)
+        place = (np.arange(len(tokens)) - np.repeat(first, size)).astype(np.int32 if long else np.int16)
+        after = np.append(tokens[1:], np.int32(-1))
         after[first + size - 1] = -1
-        self._table("start", {"w": np.repeat(np.arange(len(words)), size), "p": place, "t": tokens, "p2": place + 1, "t2": after})
-        found = dict(self.db.execute(_CONTRACT_LONG if long else _CONTRACT).fetchall())
+        self._table("start", {"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "p": place, "t": tokens, "p2": place + place.dtype.type(1), "t2": after})
+        found = {w: (ids, bytes.fromhex(h)) for w, ids, h in self.db.execute(_CONTRACT_LONG if long else _CONTRACT).fetchall()}
         return [found[i] for i in range(len(words))]
 
-    def contract_all(self, words: set[bytes]) -> dict[bytes, str]:
-        """Ids of each word, a bounded number of rows at a time."""
-        out: dict[bytes, str] = {}
+    def contract_all(self, words: set[bytes]) -> dict[bytes, tuple[str, bytes]]:
+        """contract() of each word, a bounded number of rows at a time."""
+        out: dict[bytes, tuple[str, bytes]] = {}
         for long in (False, True):
             held: list[bytes] = []
             rows = 0
@@ -196,7 +197,7 @@ class Codec:
             reach *= 2
 
     def _numbers(self, words: set[bytes]) -> dict[bytes, list[int]]:
-        return {w: list(map(int, ids.split())) for w, ids in self.contract_all(words).items()}
+        return {w: list(map(int, ids.split())) for w, (ids, _) in self.contract_all(words).items()}
 
     def _judge(self, pairs: set[tuple[int, int]]) -> None:
         """Makes self.apart know all these pairs."""
@@ -204,7 +205,7 @@ class Codec:
             self.apart = {}
         new = {p: self.token[p[0]] + self.token[p[1]] for p in pairs if p not in self.apart}
         coded = self.contract_all(set(new.values()))
-        self.apart.update((p, coded[w] == f"{p[0]} {p[1]}") for p, w in new.items())
+        self.apart.update((p, coded[w][0] == f"{p[0]} {p[1]}") for p, w in new.items())
 
     def learn(self, words: set[str]) -> None:
         """Makes self.ids know all these words, and self.texts what their ids decode to."""
@@ -223,23 +224,19 @@ class Codec:
         for w, raw in new:
             whole = self.ranks.get(raw)
             if whole is not None:
-                self.ids[w] = str(whole)
+                self.ids[w] = ids = self.names[whole]
+                self.texts[ids] = self.token[whole]
             elif len(raw) <= LONG_WORD:
                 short[raw] = w
             else:
                 long.append((w, raw))
-        self.ids.update((short[raw], ids) for raw, ids in self.contract_all(set(short)).items())
+        for raw, (ids, back) in self.contract_all(set(short)).items():
+            self.ids[short[raw]] = ids
+            self.texts[ids] = back
         self.ids.update(zip((w for w, _ in long), self.contract_long([raw for _, raw in long]), strict=True))
-        fresh = [x for x in {self.ids[w] for w, _ in new} if x not in self.texts]
-        held, size = [], 0
-        for x in fresh:
-            if held and (len(held) >= WORDS_AT_ONCE or size + len(x) > ROWS_AT_ONCE):
-                self.texts.update(self.decode(held))
-                held, size = [], 0
-            held.append(x)
-            size += len(x)
-        if held:
-            self.texts.update(self.decode(held))
+        for w, _ in long:
+            if self.ids[w] not in self.texts:
+                self.texts.update(self.decode([self.ids[w]]))
 
     def decode(self, coded: list[str]) -> dict[str, bytes]:
         """Sequences of ids to their bytes, by ordered aggregation."""
