@@ -32,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def anonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to surrogates."""
-    return pii.anonymise(docs, length_col="n_chars")
+    return pii.anonymise(docs, length_col="n_chars", key=pii.session_key(spark, pii.DEMO_KEY))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
