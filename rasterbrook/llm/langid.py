@@ -38,6 +38,8 @@ SAMPLE = 800
 SAMPLE_TOTAL = 20_000
 SAMPLE_PLACES = 8_000_000
 MOST_WEIGHTS = 1 << 23
+#: Languages whose counts (some 40 bytes each) are broadcast; of more, rows are exchanged by language.
+MOST_BROADCAST = 100_000
 #: Characters of a text whose n-grams are in memory at once.
 BAND = 1 << 18
 EPOCHS = 3
@@ -186,7 +188,8 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     model = Model(langs, np.log((1 + n) / (1 + df)) + 1)
     sample = max(1, min(sample, SAMPLE_TOTAL // len(langs)))
     # a row is drawn if its hash falls into the first sample / count of all hashes
-    drawn = rows.withColumn("h", F.xxhash64(F.lit("sample"), "doc_id", "text")).join(counts, "lang").filter((F.shiftrightunsigned("h", 11) / float(1 << 53)) < sample / F.col("count"))
+    few = F.broadcast(counts) if len(langs) <= MOST_BROADCAST else counts
+    drawn = rows.withColumn("h", F.xxhash64(F.lit("sample"), "doc_id", "text")).join(few, "lang").filter((F.shiftrightunsigned("h", 11) / float(1 << 53)) < sample / F.col("count"))
     drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
     order = {name: i for i, name in enumerate(langs)}
     vectors, size = [], 0
