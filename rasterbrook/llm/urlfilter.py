@@ -2,14 +2,17 @@
 
 A unigram model is counted over all words of the pages' HTML text; its
 dictionary is the whole table of their counts, which no process holds. The
-substrings of each distinct host label and path part are joined with it, and
-with the words found a Viterbi pass splits the name (an unknown word of n
-letters costs 10 / (N 10^n)); the splits are joined with the pages' names. A
+substrings of up to STEM letters of each distinct host label and path part are
+joined with it; longer words are found by their first STEM letters and looked up
+in the name. With the words found a Viterbi pass splits the name, whole (an
+unknown word of n letters costs 10 / (N 10^n), n at most STEM: longer runs of
+unknown letters are several); the splits are joined with the pages' names. A
 multinomial naive Bayes over the words, hashed to 2^BITS places, learns from
 the pages that a rule judges and judges the others.
 
 Defined results: a null url or one without `://` has empty host and path; it
-has no words and gets the verdict of the classes' shares. Without labelled
+has no words and gets the verdict of the classes' shares. Invalid UTF-8 in a
+url or page is read as U+FFFD. Without labelled
 pages everything unruled is allowed. Ties are allowed. Repeated pages repeat;
 an empty table stays so.
 """
@@ -27,19 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import ascii_lower, chunks, cut, map_batches, table
+from rasterbrook.llm.common import ascii_lower, chunks, cut, map_batches, table, utf8
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 BITS = 16
-LONGEST = 24
-#: Letters of a name that are split at once; longer names are cut there.
-NAME = 512
-#: Substrings handed on at once, about.
+#: Letters of a word that are looked up at once.
+STEM = 24
+#: Substrings handed on at once.
 SPREAD = 50_000
 CLASSES = ("allow", "block")
 
-_TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_CLOSED = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
+_HIDDEN = re.compile(r"(?i)<(script|style)\b")
 _WORDS = re.compile(r"[^\W\d_]+")
 _PARTS = re.compile(r"[^\W_]+")
 
@@ -66,6 +69,43 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def without_tags(html: str) -> str:
+    """The text outside tags, comments, scripts and styles, in one pass; what is never closed isn't one of these."""
+    out, at, size = [], 0, len(html)
+    open_ended: set[str] = set()  # what isn't closed from some place on isn't closed from a later one
+
+    def end_of(kind: str, start: int) -> int:
+        if kind in open_ended:
+            return -1
+        if kind in _CLOSED:
+            found = _CLOSED[kind].search(html, start)
+            end = found.end() if found else -1
+        else:
+            end = html.find(kind, start)
+            end += len(kind) if end >= 0 else 0
+        if end < 0:
+            open_ended.add(kind)
+        return end
+
+    while at < size:
+        start = html.find("<", at)
+        if start < 0:
+            break
+        hidden, end = _HIDDEN.match(html, start), -1
+        if hidden:
+            end = end_of(hidden[1].lower(), hidden.end())
+        elif html.startswith("<!--", start):
+            end = end_of("-->", start + 4)
+        if end < 0:
+            end = end_of(">", start + 1)
+        if end < 0:
+            break
+        out.append(html[at:start])
+        at = end
+    out.append(html[at:])
+    return " ".join(out)
+
+
 def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(word, n) over the text of all pages, words in lower case."""
 
@@ -73,10 +113,10 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
         for _, texts in chunks(batches):
             counts: Counter = Counter()
             for t in texts:
-                counts.update(_WORDS.findall(_TAGS.sub(" ", t or "").lower()))
+                counts.update(_WORDS.findall(without_tags(t or "").lower()))
             yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    return map_batches(pages.select(F.col(html_col).cast("string").alias("text")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(pages.select(utf8(html_col).alias("text")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Splitter:
@@ -91,9 +131,15 @@ class Splitter:
         return known if known is not None else log(10.0 / self.total) - len(word) * log(10.0)
 
     def split(self, name: str) -> tuple[str, ...]:
+        long: dict[int, list[int]] = {}  # by its end, where a known word of over STEM letters begins
+        for word in self.logp:
+            at = name.find(word) if len(word) > STEM else -1
+            while at >= 0:
+                long.setdefault(at + len(word), []).append(at)
+                at = name.find(word, at + 1)
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
-            score, start = max((best[i] + self._cost(name[i:end]), i) for i in range(max(0, end - LONGEST), end))
+            score, start = max((best[i] + self._cost(name[i:end]), i) for i in (*long.get(end, ()), *range(max(0, end - STEM), end)))
             best.append(score)
             back.append(start)
         out, end = [], len(name)
@@ -107,12 +153,14 @@ def pieces(host: str, path: str) -> Iterator[tuple[str, str]]:
     """(prefix, name): what of host and path is split, in order."""
     for kind, text in (("h:", host), ("p:", path.lower())):
         for part in _PARTS.findall(text):
-            for i in range(0, len(part), NAME):
-                yield kind, part[i : i + NAME]
+            yield kind, part
 
 
-def substrings(name: str) -> set[str]:
-    return {name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)}
+def substrings(name: str) -> Iterator[str]:
+    """All substrings of at most STEM letters, with repeats."""
+    for i in range(len(name)):
+        for j in range(i + 1, min(len(name), i + STEM) + 1):
+            yield name[i:j]
 
 
 def segments(names: DataFrame, counts: DataFrame) -> DataFrame:
@@ -122,15 +170,17 @@ def segments(names: DataFrame, counts: DataFrame) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, words = [], []
+            found: dict[tuple[int, str], None] = {}
             for name, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = substrings(name)
-                ids += [i] * len(found)
-                words += found
-                if len(ids) >= SPREAD:
-                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "word"])
-                    ids, words = [], []
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "word"])
+                for word in substrings(name):
+                    found[i, word] = None
+                    if len(found) >= SPREAD:
+                        yield made(found)
+                        found = {}
+            yield made(found)
+
+    def made(found: dict[tuple[int, str], None]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([w for _, w in found], pa.string())], names=["id", "word"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +188,17 @@ def segments(names: DataFrame, counts: DataFrame) -> DataFrame:
             words = [Splitter({k["word"]: k["n"] for k in found or ()}, total).split(name) for name, found in zip(names, known, strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["name", "words"])
 
-    found = map_batches(named, spread, "id long, word string").join(counts, "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    parts = map_batches(named, spread, "id long, word string")
+    exact = parts.join(counts, "word").select("id", "word", "n")
+    if counts.filter(F.length("word") > STEM).isEmpty():
+        every = exact
+    else:
+        parts = cut(parts)
+        stems = counts.filter(F.length("word") > STEM).select(F.substring("word", 1, STEM).alias("stem"), F.col("word").alias("long"), "n")
+        begun = parts.filter(F.length("word") == STEM).join(stems, F.col("word") == F.col("stem")).select("id", "long", "n")
+        longer = begun.join(named, "id").filter(F.contains("name", "long")).select("id", F.col("long").alias("word"), "n")
+        every = parts.join(counts, "word").select("id", "word", "n").union(longer)
+    found = every.groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     return map_batches(named.join(found, "id", "left").select("name", "known"), run, "name string, words array<string>")
 
 
@@ -212,7 +272,7 @@ def bayes(parts: DataFrame) -> Bayes:
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, p_block, words): the rule's verdict, else the model's."""
-    parts = _parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")))
+    parts = _parts(pages.select(F.col(id_col).alias("page_id"), utf8(url_col).alias("url")))
     parts = cut(worded(parts, cut(word_counts(pages, html_col))))
     shipped = pages.sparkSession.sparkContext.broadcast(bayes(parts))
     kind = parts.schema["page_id"].dataType.simpleString()
