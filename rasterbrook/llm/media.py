@@ -2,8 +2,8 @@
 
 Storing: a payload is cut into blocks of 64 bytes. Byte b becomes the
 quantised DCT coefficient b - 128, 64 to a block in zigzag order, and blocks
-fill grey frames GRID blocks wide and at most as high, coded as baseline JPEG
-with a restart marker after each row of blocks. Coefficients are entropy-coded
+fill grey frames GRID blocks wide and at most FRAME_ROWS high, coded as baseline
+JPEG with a restart marker after each row of blocks. Coefficients are entropy-coded
 without loss, so the payload comes back byte for byte. What is left of the
 last frames is filled with zero coefficients; the payload's length stands in
 the file's INFO list.
@@ -15,6 +15,9 @@ DCT to pixels. A shot ends where the difference of neighbouring frames'
 histograms exceeds the mean of the shot's recent differences by DEVIATIONS
 standard deviations, and STEP at least.
 
+Frames are coded and decoded BAND at a time, so what a long text needs beyond
+its own bytes and its file is bounded.
+
 Defined results: a null text counts as empty and is stored as 64 zero bytes.
 Equal texts give equal files and features. Rows are independent of each other.
 A file that is cut short or has an undefined code raises ValueError.
@@ -35,9 +38,12 @@ from pyspark.sql import functions as F
 from rasterbrook.llm.common import chunks, map_batches, table
 
 BLOCK = 64
-#: Blocks of a frame's row, which is a restart interval, and its most rows.
+#: Blocks of a frame's row, which is a restart interval, and its most rows: an ordinary text has several frames.
 GRID = 8
-FRAME_BLOCKS = GRID * GRID
+FRAME_ROWS = 2
+FRAME_BLOCKS = FRAME_ROWS * GRID
+#: Frames that are coded or decoded at once.
+BAND = 512
 RATE = 25
 BINS = 16
 #: Differences that a shot's threshold looks back on.
@@ -227,6 +233,21 @@ def pad(text: bytes | None) -> bytes:
     return text.ljust(max(1, -(-len(text) // BLOCK)) * BLOCK, b"\0")
 
 
+def _frames(parts: list[bytes], rows: np.ndarray) -> list[bytes]:
+    """A JPEG file for each frame's bytes; rows: of blocks, in each."""
+    stream, size = entropy_code((np.frombuffer(b"".join(parts), np.uint8).astype(np.int16) - 128).reshape(-1, BLOCK))
+    ends = np.cumsum(size)
+    first = np.cumsum(rows) - rows
+    row = np.arange(rows.sum()) - np.repeat(first, rows)
+    last = row == np.repeat(rows, rows) - 1
+    marks = np.repeat(ends[~last], 2)  # a marker after each interval that doesn't end its frame
+    values = np.full(len(marks), 0xFF, np.uint8)
+    values[1::2] = 0xD0 + row[~last] % 8
+    data = np.insert(stream, marks, values).tobytes()
+    cuts = [0, *(ends + 2 * np.cumsum(~last))[last].tolist()]
+    return [frame_header(r) + data[a:b] + b"\xff\xd9" for r, a, b in zip(rows.tolist(), cuts, cuts[1:], strict=False)]
+
+
 def store(payloads: list[bytes]) -> list[bytes]:
     """An AVI file for each payload; sizes are positive multiples of BLOCK."""
     shapes = []  # frames and rows of blocks a frame: as many frames as needed, each as low as may be
@@ -234,20 +255,28 @@ def store(payloads: list[bytes]) -> list[bytes]:
         blocks = len(p) // BLOCK
         n = -(-blocks // FRAME_BLOCKS)
         shapes.append((n, -(-blocks // (n * GRID))))
-    filled = b"".join(p.ljust(n * rows * GRID * BLOCK, b"\x80") for p, (n, rows) in zip(payloads, shapes, strict=True))
-    stream, size = entropy_code((np.frombuffer(filled, np.uint8).astype(np.int16) - 128).reshape(-1, BLOCK))
-    ends = np.cumsum(size)
-    row = np.concatenate([np.tile(np.arange(rows), n) for n, rows in shapes])
-    last = np.concatenate([np.tile(np.arange(rows) == rows - 1, n) for n, rows in shapes])
-    marks = np.repeat(ends[~last], 2)  # a marker after each interval that doesn't end its frame
-    values = np.full(len(marks), 0xFF, np.uint8)
-    values[1::2] = 0xD0 + row[~last] % 8
-    data = np.insert(stream, marks, values).tobytes()
-    cuts = [0, *(ends + 2 * np.cumsum(~last))[last].tolist()]
-    out, at = [], 0
-    for p, (n, rows) in zip(payloads, shapes, strict=True):
-        out.append(avi([frame_header(rows) + data[cuts[i] : cuts[i + 1]] + b"\xff\xd9" for i in range(at, at + n)], len(p), rows))
-        at += n
+    out: list[bytes] = []
+    done: list[bytes] = []
+    parts: list[bytes] = []
+    rows: list[int] = []
+
+    def code() -> None:
+        if parts:
+            done.extend(_frames(parts, np.array(rows)))
+            parts.clear(), rows.clear()
+        while len(out) < len(payloads) and len(done) >= shapes[len(out)][0]:  # whole files
+            n, high = shapes[len(out)]
+            out.append(avi(done[:n], len(payloads[len(out)]), high))
+            del done[:n]
+
+    for p, (n, high) in zip(payloads, shapes, strict=True):
+        size = high * GRID * BLOCK
+        for i in range(n):
+            parts.append(p[i * size : (i + 1) * size].ljust(size, b"\x80"))
+            rows.append(high)
+            if len(parts) == BAND:
+                code()
+    code()
     return out
 
 
@@ -439,16 +468,24 @@ def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
 def load(media: list[bytes]) -> list[tuple[bytes, list[dict]]]:
     """Payload and timed clips of each AVI file."""
     parsed = [riff_index(m) for m in media]
-    decoded = decode_frames([f for frames, _, _ in parsed for f in frames])
+    frames = [f for own, _, _ in parsed for f in own]
+    stored: list[bytes] = []
+    counted = []
+    for at in range(0, len(frames), BAND):
+        decoded = decode_frames(frames[at : at + BAND])
+        stored += [(c + 128).astype(np.uint8).tobytes() for c, _ in decoded]
+        sizes = np.array([len(c) for c, _ in decoded])
+        same = all(q is decoded[0][1] for _, q in decoded)
+        grey = pixels(np.concatenate([c for c, _ in decoded]), decoded[0][1]) if same else np.concatenate([pixels(c, q) for c, q in decoded])
+        frame = np.repeat(np.arange(len(decoded)), sizes)[:, None]
+        counted.append(np.bincount((frame * BINS + grey // (256 // BINS)).ravel(), minlength=len(decoded) * BINS).reshape(-1, BINS))
+    histograms = np.concatenate(counted) if counted else np.zeros((0, BINS), np.int64)
     out, at = [], 0
-    for frames, length, tick in parsed:
-        own = decoded[at : at + len(frames)]
-        at += len(frames)
-        coefficients = np.concatenate([c for c, _ in own])
-        payload = (coefficients + 128).astype(np.uint8).tobytes()[:length]
-        grey = np.concatenate([pixels(c, q) for c, q in own]).reshape(len(own), -1)
-        histograms = np.bincount((np.arange(len(own))[:, None] * BINS + grey // (256 // BINS)).ravel(), minlength=len(own) * BINS).reshape(-1, BINS)
-        out.append((payload, [{"clip": i, "start_s": round(a * tick, 6), "end_s": round(b * tick, 6), "n_frames": b - a} for i, (a, b) in enumerate(shots(histograms))]))
+    for own, length, tick in parsed:
+        end = at + len(own)
+        payload = b"".join(stored[at:end])[:length]
+        out.append((payload, [{"clip": i, "start_s": round(a * tick, 6), "end_s": round(b * tick, 6), "n_frames": b - a} for i, (a, b) in enumerate(shots(histograms[at:end]))]))
+        at = end
     return out
 
 
@@ -465,28 +502,42 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 CLIPS = "array<struct<clip:int,start_s:double,end_s:double,n_frames:int>>"
+_CLIPS = pa.list_(pa.struct([("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("n_frames", pa.int32())]))
 
 
 def read_media(files: DataFrame, media_col: str = "media") -> DataFrame:
     """files with payload and clips read back from media_col."""
-    kind = pa.list_(pa.struct([("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("n_frames", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, media in chunks(batches, media_col, 2 << 20):
             found = load(media)
-            yield pa.record_batch([*part.columns, pa.array([p for p, _ in found], pa.binary()), pa.array([c for _, c in found], kind)], names=[*part.schema.names, "payload", "clips"])
+            yield pa.record_batch([*part.columns, pa.array([p for p, _ in found], pa.binary()), pa.array([c for _, c in found], _CLIPS)], names=[*part.schema.names, "payload", "clips"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
     return map_batches(files, run, f"{fields}, payload binary, clips {CLIPS}")
 
 
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """read_media(store_texts(docs)) in one pass: the stored bytes go to the reader as they are."""
+    source = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches, limit=1 << 20):
+            files = store([pad(t) for t in texts])
+            found = load(files)
+            columns = [pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(files, pa.binary()), pa.array([p for p, _ in found], pa.binary()), pa.array([c for _, c in found], _CLIPS)]
+            yield pa.record_batch([part.column(0), *columns], names=[id_col, "n_bytes", "media", "payload", "clips"])
+
+    return map_batches(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_bytes long, media binary, payload binary, clips {CLIPS}")
+
+
 def clip_rows(read: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A row per timed clip."""
     return read.select(id_col, F.explode("clips").alias("c")).select(id_col, "c.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_media(store_texts(table(spark, sf_dir, "documents")))
+    read = round_trip(table(spark, sf_dir, "documents"))
     clips = F.transform("clips", lambda c: F.format_string("%.3f-%.3f", c["start_s"], c["end_s"]))
     size = F.octet_length("payload")
     return read.select(

@@ -1,5 +1,8 @@
 import hashlib
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -18,6 +21,22 @@ def test_exact_round_trip_of_any_bytes():
     assert files == [media.store([p])[0] for p in payloads]  # whatever stands beside it
 
 
+def test_bands_change_nothing(monkeypatch):
+    payloads = [media.pad(p) for p in PAYLOADS]
+    files = media.store(payloads)
+    read = media.load(files)
+    for band in (1, 3, 7):
+        monkeypatch.setattr(media, "BAND", band)
+        assert media.store(payloads) == files and media.load(files) == read
+
+
+def test_a_long_text_s_memory_is_bounded():
+    """Sixteen times the text, at most, in a process of its own."""
+    code = "import resource; from rasterbrook.llm import media; m = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss << 10; media.load(media.store([b'warm up ' * 8])); a = m(); p = media.pad(b'some words of a long text ' * 640_000); assert media.load(media.store([p]))[0][0] == p; print((m() - a) / len(p))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(out.stdout) < 16
+
+
 def test_frames_decode_alike_bit_by_bit():
     """Against a plain decoder that takes one bit at a time."""
     frames, _, _ = media.riff_index(media.store([media.pad(PAYLOADS[3][:3000])])[0])
