@@ -1,8 +1,14 @@
 """The document pipeline: STAGES in order, each a (name, function) over the rows that the one before kept.
 
 A function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
-each stage's rows as Parquet in the shared folder and rereads them for the next.
+each stage's rows as Parquet in the shared folder and rereads them for the next,
+which done, they are deleted; the last stage's rows go when the driver ends.
 All stages but the last return the columns of documents.
+
+Defined results: rows are never named by their id alone, so null and repeated
+ids are fine, and columns beyond those of documents are carried along. Null and
+letterless texts go in the first stage; of rows with equal text one stays. The
+last stage has a row for each row before it. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterbrook.llm import bpe, decontam, langid, pii, simhash
-from rasterbrook.llm.common import shared_dir, table
+from rasterbrook.llm.common import remove, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +61,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    remove(spark, base, at_exit=True)
     return docs

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python operator holds in decoded form at once.
 CHUNK_BYTES = 4 << 20
 
-#: Rows that Spark hands to Python at once, at most: a batch is held whole, and texts may be long.
-BATCH_ROWS = 1000
+#: Bytes that Spark hands to Python at once, about: a batch is held whole, and texts may be long.
+BATCH_BYTES = 4 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -26,17 +26,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where it is unset, a local session gets a temporary one, removed when it ends; on a cluster, RuntimeError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rasterbrook-"))
         current = spark.sparkContext.getCheckpointDir()
+        remove(spark, current, at_exit=True)
     return current
 
 
+def remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Deletes a folder in any store that Spark writes to, now or when the driver's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.deleteOnExit(at) if at_exit else store.delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared folder, its lineage cut; lost executors don't bring back what lies before."""
     shared_dir(df.sparkSession)
@@ -67,11 +77,20 @@ def release() -> None:
         pass
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark writes it, like 64m or 67108864b."""
+    units = {"b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
+    size = size.lower()
+    if len(size) > 2 and size[-1] == "b" and size[-2] in units:
+        size = size[:-1]
+    return int(size[:-1]) << units[size[-1]] if size[-1] in units else int(size)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow in batches of at most BATCH_ROWS rows; memory is given back at a partition's end."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """df.mapInArrow in batches of at most about BATCH_BYTES, a setting of the session that is lowered if need be; memory is given back at a partition's end."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(conf.get(name)) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

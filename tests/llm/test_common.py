@@ -1,4 +1,5 @@
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from rasterbrook.llm import common
 
@@ -18,14 +19,14 @@ def test_slices_keep_every_row_in_order():
 
 
 def test_batches_are_bounded(spark):
-    sizes = []
-
     def run(parts):
         for b in parts:
-            yield pa.record_batch([pa.array([b.num_rows])], names=["n"])
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
 
-    sizes = [r.n for r in common.map_batches(spark.range(2500).coalesce(1), run, "n long").collect()]
-    assert sum(sizes) == 2500 and max(sizes) <= common.BATCH_ROWS
+    rows = spark.range(300).coalesce(1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    sizes = [r.n for r in common.map_batches(rows, run, "n long").collect()]
+    assert sum(sizes) > 30_000_000 and max(sizes) <= common.BATCH_BYTES + 200_000
+    assert [common._bytes(x) for x in ("5", "64m", "67108864b", "2KB", "1g")] == [5, 64 << 20, 64 << 20, 2048, 1 << 30]
 
 
 def test_folds_and_lower_case(spark):
@@ -33,6 +34,4 @@ def test_folds_and_lower_case(spark):
 
     rows = spark.range(50).select("id", common.fold(5, "id").alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
-    from pyspark.sql import functions as F
-
     assert spark.range(1).select(common.ascii_lower(F.lit("AbÀÉZ"))).first()[0] == "abÀÉz"
