@@ -2,12 +2,21 @@
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from rasterbrook.sources import datasource, images
 
 
+def relative_name(spark: SparkSession, root: str) -> Column:
+    """The column path below root, without its extension: a file's folders are kept."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    path = F.regexp_replace("path", "^file:/+", "file:/")
+    inside = F.when(path.startswith(whole), F.substring(path, len(whole) + 1, 1 << 30)).otherwise(F.regexp_extract("path", r"([^/]+)$", 1))
+    return F.regexp_replace(inside, r"(?<=[^/])\.[^./]*$", "")
+
+
 def main() -> int:
     parser = argparse.ArgumentParser(prog="rasterbrook", description=__doc__)
     sub = parser.add_subparsers(dest="command", required=True)
@@ -23,8 +32,7 @@ def main() -> int:
     decoded = images.decode(images.files(spark, args.path))
     if args.command == "convert":
         datasource.register(spark)
-        name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
-        rows = decoded.filter("error IS NULL").select(name.alias("name"), "width", "height", "data")
+        rows = decoded.filter("error IS NULL").select(relative_name(spark, args.path).alias("name"), "width", "height", "data")
         rows.write.format(args.to).option("quality", args.quality).mode("append").save(args.target)
     elif args.command == "decode":
         decoded.select("path", "format", "width", "height", (F.octet_length("data") / 3).cast("long").alias("pixels"), "error").show(1000, False)

@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def _basis() -> np.ndarray:
 
 
 def _transform(df: DataFrame, column: str, inverse: bool) -> DataFrame:
-    """A constant matrix product over Arrow batches; one pass, no shuffle."""
+    """A constant matrix product over Arrow batches; one pass, no shuffle. A block that is null, or not 64 long, becomes null."""
     place = df.columns.index(column)
     schema = ", ".join(f"`{f.name}` {'array<double>' if f.name == column else f.dataType.simpleString()}" for f in df.schema)
 
@@ -30,8 +31,8 @@ def _transform(df: DataFrame, column: str, inverse: bool) -> DataFrame:
         matrix = _basis() if inverse else _basis().T
         for batch in batches:
             values = batch.column(place)
-            flat = np.asarray(values.flatten().to_numpy(zero_copy_only=False), np.float64)
-            valid = ~np.asarray(values.is_null())
+            valid = pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(values), 64), False).to_numpy(zero_copy_only=False)
+            flat = np.asarray(values.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False), np.float64)
             out = (flat.reshape(-1, 64) @ matrix).ravel()
             offsets = np.concatenate(([0], np.cumsum(valid * 64))).astype(np.int32)
             array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out), mask=pa.array(~valid))

@@ -48,36 +48,25 @@ def prefix_table(codes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def merged_sizes(frequency: dict[int, int]) -> dict[int, int]:
-    """Code length of each symbol and of the reserved one: the two rarest groups merge until one is left.
+    """Code length of each symbol and of the reserved one: the two rarest groups, led by a symbol each, merge until one is left.
 
-    Of equally rare groups the one led by the greater symbol is taken first, the one led by the smaller second.
+    Of equally rare groups the first choice is the one led by the greatest
+    symbol; the second choice is, of those led by smaller symbols than the
+    first, the greatest, and else the smallest of the others.
     """
     groups = {s: (n, [s]) for s, n in frequency.items() if n > 0} | {RESERVED: (1, [RESERVED])}
     size = dict.fromkeys(groups, 0)
     while len(groups) > 1:
-        rare = min(groups, key=lambda s: (groups[s][0], -s))
-        # the runner-up was the rarest before the rarest came, or else the first of the rest
-        second = _runner_up(groups, rare)
-        members = groups[rare][1] + groups[second][1]
-        groups[rare] = groups[rare][0] + groups[second][0], members
+        first = min(groups, key=lambda s: (groups[s][0], -s))
+        second = min(groups.keys() - {first}, key=lambda s: (groups[s][0], s > first, s if s > first else -s))
+        members = groups[first][1] + groups[second][1]
+        groups[first] = groups[first][0] + groups[second][0], members
         del groups[second]
         for s in members:
             size[s] += 1
     return size
 
 
-def _runner_up(groups: dict, rare: int) -> int:
-    """Second choice of one scan in symbol order: a new rarest displaces the old one to second place."""
-    least = [s for s in groups if s != rare]
-    low = min(groups[s][0] for s in least)
-    tied = sorted(s for s in least if groups[s][0] == low)
-    before = [s for s in tied if s < rare]
-    # those before the rarest: of equals the last held first place and was displaced by it
-    if before and groups[rare][0] <= low:
-        return before[-1]
-    return tied[0]
-
-
 def limited(size: dict[int, int]) -> list[int]:
     """How many codes have each length 1..16: longer ones are shortened pair by pair, and the reserved code goes."""
     counts = [0] * 34

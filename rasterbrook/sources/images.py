@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.functions import bits
+from rasterbrook.functions import bits, tables
 from rasterbrook.sources import bmp, jpeg
 
 
@@ -102,14 +103,41 @@ def decode(df: DataFrame, content: str = "content") -> DataFrame:
     return df.select(*rest, content).mapInArrow(run, schema)
 
 
+CONTENT = {"content": ("binary", pa.binary()), "error": ("string", pa.string())}
+
+
+def _encoded(encode: Callable[..., bytes]) -> Callable[..., list[tuple]]:
+    """encode's file, or what is wrong with its input; a null input is an image that is missing."""
+
+    def each(*values) -> list[tuple]:
+        if any(v is None for v in values):
+            return [(None, "no image")]
+        try:
+            return [(encode(*values), None)]
+        except (ValueError, OverflowError, IndexError) as e:
+            return [(None, str(e) or type(e).__name__)]
+
+    return each
+
+
 def encode_bmp(images: DataFrame) -> DataFrame:
-    """images (.., width, height, data) with content: a BMP file."""
-    return _map(images, ["width", "height", "data"], {"content": ("binary", pa.binary())}, lambda w, h, d: [(bmp.encode(w, h, d),)])
+    """images (.., width, height, data) with content, a BMP file, or error."""
+    return _map(images, ["width", "height", "data"], CONTENT, _encoded(bmp.encode))
 
 
 def encode_jpeg(images: DataFrame, quality: int = 90, chroma_quality: int | None = None, optimise: bool = False, interval: int = 0) -> DataFrame:
-    """images (.., width, height, data) with content: a JPEG file."""
-    return _map(images, ["width", "height", "data"], {"content": ("binary", pa.binary())}, lambda w, h, d: [(jpeg.encode(w, h, d, quality, chroma_quality, optimise, interval),)])
+    """images (.., width, height, data) with content, a JPEG file, or error."""
+    return _map(images, ["width", "height", "data"], CONTENT, _encoded(lambda w, h, d: jpeg.encode(w, h, d, quality, chroma_quality, optimise, interval)))
+
+
+def pack_jpeg(images: DataFrame, h: int, v: int, quality: int = 100, interval: int = 0) -> DataFrame:
+    """images (.., width, height, coef) with content, a JPEG file, or error; coef: the zigzag coefficients of all blocks in order, h x v luma blocks in an MCU."""
+    steps = [jpeg.scaled(t, quality) for t in (tables.LUMA_QUANT, tables.CHROMA_QUANT)]
+
+    def packed(width: int, height: int, coef: list[int]) -> bytes:
+        return jpeg.pack(width, height, np.array(coef, np.int64).reshape(-1, h * v + 2, 64), steps, (h, v), False, interval)
+
+    return _map(images, ["width", "height", "coef"], CONTENT, _encoded(packed))
 
 
 def pixels(images: DataFrame) -> DataFrame:
@@ -211,17 +239,79 @@ def restart_segments(df: DataFrame, content: str = "content") -> DataFrame:
     return _map(df, [content], fields, each)
 
 
+@lru_cache(maxsize=64)
+def _scan_of(head: bytes) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    """Components of an MCU's blocks, and DC and AC look-ups by component, of a file's bytes up to its scan."""
+    found = jpeg.parse(head + b"\xff\xd9")  # an empty scan stands for the file's
+    own = {c: (jpeg.lookup(*d), jpeg.lookup(*a)) for c, d, a, _ in found["scan"]["parts"]}
+    return jpeg.layout(found)[0], [own[c][0] for c in range(3)], [own[c][1] for c in range(3)]
+
+
+def _decoded_segments(parts: list[bytes | None], counts: list[int], heads: list[bytes]) -> list[np.ndarray | str]:
+    """(mcus, blocks, 64) of each segment, or what is wrong with it; segments with like MCUs go in step."""
+    out: list = [None] * len(parts)
+    groups: dict[tuple[int, ...], list[tuple]] = {}
+    for i, (part, head) in enumerate(zip(parts, heads, strict=True)):
+        try:
+            pattern, dc, ac = _scan_of(head)
+            groups.setdefault(tuple(pattern), []).append((i, part or b"", counts[i], dc, ac))
+        except (ValueError, IndexError, TypeError) as e:
+            out[i] = str(e) or type(e).__name__
+    for pattern, own in groups.items():
+        try:
+            found = jpeg.decode_segments(*(list(x) for x in list(zip(*own, strict=True))[1:3]), list(pattern), [x[3] for x in own], [x[4] for x in own])
+        except (ValueError, IndexError):  # one of them is broken: each alone
+            found = []
+            for _, part, count, dc, ac in own:
+                try:
+                    found += jpeg.decode_segments([part], [count], list(pattern), [dc], [ac])
+                except (ValueError, IndexError) as e:
+                    found.append(str(e) or type(e).__name__)
+        for (i, *_), mcus in zip(own, found, strict=True):
+            out[i] = mcus
+    return out
+
+
 def decode_restart_segments(segments: DataFrame) -> DataFrame:
-    """A row per block: mcu, comp (0 Y, 1 Cb, 2 Cr), block, coef (zigzag order)."""
-    fields = {"mcu": ("int", pa.int32()), "comp": ("int", pa.int32()), "block": ("int", pa.int32()), "coef": ("array<int>", pa.list_(pa.int32()))}
-
-    def each(start: int, count: int, part: bytes, head: bytes) -> list[tuple]:
-        # the header with an empty scan of as many segments stands for the file
-        found = jpeg.parse(head + b"\xff\xd9")
-        pattern = jpeg.layout(found)[0]
-        own = {c: (jpeg.lookup(*d), jpeg.lookup(*a)) for c, d, a, _ in found["scan"]["parts"]}
-        (mcus,) = jpeg.decode_segments([part], [count], pattern, [[own[c][0] for c in range(3)]], [[own[c][1] for c in range(3)]])
-        turn = [pattern[:i].count(c) for i, c in enumerate(pattern)]
-        return [(start + m, c, turn[i], mcus[m, i].tolist()) for m in range(count) for i, c in enumerate(pattern)]
-
-    return _map(segments.filter("error IS NULL").drop("error"), ["mcu_start", "mcu_count", "bytes", "head"], fields, each)
+    """A row per block: mcu, comp (0 Y, 1 Cb, 2 Cr), block, coef (zigzag order); a broken segment is a row with its first mcu and error. All segments of a batch go in step."""
+    own = ["mcu_start", "mcu_count", "bytes", "head"]
+    source = segments.filter("error IS NULL").drop("error")
+    rest = [c for c in source.columns if c not in own]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*rest).schema), "mcu int, comp int, block int, coef array<int>, error string"])
+
+    def rows(part: pa.RecordBatch) -> pa.RecordBatch:
+        start, count, data, head = (part.column(c).to_pylist() for c in own)
+        origin, place, comp, turn, flat, errors = [], [], [], [], [], []
+        sizes = []
+        for i, mcus in enumerate(_decoded_segments(data, count, head)):
+            if isinstance(mcus, str):
+                n, coef = 1, np.zeros(0, np.int32)
+                place.append([start[i]])
+                comp.append([-1])
+                turn.append([-1])
+                errors += [mcus]
+            else:
+                pattern = _scan_of(head[i])[0]
+                n, coef = len(mcus) * len(pattern), mcus.ravel()
+                place.append(np.repeat(np.arange(start[i], start[i] + len(mcus)), len(pattern)))
+                comp.append(np.tile(pattern, len(mcus)))
+                turn.append(np.tile([pattern[:b].count(c) for b, c in enumerate(pattern)], len(mcus)))
+                errors += [None] * n
+            origin.append(np.full(n, i))
+            sizes.append(np.full(n, len(coef) // n))
+            flat.append(coef)
+        at, place, comp, turn, sizes = (np.concatenate(x).astype(np.int32) for x in (origin, place, comp, turn, sizes))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(flat).astype(np.int32)), mask=pa.array(sizes == 0))
+        gone = comp < 0
+        return pa.record_batch([*(part.column(c).take(pa.array(at)) for c in rest), pa.array(place), pa.array(comp, mask=gone), pa.array(turn, mask=gone), lists, pa.array(errors, pa.string())], names=[*rest, "mcu", "comp", "block", "coef", "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mcus = np.cumsum(batch.column("mcu_count").to_numpy(zero_copy_only=False))
+            a = 0
+            while a < batch.num_rows:  # about HELD_BYTES of coefficients at a time
+                b = max(a + 1, int(np.searchsorted(mcus, (mcus[a - 1] if a else 0) + HELD_BYTES // 1024)))
+                yield rows(batch.slice(a, b - a))
+                a = b
+
+    return source.select(*rest, *own).mapInArrow(run, schema)

@@ -362,13 +362,17 @@ def blocks_of(width: int, height: int, rgb: bytes) -> np.ndarray:
     return planes.reshape(3, down, 8, across, 8).transpose(1, 3, 0, 2, 4).reshape(down * across, 3, 64)
 
 
-def symbols_of(coded: np.ndarray, interval: int) -> tuple[np.ndarray, ...]:
-    """(block, symbol, value, is_dc) of (mcus, 3, 64) zigzag coefficients, in order."""
+def symbols_of(coded: np.ndarray, interval: int, pattern: list[int]) -> tuple[np.ndarray, ...]:
+    """(block, symbol, value, is_dc) of (mcus, blocks, 64) zigzag coefficients, in order; pattern: each block's component."""
     mcus = len(coded)
-    delta = coded[:, :, 0].copy()
-    inner = np.arange(mcus) % (interval or mcus) != 0
-    delta[inner] -= coded[np.flatnonzero(inner) - 1, :, 0]
     flat = coded.reshape(-1, 64)
+    component = np.tile(pattern, mcus)
+    run = np.repeat(np.arange(mcus) // (interval or mcus), len(pattern))
+    delta = flat[:, 0].copy()
+    for c in set(pattern):
+        own = np.flatnonzero(component == c)
+        same = run[own[1:]] == run[own[:-1]]
+        delta[own[1:][same]] -= flat[own[:-1][same], 0]
     block, k = np.nonzero(flat[:, 1:])
     k = k + 1
     value = flat[block, k]
@@ -376,7 +380,7 @@ def symbols_of(coded: np.ndarray, interval: int) -> tuple[np.ndarray, ...]:
     gap = k - np.where(same, np.r_[0, k[:-1]] if len(k) else 0, 0) - 1
     size = np.frexp(np.abs(value).astype(float))[1]
     zeros = gap // 16
-    rows = [(np.arange(len(flat)), np.zeros(len(flat), int), np.frexp(np.abs(delta.ravel()).astype(float))[1], delta.ravel(), np.ones(len(flat), bool))]
+    rows = [(np.arange(len(flat)), np.zeros(len(flat), int), np.frexp(np.abs(delta).astype(float))[1], delta, np.ones(len(flat), bool))]
     rows.append((block, 4 * k + 3, gap % 16 << 4 | size, value, np.zeros(len(block), bool)))
     far = np.repeat(np.arange(len(block)), zeros)
     turn = np.arange(len(far)) - np.repeat(np.cumsum(zeros) - zeros, zeros)
@@ -396,8 +400,17 @@ def encode(width: int, height: int, rgb: bytes, quality: int = 90, chroma_qualit
     c = blocks_of(width, height, rgb) @ _BASIS.T / np.stack((steps[0], steps[1], steps[1]))
     c = np.round(c, 6)
     coded = (np.sign(c) * np.floor(np.abs(c) + 0.5)).astype(np.int64)[:, :, _ZIGZAG]
-    block, symbol, value, is_dc = symbols_of(coded, interval)
-    kind = np.where(block % 3 == 0, 0, 2) + ~is_dc  # luma DC, luma AC, chroma DC, chroma AC
+    return pack(width, height, coded, steps, (1, 1), optimise, interval)
+
+
+def pack(width: int, height: int, coded: np.ndarray, steps: list[np.ndarray], sampling: tuple[int, int], optimise: bool = False, interval: int = 0) -> bytes:
+    """A file of (mcus, blocks, 64) zigzag coefficients: sampling's h x v blocks of Y, then Cb and Cr; steps of luma and chroma."""
+    h, v = sampling
+    pattern = [0] * (h * v) + [1, 2]
+    if coded.shape[1:] != (len(pattern), 64) or len(coded) != -(-width // (8 * h)) * -(-height // (8 * v)):
+        raise ValueError("size and blocks differ")
+    block, symbol, value, is_dc = symbols_of(coded, interval, pattern)
+    kind = np.where(np.array(pattern)[block % len(pattern)] == 0, 0, 2) + ~is_dc  # luma DC, luma AC, chroma DC, chroma AC
     chosen = []
     for i, name in enumerate(("luma_dc", "luma_ac", "chroma_dc", "chroma_ac")):
         _, counts, symbols = tables.HUFFMAN[name]
@@ -414,9 +427,9 @@ def encode(width: int, height: int, rgb: bytes, quality: int = 90, chroma_qualit
     s = symbol & 15
     word = code[kind, symbol] << s | np.where(value > 0, value, value - 1 + (1 << s))
     length = size[kind, symbol] + s
-    each = (interval or len(coded)) * 3
+    each = (interval or len(coded)) * len(pattern)
     scan = []
-    cuts = np.searchsorted(block, np.arange(0, len(coded) * 3, each)).tolist() + [len(block)]
+    cuts = np.searchsorted(block, np.arange(0, len(coded) * len(pattern), each)).tolist() + [len(block)]
     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
         n = length[a:b]
         turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -425,6 +438,6 @@ def encode(width: int, height: int, rgb: bytes, quality: int = 90, chroma_qualit
         scan.append((b"" if not i else bytes([0xFF, 0xD0 + (i - 1) % 8])) + np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00"))
     quant = b"".join(_segment(DQT, bytes([i]) + q[_ZIGZAG].astype(np.uint8).tobytes()) for i, q in enumerate(steps))
     coding = b"".join(_segment(DHT, bytes([(i & 1) << 4 | i >> 1, *counts, *symbols])) for i, (counts, symbols) in enumerate(chosen))
-    head = struct.pack(">BHHB", 8, height, width, 3) + bytes([1, 0x11, 0, 2, 0x11, 1, 3, 0x11, 1])
+    head = struct.pack(">BHHB", 8, height, width, 3) + bytes([1, h << 4 | v, 0, 2, 0x11, 1, 3, 0x11, 1])
     restart = _segment(DRI, struct.pack(">H", interval)) if interval else b""
     return b"\xff\xd8" + quant + coding + _segment(SOF0, head) + restart + _segment(SOS, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0])) + b"".join(scan) + b"\xff\xd9"

@@ -29,7 +29,8 @@ def counts(files: DataFrame, window: str = "10 minutes", late: str = "1 hour") -
 
 
 def convert(spark: SparkSession, source: str, target: str, checkpoint: str, to: str = "bmp") -> StreamingQuery:
-    """Runs through the files that are there: each image into a row (path, content) of Parquet in target."""
+    """Runs through the files that are there: each into a row (path, content, error) of Parquet in target; a broken one has no content."""
     encode = {"bmp": images.encode_bmp, "jpeg": images.encode_jpeg}[to]
-    rows = decoded(spark, source).filter("error IS NULL").select("path", "width", "height", "data")
-    return encode(rows).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = decoded(spark, source).select("path", "width", "height", "data", F.col("error").alias("why"))
+    done = encode(rows).select("path", "content", F.coalesce("why", "error").alias("error"))
+    return done.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -225,7 +225,75 @@ def test_stream_of_files(spark, tmp_path):
     q = streaming.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "jpeg")
     q.awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert len(rows) == 1 and jpeg.decode(bytes(rows[0].content))[:2] == (4, 3)
+    good = [r for r in rows if r.error is None]
+    assert len(rows) == 2 and len(good) == 1 and jpeg.decode(bytes(good[0].content))[:2] == (4, 3)
     q = streaming.counts(streaming.new_files(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("seen").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.format, r.files) for r in spark.sql("SELECT format, files FROM seen").collect()} == {("bmp", 1), ("none", 1)}
+
+
+IMAGES = "name string, width int, height int, data binary"
+
+
+def test_sink_modes_folders_and_clashes(spark, tmp_path):
+    datasource.register(spark)
+    out = tmp_path / "out"
+
+    def save(rows, mode, **options):
+        spark.createDataFrame(rows, IMAGES).repartition(3).write.format("bmp").options(**options).mode(mode).save(str(out))
+
+    a, b = noise(2, 2), noise(3, 1)
+    save([("a", 2, 2, a), ("x/a", 3, 1, b), ("a", 2, 2, a)], "append")  # equal rows are one file
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("*.*")) == ["a.bmp", "x/a.bmp"]
+    save([("a", 3, 1, b)], "append")
+    assert bmp.decode((out / "a.bmp").read_bytes())[2] == b and (out / "x" / "a.bmp").exists()
+    (out / "note.txt").write_text("stays")
+    for rows in ([("c", 2, 2, a), ("c", 3, 1, b)], [("c", 2, 2, None)], [("c", 2, 2, b)], [("../c", 2, 2, a)], [(None, 2, 2, a)]):
+        with pytest.raises(Exception):
+            save(rows, "overwrite")
+        assert sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()) == ["a.bmp", "note.txt", "x/a.bmp"]  # as it was
+    save([("c", 2, 2, a), ("d", 2, 2, None), ("e", 2, 2, b)], "overwrite", skipInvalid="true")
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()) == ["c.bmp", "note.txt"]
+
+
+def test_missing_images_are_error_rows(spark):
+    df = spark.createDataFrame([("good", 2, 2, noise(2, 2)), ("null", 2, 2, None), ("size", 3, 3, noise(2, 2)), ("none", None, 2, noise(2, 2))], IMAGES)
+    for encode in (images.encode_bmp, images.encode_jpeg):
+        rows = {r.name: r for r in encode(df).collect()}
+        assert {n for n, r in rows.items() if r.error} == {"null", "size", "none"} == {n for n, r in rows.items() if r.content is None}
+
+
+def test_convert_keeps_folders(spark, tmp_path, monkeypatch):
+    from rasterbrook.__main__ import main
+
+    (tmp_path / "in" / "b.d").mkdir(parents=True)
+    for name in ("x.bmp", "b.d/x.bmp"):
+        (tmp_path / "in" / name).write_bytes(bmp.encode(2, 2, noise(2, 2)))
+    monkeypatch.setattr("sys.argv", ["rasterbrook", "convert", str(tmp_path / "in"), str(tmp_path / "out"), "--to", "jpeg"])
+    assert main() == 0
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.*") if p.is_file()) == ["b.d/x.jpeg", "x.jpeg"]
+
+
+def test_broken_segments_are_error_rows(spark):
+    file = jpeg.encode(40, 24, smooth(40, 24), 80, interval=4)
+    parts = images.restart_segments(spark.createDataFrame([(1, file)], "image_id int, content binary"))
+    broken = parts.withColumn("bytes", F.when(F.col("seg") == 1, F.unhex(F.lit("FEFEFE"))).otherwise(F.col("bytes")))
+    rows = images.decode_restart_segments(broken.coalesce(1)).collect()
+    bad = [r for r in rows if r.error]
+    assert len(bad) == 1 and (bad[0].mcu, bad[0].comp, bad[0].coef) == (4, None, None)
+    assert len(rows) == 1 + 3 * (15 - 4)
+
+
+@pytest.mark.parametrize("h,v,interval", [(2, 2, 0), (2, 1, 1), (4, 2, 2)])
+def test_packed_coefficients_come_back(h, v, interval):
+    w, high = 37, 41
+    coded = rng.integers(-60, 60, (-(-w // (8 * h)) * -(-high // (8 * v)), h * v + 2, 64))
+    file = jpeg.pack(w, high, coded, [jpeg.scaled(t, 60) for t in (tables.LUMA_QUANT, tables.CHROMA_QUANT)], (h, v), True, interval)
+    assert (jpeg.coefficients(jpeg.parse(file)) == coded).all()
+
+
+def test_blocks_of_other_lengths_are_null(spark):
+    from rasterbrook.operators import blocks
+
+    df = spark.createDataFrame([(1, [1.0] * 64), (2, [1.0] * 10), (3, None), (4, [])], "id int, block array<double>").coalesce(1)
+    assert {r.id: r.block is None for r in blocks.forward_dct(df).collect()} == {1: False, 2: True, 3: True, 4: True}
