@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterbrook.llm.common import chunks, map_batches, table, utf8
+from rasterbrook.llm.common import chunks, map_batches, release, table, utf8
 from rasterbrook.llm.pretokens import RANKS, load_ranks, splitter
 
 LONG_WORD = 64
@@ -50,8 +50,8 @@ ROWS_AT_ONCE = 2_000_000
 MOST_IDS = 1 << 31
 #: Words per recursive query, and words kept from one slice to the next.
 WORDS_AT_ONCE = 20_000
-CACHED = 300_000
-CACHED_BYTES = 48 << 20
+CACHED = 150_000
+CACHED_BYTES = 24 << 20
 
 _CONTRACT = """
 WITH RECURSIVE s(w, p, t, p2, t2, done) AS (
@@ -259,7 +259,9 @@ class Codec:
 
 @cache
 def codec(path: str) -> Codec:
-    return Codec(path)
+    made = Codec(path)
+    release()  # what the tables were built from
+    return made
 
 
 def round_trip(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

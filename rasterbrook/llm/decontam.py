@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -153,7 +154,7 @@ def mark(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
         for part, texts in chunks(batches):
             out: list[list] = [[], [], [], [], []]
             split = [words(t) for t in texts]
-            hashes = np.split(word_hashes([w for found in split for w in found]), np.cumsum([len(x) for x in split])[:-1])
+            hashes = np.split(word_hashes(list(chain.from_iterable(split))), np.cumsum([len(x) for x in split])[:-1])
             state = [(found, np.zeros(len(found), bool), set(), h) for found, h in zip(split, hashes, strict=True)]
             for s in shipped:
                 own = s.value
