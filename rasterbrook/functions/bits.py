@@ -51,6 +51,35 @@ def byte_at(data: Column, at: Column | int) -> Column:
     return be_uint(data, at, 1)
 
 
+def be_words(data: Column, at: Column | int, n: int, size: int) -> Column:
+    """n big-endian words of so many bytes from an offset, as an array; null where one isn't all there."""
+    return F.array(*(be_uint(data, _col(at) + i * size, size) for i in range(n)))
+
+
+def string_at(data: Column, at: Column | int, n: Column | int) -> Column:
+    """n bytes as characters of the same numbers; null if they aren't all there, or n is below one."""
+    return F.when(_col(n) >= 1, F.decode(take(data, at, n), "ISO-8859-1"))
+
+
+def bits_at(data: Column, at: Column | int, n: Column | int) -> Column:
+    """n bits (at most 48) from a bit offset, the first bit the highest; beyond the end bits are zero."""
+    first = F.floor(_col(at) / 8).cast("int")
+    seven = F.substring(F.concat(data, F.unhex(F.lit("00" * 7))), first + 1, F.lit(7))
+    window = F.conv(F.rpad(F.hex(seven), 14, "0"), 16, 10).cast("long")
+    low = F.call_function("shiftright", window, (56 - _col(at) % 8 - _col(n)).cast("int"))
+    return low.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), _col(n).cast("int")) - 1)
+
+
+def align(at: Column) -> Column:
+    """A bit offset rounded up to a whole byte."""
+    return ceil_div(at, 8) * 8
+
+
+def at_end(data: Column, at: Column) -> Column:
+    """Whether a bit offset lies at or beyond the last bit's end."""
+    return at >= F.octet_length(data) * 8
+
+
 def upper_nibble(b: Column) -> Column:
     return F.shiftright(b, 4).bitwiseAND(15)
 

@@ -120,15 +120,15 @@ def coefficient_histogram(spark, sf_dir):
 
 # Colour
 
-RGB = "rgb AS (SELECT vec_id // 3 AS g, pos, max(s) FILTER (WHERE vec_id % 3 = 0) AS r, max(s) FILTER (WHERE vec_id % 3 = 1) AS gr, max(s) FILTER (WHERE vec_id % 3 = 2) AS b FROM blk GROUP BY ALL HAVING count(*) = 3)"
+RGB = """rgb AS (SELECT a.vec_id AS g, a.pos, a.s AS r, b.s AS gr, c.s AS b FROM blk a JOIN blk b ON b.vec_id = a.vec_id AND b.pos = (a.pos + 21) % 64
+  JOIN blk c ON c.vec_id = a.vec_id AND c.pos = (a.pos + 42) % 64)"""
 
 
 def _triples(spark, sf_dir):
-    """(g, pos, r, gr, b): three consecutive vectors as the planes of a block, joined in arrays of 64."""
-    part = F.struct((F.col("vec_id") % 3).alias("i"), "block")
-    rows = blk(spark, sf_dir).groupBy(F.expr("vec_id div 3").alias("g")).agg(F.array_sort(F.collect_list(part)).alias("p")).filter(F.size("p") == 3)
-    zipped = F.arrays_zip(*(F.get("p", F.lit(i))["block"].alias(n) for i, n in enumerate(("r", "gr", "b"))))
-    return rows.select("g", F.posexplode(zipped).alias("pos", "x")).select("g", "pos", "x.*")
+    """(g, pos, r, gr, b): a vector and its rotations by 21 and 42 places as the planes of a block."""
+    turned = lambda n: F.concat(F.slice("block", n + 1, 64 - n), F.slice("block", 1, n))
+    zipped = F.arrays_zip(F.col("block").alias("r"), turned(21).alias("gr"), turned(42).alias("b"))
+    return blk(spark, sf_dir).select(F.col("vec_id").alias("g"), F.posexplode(zipped).alias("pos", "x")).select("g", "pos", "x.*")
 
 
 @query("g:l pos:l y:d cb:d cr:d", _with(BLK, RGB) + "SELECT g, pos, 0.299 * r + 0.587 * gr + 0.114 * b - 128 AS y, -0.168736 * r - 0.331264 * gr + 0.5 * b AS cb, 0.5 * r - 0.418688 * gr - 0.081312 * b AS cr FROM rgb")
@@ -294,7 +294,27 @@ def code_length_histogram(spark, sf_dir):
     return huffman.length_histogram(tables.huffman_lengths_df(spark), ["name"])
 
 
-@query("source:s ord:l len:l symbol:l")
+MERGES = """cnt AS (SELECT source, symbol, count(*) AS n FROM byt GROUP BY ALL),
+m AS (SELECT 0 AS step, source, symbol AS sym, symbol AS leader, CAST(n AS BIGINT) AS f, 0 AS size FROM cnt
+  UNION ALL SELECT 0, source, 256, 256, 1, 0 FROM (SELECT DISTINCT source FROM cnt)
+  UNION ALL SELECT step + 1, source, sym, CASE WHEN leader = v2 THEN v1 ELSE leader END, CASE WHEN leader IN (v1, v2) THEN f1 + f2 ELSE f END, size + CAST(leader IN (v1, v2) AS INT) FROM (
+    SELECT *, k2 // 2000 AS f2, CASE WHEN k2 % 2000 >= 1000 THEN k2 % 2000 - 1000 ELSE 999 - k2 % 2000 END AS v2 FROM (
+      SELECT *, min(CASE WHEN leader <> v1 THEN f * 2000 + CASE WHEN leader > v1 THEN 1000 + leader ELSE 999 - leader END END) OVER (PARTITION BY source) AS k2 FROM (
+        SELECT *, 999 - k1 % 1000 AS v1, k1 // 1000 AS f1 FROM (SELECT *, min(f * 1000 + 999 - leader) OVER (PARTITION BY source) AS k1 FROM m)))) WHERE k2 IS NOT NULL),
+sizes AS (SELECT source, sym, max(size) AS size FROM m GROUP BY ALL),
+per AS (SELECT source, k, coalesce(n, 0) AS n FROM (SELECT DISTINCT source FROM sizes) CROSS JOIN range(33) r(k) LEFT JOIN (SELECT source, size AS k, count(*) AS n FROM sizes GROUP BY ALL) USING (source, k)),
+shape AS (SELECT source, list(n ORDER BY k) AS c FROM per GROUP BY source),
+lim AS (SELECT 0 AS step, source, c, 32 AS i FROM shape
+  UNION ALL SELECT step + 1, source,
+    CASE WHEN c[i + 1] > 0 THEN list_transform(range(33), lambda k : c[k + 1] - CASE WHEN k = i THEN 2 ELSE 0 END + CASE WHEN k = i - 1 THEN 1 ELSE 0 END + CASE WHEN k = j + 1 THEN 2 ELSE 0 END - CASE WHEN k = j THEN 1 ELSE 0 END) ELSE c END,
+    CASE WHEN c[i + 1] > 0 THEN i ELSE i - 1 END FROM (SELECT *, coalesce(list_max(list_filter(range(1, i - 1), lambda k : c[k + 1] > 0)), 0) AS j FROM lim WHERE i > 16)),
+short AS (SELECT source, c, list_max(list_filter(range(1, 17), lambda k : c[k + 1] > 0)) AS last FROM lim WHERE i = 16),
+lens AS (SELECT source, k AS len, c[k + 1] - CAST(k = last AS INT) AS n FROM short, range(1, 17) r(k)),
+ends AS (SELECT source, len, n, sum(n) OVER (PARTITION BY source ORDER BY len) AS hi FROM lens),
+ordered AS (SELECT source, symbol, row_number() OVER (PARTITION BY source ORDER BY n DESC, symbol) - 1 AS ord FROM cnt)"""
+
+
+@query("source:s ord:l len:l symbol:l", "WITH RECURSIVE " + BYTES + ",\n" + MERGES + "\nFINALLY SELECT o.source, ord, len, symbol FROM ordered o JOIN ends e ON e.source = o.source AND ord < hi AND ord >= hi - n")
 def huffman_code_sizes(spark, sf_dir):
     return huffman.optimal_lengths(_byte_counts(spark, sf_dir), ["source"])
 
@@ -610,3 +630,221 @@ def jpeg_coefficients(spark, sf_dir):
 def jpeg_segments(spark, sf_dir):
     parts = images.jpeg_segments(images.encode_jpeg(_pictures(spark, sf_dir, True), 90))
     return parts.groupBy("vec_id", "marker").agg(F.count("*").alias("n"))
+
+
+# Scalars and readers that the stages above don't reach
+
+
+@query(
+    "n_nationkey:l name:s format:s",
+    "WITH n AS (SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'jPg' WHEN 2 THEN 'BMP' WHEN 3 THEN 'png' ELSE n_name END AS name FROM nation) "
+    "FINALLY SELECT n_nationkey, name, CASE WHEN lower(name) IN ('jpeg', 'jpg') THEN 'jpeg' WHEN lower(name) = 'bmp' THEN 'bmp' ELSE 'none' END AS format FROM n",
+)
+def format_names(spark, sf_dir):
+    made = F.element_at(F.array(*map(F.lit, ("JPEG", "jPg", "BMP", "png")), F.col("n_name")), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", made.alias("name")).withColumn("format", bits.format_name(F.col("name")))
+
+
+@query(
+    "doc_id:l be24:l le16:l le32:l words:l five:s chars:l first:l error:s",
+    "WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), x AS (SELECT *, length(h) // 2 AS n FROM h) "
+    "FINALLY SELECT doc_id, CASE WHEN n >= 4 THEN CAST('0x' || substr(h, 3, 6) AS BIGINT) END AS be24, CASE WHEN n >= 4 THEN CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) AS BIGINT) END AS le16, "
+    "CASE WHEN n >= 7 THEN CAST('0x' || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) AS BIGINT) END AS le32, "
+    "CASE WHEN n >= 9 THEN CAST('0x' || substr(h, 3, 4) AS BIGINT) + CAST('0x' || substr(h, 7, 4) AS BIGINT) + CAST('0x' || substr(h, 11, 4) AS BIGINT) + CAST('0x' || substr(h, 15, 4) AS BIGINT) END AS words, "
+    "CASE WHEN n >= 7 THEN substr(h, 5, 10) END AS five, CASE WHEN n >= 6 THEN 6 END AS chars, CASE WHEN n >= 6 THEN CAST('0x' || substr(h, 1, 2) AS BIGINT) END AS first, CASE WHEN n < 40 THEN 'header: too short' END AS error FROM x",
+)
+def byte_fields(spark, sf_dir):
+    """Fields of the first bytes of each text; those that aren't all there are null."""
+    data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    words = F.aggregate(bits.be_words(data, 1, 4, 2), F.lit(0).cast("long"), lambda a, w: a + w)
+    read = bits.string_at(data, 0, 6)
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        bits.be_uint(data, 1, 3).alias("be24"),
+        bits.le_uint(data, 2, 2).alias("le16"),
+        bits.le_uint(data, 3, 4).alias("le32"),
+        words.alias("words"),
+        F.hex(bits.take(data, 2, 5)).alias("five"),
+        F.length(read).alias("chars"),
+        F.ascii(read).alias("first"),
+        bits.error_in("header", F.when(F.octet_length(data) < 40, "too short")).alias("error"),
+    )
+
+
+@query(
+    "doc_id:l five:l eleven:l wide:l beyond:l aligned:l ended:b",
+    "WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) || '00000000000000' AS h, 8 * octet_length(encode(coalesce(text, ''))) AS n, doc_id % 13 AS a FROM documents), "
+    "w AS (SELECT *, CAST('0x' || rpad(substr(h, 2 * CAST(a // 8 AS INT) + 1, 14), 14, '0') AS BIGINT) AS v, CAST('0x' || rpad(substr(h, 2 * CAST(greatest(0, n - 3) // 8 AS INT) + 1, 14), 14, '0') AS BIGINT) AS e FROM h) "
+    "FINALLY SELECT doc_id, (v >> CAST(56 - a % 8 - 5 AS INT)) & 31 AS five, (v >> CAST(56 - a % 8 - 11 AS INT)) & 2047 AS eleven, (v >> CAST(56 - a % 8 - 40 AS INT)) & 1099511627775 AS wide, "
+    "(e >> CAST(56 - greatest(0, n - 3) % 8 - 16 AS INT)) & 65535 AS beyond, (a + 7) // 8 * 8 AS aligned, a >= n AS ended FROM w",
+)
+def bit_reads(spark, sf_dir):
+    """Bits of any width at any bit of each text; those beyond the end are zero."""
+    data, at = F.coalesce(F.col("text").cast("binary"), F.lit(b"")), F.col("doc_id") % 13
+    last = F.greatest(F.lit(0), F.octet_length(data) * 8 - 3)
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", *(bits.bits_at(data, at, n).alias(c) for c, n in (("five", 5), ("eleven", 11), ("wide", 40))), bits.bits_at(data, last, 16).alias("beyond"), bits.align(at).alias("aligned"), bits.at_end(data, at).alias("ended")
+    )
+
+
+@query(
+    "o_orderkey:l le4:s le2:s be3:s",
+    "WITH h AS (SELECT o_orderkey, printf('%08X', o_orderkey) AS h FROM orders) FINALLY SELECT o_orderkey, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS le4, substr(h, 7, 2) || substr(h, 5, 2) AS le2, substr(h, 3, 6) AS be3 FROM h",
+)
+def put_bytes(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.hex(bits.put_le(key, 4)).alias("le4"), F.hex(bits.put_le(key, 2)).alias("le2"), F.hex(bits.put_be(key, 3)).alias("be3"))
+
+
+@query(
+    "p_partkey:l near:b blocks:l place:d",
+    "FINALLY SELECT p_partkey, abs(CAST(p_retailprice AS DOUBLE) - 1000) < 250.5 AS near, (p_size + 7) // 8 AS blocks, CAST(p_size AS DOUBLE) / 51 * 2 - 1 AS place FROM part",
+)
+def scalar_helpers(spark, sf_dir):
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", bits.nearly_equal(F.col("p_retailprice").cast("double"), F.lit(1000.0), 250.5).alias("near"), bits.ceil_div(size, 8).alias("blocks"), codec.ndc(size, F.lit(51)).alias("place"))
+
+
+@query("doc_id:l n_words:l longest:l", "WITH w AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x : x <> '') AS w FROM documents) FINALLY SELECT doc_id, len(w) AS n_words, coalesce(list_max(list_transform(w, lambda x : length(x))), 0) AS longest FROM w")
+def split_words(spark, sf_dir):
+    w = bits.words(F.coalesce(F.col("text"), F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).alias("n_words"), F.coalesce(F.array_max(F.transform(w, F.char_length)), F.lit(0)).alias("longest"))
+
+
+@query(
+    "bits:l compression:l colors:l encoding:s",
+    "WITH c AS (SELECT bits, compression FROM (VALUES (1), (4), (8), (16), (24), (32)) a(bits), (VALUES (0), (1), (2)) b(compression)) FINALLY SELECT bits, compression, CASE bits WHEN 1 THEN 2 WHEN 4 THEN 16 WHEN 8 THEN 256 ELSE -1 END AS colors, "
+    "coalesce(CASE WHEN compression = 0 THEN CASE bits WHEN 1 THEN 'monochrome' WHEN 4 THEN 'indexed4' WHEN 8 THEN 'indexed8' WHEN 16 THEN 'rgb16' WHEN 24 THEN 'rgb24' END WHEN compression = 2 AND bits = 4 THEN 'rle4' WHEN compression = 1 AND bits = 8 THEN 'rle8' END, 'none') AS encoding FROM c",
+)
+def bmp_encodings(spark, sf_dir):
+    df = spark.createDataFrame([(b, c) for b in (1, 4, 8, 16, 24, 32) for c in (0, 1, 2)], "bits int, compression int")
+    return df.withColumn("colors", codec.num_colors(F.col("bits"))).withColumn("encoding", codec.raster_encoding(F.col("bits"), F.col("compression")))
+
+
+# Indexed and padded BMP files: each vector as a picture of 13x5 in one of four depths; its last pixel has index 0
+
+WIDE, HIGH = 13, 5
+RASTER = """px AS (SELECT vec_id, depth, p, p // 13 AS y, p % 13 AS x, CASE WHEN p < 64 THEN s % CAST(CASE WHEN depth = 24 THEN 256 ELSE 1 << depth END AS BIGINT) ELSE 0 END AS idx
+  FROM (SELECT vec_id, [1, 4, 8, 24][CAST(vec_id % 4 AS INT) + 1] AS depth FROM embeddings) d CROSS JOIN range(65) r(p) LEFT JOIN blk USING (vec_id) WHERE blk.pos = least(p, 63))"""
+
+
+def _bmp_files(spark, sf_dir):
+    """(vec_id, depth, content): files with an info header and a colour table but at depth 24, bottom row first, rows filled to four bytes."""
+    depth = F.element_at(F.array(*map(F.lit, (1, 4, 8, 24))), (F.col("vec_id") % 4 + 1).cast("int"))
+    df = blk(spark, sf_dir).select("vec_id", depth.alias("depth"), F.concat("block", F.array(F.lit(0).cast("long"))).alias("s"))
+    depth = F.col("depth")
+    colors = F.when(depth == 24, 256).otherwise(F.call_function("shiftleft", F.lit(1), depth))
+    df = df.withColumn("idx", F.transform("s", lambda v: v % colors))
+
+    def triple(i):
+        return F.concat(bits.hex_be(255 - i, 1), bits.hex_be((i * 13 + 5) % 256, 1), bits.hex_be(i * 7 % 256, 1))
+
+    def line(y):
+        part = F.slice("idx", y * WIDE + 1, WIDE)
+        packed = F.array_join(F.transform(part, lambda v: F.when(depth == 24, triple(v)).otherwise(F.lpad(F.bin(v), depth, "0"))), "")
+        stride = codec.row_size(depth, F.lit(WIDE)).cast("int")
+        return F.when(depth == 24, F.rpad(packed, stride * 2, "0")).otherwise(bits.bits_to_hex(F.rpad(packed, stride * 8, "0")))
+
+    raster = F.concat(*(line(y) for y in reversed(range(HIGH))))
+    entries = F.when(depth == 24, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), colors - 1), lambda i: F.concat(triple(i), F.lit("00"))), ""))
+    offset = F.lit(54) + F.length(entries) / 2
+    le = lambda v, n: F.hex(bits.put_le(v if not isinstance(v, int) else F.lit(v), n))
+    info = F.concat(le(40, 4), le(WIDE, 4), le(HIGH, 4), le(1, 2), le(depth, 2), *(le(0, 4) for _ in range(6)))
+    whole = F.concat(F.lit("424D"), le(offset + F.length(raster) / 2, 4), le(0, 4), le(offset, 4), info, entries, raster)
+    # exploded, so that readers of the content don't each take over the whole expression
+    return df.select("vec_id", "depth", F.explode(F.array(F.unhex(whole))).alias("content"))
+
+
+BMP_SUMS = "SELECT vec_id, depth, sum(r * (p + 1)) AS r, sum(g * (p + 1)) AS g, sum(b * (p + 1)) AS b, count(*) AS n FROM px JOIN pal USING (idx)"
+
+
+@query("vec_id:l depth:l r:l g:l b:l n:l", _with(BLK, PALETTE, RASTER) + BMP_SUMS + " GROUP BY vec_id, depth")
+def bmp_rasters(spark, sf_dir):
+    px = images.pixels(images.decode(_bmp_files(spark, sf_dir)))
+    at = F.col("y") * WIDE + F.col("x") + 1
+    return px.groupBy("vec_id", "depth").agg(*(F.sum(F.col(c).cast("long") * at).alias(c) for c in "rgb"), F.count("*").alias("n"))
+
+
+@query("vec_id:l depth:l r:l g:l b:l n:l", _with(BLK, PALETTE, RASTER) + BMP_SUMS + " WHERE depth < 24 GROUP BY vec_id, depth")
+def bmp_palette_join(spark, sf_dir):
+    """The same of the indexed files by expressions and a join: indexes cut out of the raster, colour tables as rows."""
+    files = bmp.with_header(_bmp_files(spark, sf_dir).filter("depth < 24"))
+    px = palette.lookup(palette.pixel_rows(files, "vec_id"), bmp.palette(files, "vec_id"), ["vec_id", "idx"])
+    at = F.col("y") * WIDE + F.col("x") + 1
+    depth = F.element_at(F.array(*map(F.lit, (1, 4, 8, 24))), (F.col("vec_id") % 4 + 1).cast("int"))
+    return px.groupBy("vec_id").agg(*(F.sum(F.col(c).cast("long") * at).alias(c) for c in "rgb"), F.count("*").alias("n")).withColumn("depth", depth)
+
+
+@query(
+    "vec_id:l error:s width:l",
+    "WITH c AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 218 ELSE vec_id % 218 END AS n FROM embeddings) FINALLY SELECT vec_id, CASE WHEN n < 2 THEN 'unknown format' WHEN n < 26 THEN 'the header is cut short' WHEN n < 218 THEN 'the raster is cut short' END AS error, CASE WHEN n = 218 THEN 8 END AS width FROM c",
+)
+def file_errors(spark, sf_dir):
+    """Files that are cut short are rows with an error."""
+    n = F.when(F.col("vec_id") % 5 == 0, 218).otherwise(F.col("vec_id") % 218).cast("int")
+    files = images.encode_bmp(_pictures(spark, sf_dir, False)).select("vec_id", F.substring(F.col("content"), F.lit(1), n).alias("content"))
+    return images.decode(files).select("vec_id", "error", "width")
+
+
+# JPEG files with comments, a late height, settings, and colour planes of different size
+
+
+@query("vec_id:l height:l comment:s error:s", "FINALLY SELECT vec_id, 8 AS height, 'vector ' || vec_id AS comment, CAST(NULL AS VARCHAR) AS error FROM embeddings")
+def jpeg_comment_and_late_height(spark, sf_dir):
+    """A comment behind the signature; the frame's height is zero and follows the scan."""
+    files = images.encode_jpeg(_pictures(spark, sf_dir, True), 90).select("vec_id", F.hex("content").alias("h"))
+    text = F.concat(F.lit("vector "), F.col("vec_id").cast("string"))
+    frame = F.locate("FFC000110800080008", F.col("h"))
+    comment = F.concat(F.lit("FFFE"), bits.hex_be(F.length(text) + 2, 2), F.hex(text))
+    body = F.concat(F.substr("h", F.lit(5), frame - 5), F.lit("FFC000110800000008"), F.substr("h", frame + 18, F.length("h") - frame - 21))
+    made = files.select("vec_id", F.unhex(F.concat(F.lit("FFD8"), comment, body, F.lit("FFDC00040008FFD9"))).alias("content"))
+    said = images.jpeg_segments(made).filter("marker = 254").select("vec_id", F.decode("payload", "ISO-8859-1").alias("comment"))
+    return images.decode(made).select("vec_id", "height", "error").join(said, "vec_id", "left")
+
+
+@query(
+    "setting:s dest:l k:l q:l files:l",
+    _with(QTABLE, "st AS (SELECT * FROM (VALUES ('coarse', 30, 30), ('fine', 95, 60)) t(setting, luma, chroma))")
+    + "SELECT setting, CAST(name = 'chroma' AS INT) AS dest, k, round(greatest(1, least(255, base * CAST(CASE WHEN c < 50 THEN 5000 // c ELSE 200 - 2 * c END AS DOUBLE) / 100.0))) AS q, (SELECT count(*) FROM embeddings) AS files FROM (SELECT *, CASE WHEN name = 'luma' THEN luma ELSE chroma END AS c FROM st, base)",
+)
+def jpeg_settings(spark, sf_dir):
+    """Quantisers read back from files of two settings, one with tables of its own and restart intervals."""
+    pictures = _pictures(spark, sf_dir, True)
+    made = images.encode_jpeg(pictures, 30).withColumn("setting", F.lit("coarse")).union(images.encode_jpeg(pictures, 95, 60, True, 1).withColumn("setting", F.lit("fine")))
+    return images.jpeg_quant_tables(images.jpeg_segments(made.drop("error"))).groupBy("setting", "dest", "k").agg(F.max("q").alias("q"), F.count("*").alias("files"))
+
+
+@query(
+    "label:l eob:l zrl:l",
+    _with(*QUANTISED, ZZ, SYMBOLS) + "SELECT label, count(*) FILTER (WHERE symbol = 0) AS eob, count(*) FILTER (WHERE symbol = 240) AS zrl FROM symbols GROUP BY label",
+)
+def run_ends(spark, sf_dir):
+    df = symbols(spark, sf_dir)
+    run, size = bits.upper_nibble(F.col("symbol")), bits.lower_nibble(F.col("symbol"))
+    return df.groupBy("label").agg(F.count_if(codec.is_eob(run, size)).alias("eob"), F.count_if(codec.is_zrl(run, size)).alias("zrl"))
+
+
+COLOUR = """cz AS (SELECT vec_id, z, v FROM quant JOIN zz USING (k)),
+cb AS (SELECT c.vec_id, m, b, zz.k, c.v * CASE WHEN b < 4 THEN 1 ELSE 2 END AS v FROM range(2) mm(m) CROSS JOIN range(6) bb(b) CROSS JOIN zz JOIN cz c ON c.z = (zz.z + 7 * b + 3 * m) % 64 WHERE c.v <> 0),
+sp AS (SELECT vec_id, m, b, pos, sum(v * w) AS s FROM cb JOIN basis USING (k) GROUP BY ALL),
+pl AS (SELECT vec_id, y, x, y // 8 * 2 + x % 16 // 8 AS yb, y % 8 * 8 + x % 8 AS yp, y // 2 * 8 + x % 16 // 2 AS cp, x // 16 AS m FROM (SELECT DISTINCT vec_id FROM quant) CROSS JOIN range(13) a(y) CROSS JOIN range(29) b(x)),
+yc AS (SELECT pl.*, coalesce(l.s, 0) + 128 AS yy, coalesce(u.s, 0) AS cb, coalesce(w.s, 0) AS cr FROM pl LEFT JOIN sp l ON l.vec_id = pl.vec_id AND l.m = pl.m AND l.b = yb AND l.pos = yp
+  LEFT JOIN sp u ON u.vec_id = pl.vec_id AND u.m = pl.m AND u.b = 4 AND u.pos = cp LEFT JOIN sp w ON w.vec_id = pl.vec_id AND w.m = pl.m AND w.b = 5 AND w.pos = cp),
+out AS (SELECT vec_id, y, x, floor(round(greatest(0, least(255, yy + 1.402 * cr)), 6)) AS r, floor(round(greatest(0, least(255, yy - 0.344 * cb - 0.714 * cr)), 6)) AS g, floor(round(greatest(0, least(255, yy + 1.772 * cb)), 6)) AS b FROM yc)"""
+
+
+@query(
+    "vec_id:l r:l g:l b:l one:l",
+    _with(*QUANTISED, ZZ, COLOUR) + "SELECT vec_id, sum(r * (y * 29 + x + 1)) AS r, sum(g * (y * 29 + x + 1)) AS g, sum(b * (y * 29 + x + 1)) AS b, max(g) FILTER (WHERE x = 17 AND y = 10) AS one FROM out GROUP BY vec_id",
+)
+def jpeg_colour_420(spark, sf_dir):
+    """Files of two MCUs of 2x2 luma blocks and one of either chroma, cropped to 29x13; blocks are rotations of a vector's zigzag coefficients, chroma doubled by its steps."""
+    turn = lambda n: F.concat(F.slice("block", n + 1, 64 - n), F.slice("block", 1, n)) if n else F.col("block")
+    times = lambda block, f: F.transform(block, lambda v: v * f)
+    coef = F.concat(*(times(turn((7 * b + 3 * m) % 64), 1 if b < 4 else 2) for m in range(2) for b in range(6)))
+    files = images.pack_jpeg(quantised(spark, sf_dir, True).select("vec_id", F.lit(29).alias("width"), F.lit(13).alias("height"), coef.alias("coef")), 2, 2, interval=1)
+    read = images.decode(files.drop("error")).filter("error IS NULL")
+    one = read.select("vec_id", blocks.pixel(F.col("data"), F.col("width"), F.lit(17), F.lit(10), F.lit(1)).alias("one"))
+    at = F.col("y") * 29 + F.col("x") + 1
+    sums = images.pixels(read).groupBy("vec_id").agg(*(F.sum(F.col(c).cast("long") * at).alias(c) for c in "rgb"))
+    return sums.join(one, "vec_id")

@@ -35,7 +35,8 @@ def header(content: Column) -> Column:
 def with_header(files: DataFrame, content: str = "content") -> DataFrame:
     """files with header, encoding and error; nothing but the header's bytes is looked at."""
     h = F.col("header")
-    staged = files.withColumn("header", header(F.col(content)))
+    # exploded, so that its fields are read once and not wherever one of them is named
+    staged = files.select(*(c for c in files.columns if c != "header"), F.explode(F.array(header(F.col(content)))).alias("header"))
     staged = staged.withColumn("encoding", codec.raster_encoding(h["bit_count"], h["compression"]))
     error = (
         F.when(~bits.matches(F.col(content), "424D"), "no BMP signature")
