@@ -283,3 +283,30 @@ def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(round_trip(table(spark, sf_dir, "documents")))
+
+
+# The same recursion over the rank file, and the pattern without its look-ahead: a mark parts
+# a run of white space from its last character where another character follows.
+_WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_MARK = r"\x{F8FF}"
+ORACLE_SQL = rf"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+marked AS (SELECT rid, regexp_replace(text, '([{_WHITE}])([{_WHITE}][^{_WHITE}])', '\1' || chr(63743) || '\2', 'g') AS text FROM docs),
+pieces AS (SELECT rid, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT rid, regexp_extract_all(text, '''(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}{_MARK}]+|[{_WHITE}]+') AS l FROM marked)),
+ranks AS (SELECT hex(from_base64(split_part(line, ' ', 1))) AS h, CAST(split_part(line, ' ', 2) AS INT) AS r FROM read_csv('{RANKS}', columns = {{'line': 'VARCHAR'}}, delim = '\x01', quote = '', escape = '', header = false)),
+merges AS (SELECT a.r AS a, b.r AS b, c.r FROM (SELECT r, substr(h, 1, 2 * i) AS x, substr(h, 2 * i + 1) AS y FROM (SELECT h, r, unnest(range(1, length(h) // 2)) AS i FROM ranks)) c JOIN ranks a ON a.h = x JOIN ranks b ON b.h = y),
+words AS (SELECT row_number() OVER () AS w, h, length(h) // 2 AS n FROM (SELECT DISTINCT hex(encode(piece)) AS h FROM pieces)),
+bytes AS (SELECT w, p, r AS t FROM (SELECT w, substr(h, 2 * p + 1, 2) AS x, p FROM (SELECT w, h, unnest(range(n)) AS p FROM words)) JOIN ranks ON h = x),
+s(w, p, t, p2, t2, done) AS (
+  SELECT w, p, t, p + 1, coalesce(lead(t) OVER (PARTITION BY w ORDER BY p), -1), false FROM bytes
+  UNION ALL (
+  WITH live AS (SELECT * FROM s WHERE NOT done),
+  best AS (SELECT w, min(CAST(r AS BIGINT) * 1048576 + p) AS k FROM live JOIN merges ON a = t AND b = t2 GROUP BY w),
+  pick AS (SELECT l.w, l.p, CAST(k // 1048576 AS INT) AS r, l.p2 AS q FROM best JOIN live l ON l.w = best.w AND l.p = k % 1048576),
+  swap AS (SELECT pick.*, n.p2, n.t2 FROM pick JOIN live n ON n.w = pick.w AND n.p = pick.q)
+  SELECT l.w, l.p, CASE WHEN l.p = x.p THEN x.r ELSE l.t END, CASE WHEN l.p = x.p THEN x.p2 ELSE l.p2 END, CASE WHEN l.p = x.p THEN x.t2 WHEN l.p2 = x.p THEN x.r ELSE l.t2 END, x.w IS NULL
+  FROM live l LEFT JOIN swap x ON x.w = l.w WHERE x.w IS NULL OR l.p <> x.q)),
+coded AS (SELECT w, count(*) AS n, string_agg(CAST(t AS VARCHAR), ' ' ORDER BY p) AS ids, string_agg(ranks.h, '' ORDER BY p) AS back FROM s JOIN ranks ON ranks.r = t WHERE done GROUP BY w),
+texts AS (SELECT rid, sum(coded.n) AS n, string_agg(ids, ' ' ORDER BY i) AS ids, string_agg(back, '' ORDER BY i) AS back FROM pieces p JOIN words ON words.h = hex(encode(p.piece)) JOIN coded USING (w) GROUP BY rid)
+SELECT doc_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_tokens, sha256(coalesce(ids, '')) AS ids_sha256, sha256(unhex(coalesce(back, ''))) AS decoded_sha256 FROM docs LEFT JOIN texts t USING (rid)
+"""

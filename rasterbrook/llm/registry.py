@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_byte_level_bpe": bpe.ORACLE_SQL,
     "op5_benchmark_decontamination": decontam.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
 }

@@ -5,7 +5,7 @@ import random
 import public_tokenizers
 import regex
 import tiktoken
-from helpers import ODD_TEXTS, empty, odd, same
+from helpers import ODD_TEXTS, check_sql, empty, odd, same
 
 from rasterbrook.llm import bpe
 from rasterbrook.llm.pretokens import load_ranks, splitter
@@ -33,6 +33,10 @@ def test_whole_table_against_library(spark, sf_dir):
     assert same(bpe.query(spark, sf_dir).collect(), NAMES) == expected(docs.select("doc_id", "text").collect())
 
 
+def test_whole_table_against_sql(spark, sf_dir):
+    check_sql(spark, bpe.query, bpe.ORACLE_SQL, sf_dir, ["documents"])
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     out = bpe.round_trip(docs)

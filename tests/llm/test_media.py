@@ -6,7 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from helpers import empty, odd
+from helpers import check_sql, empty, odd
 
 from rasterbrook.llm import media
 
@@ -128,6 +128,17 @@ def test_whole_table(spark, tiny_dir):
     assert all(r.feature for r in rows)
 
 
+PAYLOAD_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, length(h) // 2 AS n, rpad(h, CAST(greatest(1, (length(h) + 127) // 128) * 128 AS INT), '0') AS h FROM h)
+SELECT doc_id, n AS n_bytes, length(h) // 2 AS payload_bytes, sha256(unhex(h)) AS payload_sha256 FROM p
+"""
+
+
+def test_payloads_against_sql(spark, sf_dir):
+    check_sql(spark, lambda spark, sf_dir: media.query(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256"), PAYLOAD_SQL, sf_dir, ["documents"])
+
+
 def test_odd_rows_and_empty(spark):
     read = media.read_media(media.store_texts(odd(spark)))
     docs = {(d.doc_id, media.pad((d.text or "").encode())) for d in odd(spark).collect()}

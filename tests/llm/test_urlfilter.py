@@ -4,6 +4,7 @@ from itertools import combinations
 from math import log
 
 import pytest
+from helpers import check_sql
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -44,6 +45,23 @@ def test_parts_and_rules(spark):
         assert r.verdict == (verdict or ("block" if r.p_block > 0.5 else "allow"))
 
 
+HOSTS_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
+r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(h, start, verdict)),
+f AS (SELECT page_id, arg_max(h || start, length(h || start)) AS rule, arg_max(verdict, length(h || start)) AS verdict FROM p, r WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, start) GROUP BY page_id)
+SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN f USING (page_id)
+"""
+
+
+def test_hosts_paths_and_rules_against_sql(spark, sf_dir):
+    def ruled(spark, sf_dir):
+        judged = urlfilter.query(spark, sf_dir)
+        return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+    check_sql(spark, ruled, HOSTS_SQL, sf_dir, ["pages"])
+
+
 def test_viterbi_is_the_best_of_all_splits():
     s = urlfilter.Splitter({"the": 50, "cat": 20, "he": 30, "at": 25, "t": 3, "hec": 1}, 200)
     for name in ("thecat", "tthe", "hecat", "xthey", "catcat"):
