@@ -29,6 +29,7 @@ but not a component are told apart.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -43,6 +44,9 @@ from rasterbrook.llm.common import chunks, cut, map_batches, table
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Bytes of a text whose shingles are in memory at once.
+BLOCK = 1 << 20
+_SPACE = re.compile(rb"[\x09-\x0d\x20]")
 #: Rows of a bucket above which it is dealt again by its other bits.
 HOT = 4096
 #: (lowest bit, width) of the five fields.
@@ -63,16 +67,45 @@ def shingles(text: bytes | None, k: int = SHINGLE) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
 
 
+def _word_blocks(text: bytes, k: int) -> Iterator[list[bytes]]:
+    """The words of a long text in lists, each beginning with the last k - 1 of the one before."""
+    carried: list[bytes] = []
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + BLOCK)
+        end = gap.start() if gap else len(text)
+        words = carried + text[at:end].lower().split()
+        at = end
+        if len(words) >= k or at >= len(text):
+            yield words
+            carried = words[max(0, len(words) - k + 1) :]
+        else:
+            carried = words
+
+
 def fingerprint_batch(texts: list[bytes | None], k: int = SHINGLE) -> np.ndarray:
     """uint64 SimHash of each text: a bit is set if it is set in over half of the shingles' hashes."""
     out = np.zeros(len(texts), np.uint64)
     digest = xxhash.xxh64_intdigest
+
+    def bits_of(hashes: list[int]) -> np.ndarray:
+        return np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
     for i, text in enumerate(texts):
-        hashes = [digest(s, SEED) for s in shingles(text, k)]
-        if hashes:
-            bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            on = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-            out[i] = np.packbits(on, bitorder="little").view(np.uint64)[0]
+        if text and len(text) > BLOCK:
+            n, total = 0, np.zeros(64, np.int64)
+            for words in _word_blocks(text, k):
+                hashes = [digest(b" ".join(words[j : j + k]), SEED) for j in range(len(words) - k + 1)]
+                if hashes:
+                    n, total = n + len(hashes), total + bits_of(hashes)
+            if not n:
+                hashes = [digest(s, SEED) for s in shingles(text, k)]
+                n, total = len(hashes), bits_of(hashes) if hashes else total
+        else:
+            hashes = [digest(s, SEED) for s in shingles(text, k)]
+            n, total = len(hashes), bits_of(hashes) if hashes else None
+        if n:
+            out[i] = np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0]
     return out
 
 

@@ -130,3 +130,11 @@ def test_ids_of_any_type(spark):
     df = spark.createDataFrame([("b", "a b c d"), ("a", "a b c d"), ("z", "quite another text")], "doc_id string, text string")
     assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [("a", "a"), ("b", "a"), ("z", "z")]
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == ["a", "z"]
+
+
+def test_blocks_change_nothing(monkeypatch):
+    texts = [b"", b"   ", b"one", b" one  two ", b"One two three four five six", b"a\tb\nc d e f g h i j k l m n o p " * 5, b" " * 50 + b"x y z", b"x" * 99]
+    want = simhash.fingerprint_batch(texts)
+    for size in (1, 2, 5, 20):
+        monkeypatch.setattr(simhash, "BLOCK", size)
+        assert (simhash.fingerprint_batch(texts) == want).all()
