@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterbrook.llm.common import chunks, map_batches, release, table, utf8
-from rasterbrook.llm.pretokens import RANKS, load_ranks, splitter
+from rasterbrook.llm.pretokens import BLOCK, RANKS, load_ranks, split_blocks, splitter
 
 LONG_WORD = 64
 #: Bytes of a long word's pieces; a multiple of the short periods that texts repeat with.
@@ -246,14 +246,23 @@ class Codec:
     def run(self, texts: list[str | None]) -> tuple[list[int], list[str], list[bytes]]:
         """Token counts, ids as text, and the bytes that the ids decode to."""
         split = splitter()
-        pieces = [split(t) if t else [] for t in texts]
-        self.learn(set().union(*pieces))
-        counts, ids, back = [], [], []
+        pieces = [None if t and len(t) > BLOCK else split(t) if t else [] for t in texts]
+        self.learn(set().union(*(p for p in pieces if p)))
+        ids, back = [], []
         for words in pieces:
-            runs = [self.ids[w] for w in words]
+            runs = [self.ids[w] for w in words or ()]
             ids.append(" ".join(runs))
-            counts.append(ids[-1].count(" ") + 1 if runs else 0)
             back.append(b"".join([self.texts[x] for x in runs]))
+        for i, text in enumerate(texts):
+            if pieces[i] is None:  # a long text, a block at a time
+                parts, raw = [], []
+                for words in split_blocks(text):
+                    self.learn(set(words))
+                    runs = [self.ids[w] for w in words]
+                    parts.append(" ".join(runs))
+                    raw.append(b"".join([self.texts[x] for x in runs]))
+                ids[i], back[i] = " ".join(parts), b"".join(raw)
+        counts = [x.count(" ") + 1 if x else 0 for x in ids]
         return counts, ids, back
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import public_tokenizers
@@ -43,3 +43,24 @@ def splitter() -> Callable[[str], list[str]]:
         return general(text) if beyond(text) else latin(text)
 
     return split
+
+
+#: Characters of a text that are split at once.
+BLOCK = 1 << 20
+
+
+def split_blocks(text: str) -> Iterator[list[str]]:
+    """The pre-tokens of a text, in lists of about BLOCK characters."""
+    split, at = splitter(), 0
+    while at < len(text):
+        size = BLOCK
+        while True:
+            words = split(text[at : at + size])
+            if at + size >= len(text):
+                break
+            words = words[:-2]  # the last may go on behind the block, and the one before have ended for it
+            if words:
+                break
+            size *= 2
+        yield words
+        at += sum(map(len, words))

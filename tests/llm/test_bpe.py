@@ -7,7 +7,7 @@ import regex
 import tiktoken
 from helpers import ODD_TEXTS, check_sql, empty, odd, same
 
-from rasterbrook.llm import bpe
+from rasterbrook.llm import bpe, pretokens
 from rasterbrook.llm.pretokens import load_ranks, splitter
 
 NAMES = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -95,3 +95,15 @@ def test_both_recursions_agree_and_the_cache_may_be_dropped(monkeypatch):
 def test_split_is_the_pattern():
     for t in ODD_TEXTS:
         assert splitter()(t or "") == regex.findall(public_tokenizers.PATTERN, t or "")
+
+
+def test_blocks_split_alike(monkeypatch):
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(pretokens, "BLOCK", size)
+        monkeypatch.setattr(bpe, "BLOCK", size)
+        for t in [t for t in ODD_TEXTS if t and len(t) < 5_000] + ["a  b'll 'l l's\n\n x" * 20]:
+            assert [w for words in pretokens.split_blocks(t) for w in words] == splitter()(t)
+    texts = ["Some words, it's  said;\n\nand more.", None, "x", "a longer text of " * 40]
+    got = bpe.Codec().run(texts)
+    monkeypatch.undo()
+    assert got == bpe.Codec().run(texts)

@@ -8,6 +8,7 @@ from test_simhash import naive_groups, naive_print
 
 import pytest
 from helpers import ODD_TEXTS, SCHEMA, empty, odd
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rasterbrook.llm.pretokens import load_ranks
@@ -55,20 +56,22 @@ def odd_dir(spark, tiny_dir, tmp_path):
     (tmp_path / "benchmark.parquet").symlink_to(f"{tiny_dir}/benchmark.parquet")
     rows = [(50, "one text of words about many things here", "en", "s", 40, "x", 1, 2, "w"), (50, "another one that has nothing in common with it", "en", "s", 45, "x", 1, 2, "w"), (None, "an unnamed row that says something else again", "en", "s", 45, "x", 1, 2, "w")]
     docs = odd(spark).union(spark.createDataFrame(rows * 2, SCHEMA))
+    docs = docs.union(docs.filter("doc_id = 50").limit(1).withColumn("text", F.expr("cast(unhex('62726F6B656E20FF20627974657320686572652C2061C3') AS string)")))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     return str(tmp_path)
 
 
 def test_odd_rows_pass_whole(spark, odd_dir):
-    """Null, empty and equal texts, null and repeated ids, columns of clashing names."""
+    """Null, empty and equal texts, invalid UTF-8, null and repeated ids, columns of clashing names."""
     done = corpus_pipeline.run(spark, odd_dir).collect()
     lettered = [t for t in ODD_TEXTS if any(map(str.isalpha, t or ""))]
     found = {r.decoded_sha256 for r in done}
     words = {" ".join(t.lower().split()) for t in lettered}  # near-dedup lower-cases A-Z and splits at blanks
-    assert len(done) == len(found) <= len(words) + 4
+    assert len(done) == len(found) <= len(words) + 5
     for t in ("one text of words about many things here", "another one that has nothing in common with it", "an unnamed row that says something else again", "no id here", "a"):
         assert hashlib.sha256(t.encode()).hexdigest() in found
-    assert sum(r.doc_id == 50 for r in done) == 2 and sum(r.doc_id is None for r in done) == 2
+    assert hashlib.sha256("broken \ufffd bytes here, a\ufffd".encode()).hexdigest() in found
+    assert sum(r.doc_id == 50 for r in done) == 3 and sum(r.doc_id is None for r in done) == 2
 
 
 def test_empty_table(spark, tiny_dir, tmp_path):
