@@ -25,7 +25,6 @@ A file that is cut short or has an undefined code raises ValueError.
 
 from __future__ import annotations
 
-import heapq
 import struct
 from collections.abc import Iterator
 from functools import cache
@@ -35,7 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterbrook.functions import tables
 from rasterbrook.llm.common import chunks, map_batches, table
+from rasterbrook.operators import huffman
+from rasterbrook.sources import jpeg
 
 BLOCK = 64
 #: Blocks of a frame's row, which is a restart interval, and its most rows: an ordinary text has several frames.
@@ -54,57 +56,33 @@ STEP = 0.1
 
 @cache
 def zigzag() -> np.ndarray:
-    """Natural position of each coefficient, walking the anti-diagonals of an 8x8 block."""
-    cells = sorted(((x + y, x if (x + y) % 2 == 0 else y, y, x) for y in range(8) for x in range(8)))
-    return np.array([8 * y + x for _, _, y, x in cells])
+    """Natural position of each coefficient's zigzag place."""
+    return np.array(tables.ZIGZAG)
 
 
 @cache
 def basis() -> np.ndarray:
     """64x64: row k holds the pixels of zigzag coefficient k of the orthonormal 8x8 DCT."""
-    x = np.arange(8)
-    rows = np.array([(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)])
-    return np.array([np.outer(rows[k // 8], rows[k % 8]).ravel() for k in zigzag()], np.float32)
-
-
-def code_lengths(weights: dict[int, float], most: int = 16) -> dict[int, int]:
-    """Huffman code lengths of at most `most` bits, leaving the code of all ones free."""
-    while True:
-        heap = [(w, i, [s]) for i, (s, w) in enumerate(sorted(weights.items()))] + [(0.0, -1, [])]
-        heapq.heapify(heap)
-        size = dict.fromkeys(weights, 0)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                size[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(size.values()) <= most:
-            return size
-        weights = {s: w**0.8 for s, w in weights.items()}
-
-
-def canonical(size: dict[int, int]) -> tuple[list[int], list[int], dict[int, tuple[int, int]]]:
-    """Counts by length 1..16, symbols in order of their codes, and symbol -> (code, length)."""
-    order = sorted(size, key=lambda s: (size[s], s))
-    code, last, codes = 0, 0, {}
-    for s in order:
-        code <<= size[s] - last
-        last = size[s]
-        codes[s] = (code, last)
-        code += 1
-    return [sum(n == i for n in size.values()) for i in range(1, 17)], order, codes
+    return np.array([[tables.dct_weight(k, p) for p in range(64)] for k in tables.ZIGZAG], np.float32)
+
+
+def _table(weights: dict[int, int]) -> tuple[list[int], list[int], dict[int, tuple[int, int]]]:
+    """Huffman table of some weights: counts by length 1..16, symbols in order of their codes, and symbol -> (code, length)."""
+    counts = huffman.limited(huffman.merged_sizes(weights))
+    symbols = sorted(weights, key=lambda s: (-weights[s], s))
+    return counts, symbols, tables.codes(counts, symbols)
 
 
 @cache
 def dc_table() -> tuple:
-    return canonical(code_lengths({s: 2.0 ** -abs(s - 5) for s in range(12)}))
+    return _table({s: 1 << 20 - abs(s - 5) for s in range(12)})
 
 
 @cache
 def ac_table() -> tuple:
-    """Weights by rule: sizes near five are likely, long runs are not."""
-    weights = {run << 4 | size: 2.0 ** (-2 * run - abs(size - 5)) for run in range(16) for size in range(1, 11)}
-    return canonical(code_lengths(weights | {0x00: 2.0**-6, 0xF0: 2.0**-14}))
+    """Weights by rule: sizes near five are likely, long runs are not. Three codes of sixteen zeros, another code and its bits must fit in 64 bits."""
+    weights = {run << 4 | size: 1 << max(0, 24 - 2 * run - abs(size - 5)) for run in range(16) for size in range(1, 11)}
+    return _table(weights | {0x00: 1 << 18, 0xF0: 1 << 18})
 
 
 def _size_of(v: np.ndarray) -> np.ndarray:
@@ -193,18 +171,15 @@ def entropy_code(blocks: np.ndarray, interval: int = GRID) -> tuple[np.ndarray,
 def frame_header(rows: int) -> bytes:
     """SOI, DQT of ones, SOF0, both DHT, DRI and SOS of a frame of so many rows of blocks."""
 
-    def segment(marker: int, body: bytes) -> bytes:
-        return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
-
-    huffman = b"".join(bytes([kind, *t[0], *t[1]]) for kind, t in ((0x00, dc_table()), (0x10, ac_table())))
-    return (
-        b"\xff\xd8"
-        + segment(0xDB, b"\x00" + b"\x01" * 64)
-        + segment(0xC0, struct.pack(">BHHB", 8, 8 * rows, 8 * GRID, 1) + b"\x01\x11\x00")
-        + segment(0xC4, huffman)
-        + segment(0xDD, struct.pack(">H", GRID))
-        + segment(0xDA, b"\x01\x01\x00\x00\x3f\x00")
+    coding = b"".join(bytes([kind, *t[0], *t[1]]) for kind, t in ((0x00, dc_table()), (0x10, ac_table())))
+    parts = (
+        (jpeg.DQT, b"\x00" + b"\x01" * 64),
+        (jpeg.SOF0, struct.pack(">BHHB", 8, 8 * rows, 8 * GRID, 1) + b"\x01\x11\x00"),
+        (jpeg.DHT, coding),
+        (jpeg.DRI, struct.pack(">H", GRID)),
+        (jpeg.SOS, b"\x01\x01\x00\x00\x3f\x00"),
     )
+    return b"\xff\xd8" + b"".join(struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body for marker, body in parts)
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -315,58 +290,37 @@ def riff_index(media: bytes) -> tuple[list[bytes], int, float]:
 
 
 @cache
-def _frame_head(head: bytes) -> tuple[np.ndarray, int, int, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def _frame_head(head: bytes) -> tuple[np.ndarray, int, int, np.ndarray, np.ndarray]:
     """Of all before the entropy bytes: quantiser by zigzag place, blocks, restart interval, DC and AC look-up by 16 bits."""
-    at, quant, blocks, interval, tables = 2, {}, 0, 0, {}
-    if head[:2] != b"\xff\xd8":
-        raise ValueError("no JPEG frame")
-    while at < len(head):
-        marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
-        body = head[at + 4 : at + 2 + size]
-        if marker == 0xDB:
-            while body:
-                wide = body[0] >> 4
-                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * (1 + wide)], ">u2" if wide else np.uint8).astype(np.float32)
-                body = body[1 + 64 * (1 + wide) :]
-        elif marker == 0xC0:
+    quant, blocks, interval, codes = {}, 0, 0, {}
+    for _, marker, body in jpeg.segments(head + b"\xff\xd9"):  # an empty scan stands for the frame's
+        if marker == jpeg.DQT:
+            quant |= {dest: steps[zigzag()].astype(np.float32) for dest, steps in jpeg.quant_tables(body)}
+        elif marker == jpeg.SOF0:
             precision, high, wide, n = struct.unpack_from(">BHHB", body)
             if precision != 8 or n != 1:
                 raise ValueError("only grey baseline frames are read")
-            blocks = -(-high // 8) * -(-wide // 8)
-            selector = body[8]
-        elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            blocks, selector = -(-high // 8) * -(-wide // 8), body[8]
+        elif 0xC1 <= marker <= 0xCF and marker not in (jpeg.DHT, 0xC8, 0xCC):
             raise ValueError("only grey baseline frames are read")
-        elif marker == 0xC4:
-            while body:
-                counts, n = body[1:17], sum(body[1:17])
-                length, symbol = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-                code = place = 0
-                for bits, count in enumerate(counts, 1):
-                    for s in body[17 + place : 17 + place + count]:
-                        span = slice(code << 16 - bits, code + 1 << 16 - bits)
-                        length[span], symbol[span] = bits, s
-                        code += 1
-                    place += count
-                    code <<= 1
-                tables[body[0]] = length, symbol
-                body = body[17 + n :]
-        elif marker == 0xDD:
+        elif marker == jpeg.DHT:
+            codes |= {(kind, dest): jpeg.lookup(counts, symbols) for kind, dest, counts, symbols in jpeg.huffman_tables(body)}
+        elif marker == jpeg.DRI:
             interval = struct.unpack(">H", body)[0]
-        elif marker == 0xDA:
-            dc, ac = body[2] >> 4, 0x10 | body[2] & 15
-        at += 2 + size
-    return quant[selector], blocks, interval or blocks, tables[dc], tables[ac]
+        elif marker == jpeg.SOS:
+            dc, ac = body[2] >> 4, body[2] & 15
+    return quant[selector], blocks, interval or blocks, codes[0, dc], codes[1, ac]
 
 
 def decode_frames(frames: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(coefficients, quantiser) of each frame: (blocks, 64) in zigzag order; frames of like heads are decoded together."""
+    """(coefficients, quantiser) of each frame: (blocks, 64) in zigzag order; the restart segments of frames with like heads go in step."""
     groups: dict[bytes, list[int]] = {}
     entropy = []
     for i, f in enumerate(frames):
         at = 2
-        while f[at + 1] != 0xDA:
-            at += 2 + struct.unpack_from(">H", f, at + 2)[0]
-        at += 2 + struct.unpack_from(">H", f, at + 2)[0]
+        while f[at + 1] != jpeg.SOS:
+            at += 2 + int.from_bytes(f[at + 2 : at + 4], "big")
+        at += 2 + int.from_bytes(f[at + 2 : at + 4], "big")
         if f[-2:] != b"\xff\xd9":
             raise ValueError("a frame has no end")
         groups.setdefault(f[:at], []).append(i)
@@ -374,77 +328,18 @@ def decode_frames(frames: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     out: list = [None] * len(frames)
     for head, own in groups.items():
         quant, blocks, interval, dc, ac = _frame_head(head)
-        coefficients = _decode_group([entropy[i] for i in own], blocks, interval, dc, ac)
+        sizes = [min(interval, blocks - a) for a in range(0, blocks, interval)]
+        parts = [jpeg.restart_parts(entropy[i]) for i in own]
+        if any(len(p) != len(sizes) for p in parts):
+            raise ValueError("restart markers are missing")
+        n = len(own) * len(sizes)
+        found = jpeg.decode_segments([x for p in parts for x in p], sizes * len(own), [0], [[dc] * 3] * n, [[ac] * 3] * n)
+        coefficients = np.concatenate(found).reshape(len(own), blocks, BLOCK).astype(np.int16)
         for j, i in enumerate(own):
             out[i] = coefficients[j], quant
     return out
 
 
-def _decode_group(parts: list[bytes], blocks: int, interval: int, dc: tuple, ac: tuple) -> np.ndarray:
-    """(frames, blocks, 64) coefficients of frames with the same tables; all restart segments go in step."""
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    begin = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
-    ff = np.flatnonzero(data[:-1] == 0xFF)
-    after = data[ff + 1]
-    mark = ff[(after >= 0xD0) & (after <= 0xD7)]
-    gone = np.concatenate((ff[after == 0] + 1, mark, mark + 1))
-    keep = np.ones(len(data), bool)
-    keep[gone] = False
-    starts = np.sort(np.concatenate((begin, mark + 2)))
-    each = -(-blocks // interval)
-    if len(starts) != each * len(parts):
-        raise ValueError("restart markers are missing")
-    first = np.cumsum(np.r_[0, keep])[starts]  # of each segment, among the bytes kept
-    raw = data[keep].astype(np.uint64)
-    n_bits = np.diff(np.r_[first, len(raw)]) * 8
-    raw = np.concatenate((raw, np.zeros(8, np.uint64)))
-    window = raw[:-7].copy()  # five bytes from each place on
-    for j in range(1, 5):
-        window = window << np.uint64(8) | raw[j : j + len(window)]
-    window = window.view(np.int64)
-
-    out = np.zeros((len(starts), interval, BLOCK), np.int16)
-    want = np.minimum(interval, blocks - np.arange(len(starts)) % each * interval)
-    bit = first * 8
-    limit = bit + n_bits
-    predictor = np.zeros(len(starts), np.int64)
-
-    def read(segments: np.ndarray, lookup: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols at the segments' places, and the values of as many bits as their low nibbles say."""
-        at = bit[segments]
-        if (at >= limit[segments]).any():
-            raise ValueError("a segment is cut short")
-        view, offset = window[at >> 3], at & 7
-        prefix = (view >> (24 - offset)) & 0xFFFF
-        length, symbol = lookup[0][prefix], lookup[1][prefix]
-        if (length == 0).any():
-            raise ValueError("an undefined code")
-        s = symbol & 15
-        value = (view >> (40 - offset - length - s)) & ((1 << s) - 1)
-        bit[segments] = at + length + s
-        return symbol, np.where((value << 1) >> s == 0, value - (1 << s) + 1, value)
-
-    for b in range(interval):
-        live = np.flatnonzero(want > b)
-        _, value = read(live, dc)
-        predictor[live] += value
-        out[live, b, 0] = predictor[live]
-        k = np.zeros(len(starts), np.int64)
-        while len(live):
-            symbol, value = read(live, ac)
-            place = k[live] + 1 + (symbol >> 4)
-            size = symbol & 15
-            ended = symbol == 0
-            if (place[~ended] > 63).any() or ((size == 0) & ~ended & (symbol != 0xF0)).any():
-                raise ValueError("a run beyond the block")
-            real = size > 0
-            out[live[real], b, place[real]] = value[real]
-            k[live] = np.where(ended, 63, place)
-            live = live[k[live] < 63]
-    whole = out.reshape(len(parts), each * interval, BLOCK)
-    return whole[:, :blocks]
-
-
 def pixels(coefficients: np.ndarray, quantiser: np.ndarray) -> np.ndarray:
     """(blocks, 64) grey samples."""
     return np.clip(np.rint((coefficients * quantiser) @ basis()) + 128, 0, 255).astype(np.uint8)
