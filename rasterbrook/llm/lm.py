@@ -420,7 +420,7 @@ def _write_words(counted: DataFrame, folder: str, bits: int) -> DataFrame:
         return pa.record_batch([pa.array([s], pa.int64()), pa.array([len(hashes)], pa.int64()), pa.array([int(total[-1])], pa.int64())], names=["shard", "size", "total"])
 
     shard = F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long")
-    dealt = counted.select(shard.alias("shard"), "hash", "n").repartition("shard").sortWithinPartitions("shard")
+    dealt = counted.select(shard.alias("shard"), "hash", "n").repartition(1 << bits, "shard").sortWithinPartitions("shard")
     return map_batches(dealt, run, "shard long, size long, total long")
 
 
@@ -518,7 +518,7 @@ def _write_level(blocks: DataFrame, trie: Trie, k: int, top: bool) -> DataFrame:
         if held:
             yield done(at, held)
 
-    return map_batches(blocks.filter("size > 0").repartition("shard").sortWithinPartitions("shard"), run, "shard long, size long, total long")
+    return map_batches(blocks.filter("size > 0").repartition(trie.shards, "shard").sortWithinPartitions("shard"), run, "shard long, size long, total long")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, train: F.Column) -> DataFrame:
