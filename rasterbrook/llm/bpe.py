@@ -50,7 +50,7 @@ ROWS_AT_ONCE = 2_000_000
 MOST_IDS = 1 << 31
 #: Words per recursive query, and words kept from one slice to the next.
 WORDS_AT_ONCE = 20_000
-CACHED = 150_000
+CACHED = 200_000
 CACHED_BYTES = 24 << 20
 
 _CONTRACT = """
@@ -110,6 +110,7 @@ class Codec:
         np.minimum.at(lowest, a, r)
         np.minimum.at(lowest, b, r)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db.execute("SET preserve_insertion_order = false")
         self._table("merges", {"a": a.astype(np.int32), "b": b.astype(np.int32), "r": r.astype(np.int32), "safe": lowest[r] > r})
         self._table("vocabulary", {"t": np.array(list(self.ranks.values()), np.int32), "hex": [x.hex() for x in self.ranks]})
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
@@ -144,7 +145,7 @@ class Codec:
         for long in (False, True):
             held: list[bytes] = []
             rows = 0
-            for w in (w for w in words if (len(w) > LONG_WORD) == long):
+            for w in sorted((w for w in words if (len(w) > LONG_WORD) == long), key=len):  # like lengths take like numbers of steps
                 more = len(w) if long else len(w) ** 2 // 2
                 if held and (rows + more > ROWS_AT_ONCE or len(held) >= WORDS_AT_ONCE):
                     out.update(zip(held, self.contract(held, long), strict=True))
