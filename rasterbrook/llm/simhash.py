@@ -324,9 +324,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     names = ["doc_id", "h1", "h2", "n"]
     prints, placed = _placed(docs, id_col, text_col)
-    rows = prints.groupBy("fp", *names).agg(F.count("*").alias("copies")).join(placed, "fp")
+    rows = cut(prints.groupBy("fp", *names).agg(F.count("*").alias("copies")).join(placed, "fp"))
     order = F.struct(F.col("doc_id").isNull(), *names)
-    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    first = cut(rows.groupBy("root").agg(F.min(order).alias("first")))
+    # few components are broadcast, so that a large one's rows stay where they are; of many, an exchange's large keys are split
+    first = F.broadcast(first) if first.count() <= MOST_BROADCAST else first
     # names that go, and names that stay but stand on several rows
     marked = rows.join(first, "root").select(*names, (order == F.col("first")).alias("stays"), "copies").filter("NOT stays OR copies > 1")
     marked = cut(marked)
