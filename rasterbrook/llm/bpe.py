@@ -30,6 +30,7 @@ repeated rows repeat and an empty table stays so.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import cache
 
 import duckdb
@@ -50,7 +51,7 @@ ROWS_AT_ONCE = 2_000_000
 MOST_IDS = 1 << 31
 #: Words per recursive query, and words kept from one slice to the next.
 WORDS_AT_ONCE = 20_000
-CACHED = 200_000
+CACHED = 250_000
 CACHED_BYTES = 24 << 20
 
 _CONTRACT = """
@@ -115,7 +116,10 @@ class Codec:
         self._table("vocabulary", {"t": np.array(list(self.ranks.values()), np.int32), "hex": [x.hex() for x in self.ranks]})
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.token = {r: t for t, r in self.ranks.items()}
-        self.names = {r: str(r) for r in self.token}
+        self.whole = {}  # the tokens that are texts, which a word may be as a whole
+        for t, r in self.ranks.items():
+            with suppress(UnicodeDecodeError):
+                self.whole[t.decode()] = str(r)
         self.apart: dict[tuple[int, int], bool] = {}  # pairs of tokens that stay as they are
         self.held = 0  # bytes of the words in self.ids
         self.ids: dict[str, str] = {}
@@ -218,16 +222,16 @@ class Codec:
             self.ids[w] = ids[w]
             self.texts[ids[w]] = texts[ids[w]]
             self.held += len(w)
-        new = [(w, w.encode()) for w in words.difference(self.ids)]
-        self.held += sum(len(raw) for _, raw in new)
+        new = words.difference(self.ids)
+        for w in new.intersection(self.whole):
+            self.ids[w] = ids = self.whole[w]
+            self.texts[ids] = self.token[int(ids)]
         short = {}
         long = []
-        for w, raw in new:
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                self.ids[w] = ids = self.names[whole]
-                self.texts[ids] = self.token[whole]
-            elif len(raw) <= LONG_WORD:
+        for w in new.difference(self.whole):
+            raw = w.encode()
+            self.held += len(raw)
+            if len(raw) <= LONG_WORD:
                 short[raw] = w
             else:
                 long.append((w, raw))
@@ -250,10 +254,11 @@ class Codec:
         pieces = [None if t and len(t) > BLOCK else split(t) if t else [] for t in texts]
         self.learn(set().union(*(p for p in pieces if p)))
         ids, back = [], []
+        coded, decoded = self.ids.__getitem__, self.texts.__getitem__
         for words in pieces:
-            runs = [self.ids[w] for w in words or ()]
+            runs = list(map(coded, words or ()))
             ids.append(" ".join(runs))
-            back.append(b"".join([self.texts[x] for x in runs]))
+            back.append(b"".join(map(decoded, runs)))
         for i, text in enumerate(texts):
             if pieces[i] is None:  # a long text, a block at a time
                 parts, raw = [], []
