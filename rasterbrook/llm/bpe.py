@@ -51,7 +51,7 @@ ROWS_AT_ONCE = 2_000_000
 MOST_IDS = 1 << 31
 #: Words per recursive query, and words kept from one slice to the next.
 WORDS_AT_ONCE = 20_000
-CACHED = 250_000
+CACHED = 300_000
 CACHED_BYTES = 24 << 20
 
 _CONTRACT = """
@@ -116,15 +116,14 @@ class Codec:
         self._table("vocabulary", {"t": np.array(list(self.ranks.values()), np.int32), "hex": [x.hex() for x in self.ranks]})
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.token = {r: t for t, r in self.ranks.items()}
-        self.whole = {}  # the tokens that are texts, which a word may be as a whole
+        self.whole = {}  # of the tokens that are texts, which a word may be as a whole, id and bytes
         for t, r in self.ranks.items():
             with suppress(UnicodeDecodeError):
-                self.whole[t.decode()] = str(r)
+                self.whole[t.decode()] = str(r), t
         self.apart: dict[tuple[int, int], bool] = {}  # pairs of tokens that stay as they are
-        self.held = 0  # bytes of the words in self.ids
-        self.ids: dict[str, str] = {}
-        self.texts: dict[str, bytes] = {}
-        self.older: tuple[dict[str, str], dict[str, bytes]] = {}, {}
+        self.held = 0  # bytes of the words in self.known
+        self.known: dict[str, tuple[str, bytes]] = {}  # a word's ids, and what they decode to
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("incoming", pa.table(columns))
@@ -213,19 +212,14 @@ class Codec:
         self.apart.update((p, coded[w][0] == f"{p[0]} {p[1]}") for p, w in new.items())
 
     def learn(self, words: set[str]) -> None:
-        """Makes self.ids know all these words, and self.texts what their ids decode to."""
-        if len(self.ids) > CACHED or self.held > CACHED_BYTES:  # words that the last ones didn't use are forgotten
-            self.older, self.ids = (self.ids, self.texts), {}
-            self.texts, self.held = {}, 0
-        ids, texts = self.older
-        for w in words.intersection(ids).difference(self.ids):
-            self.ids[w] = ids[w]
-            self.texts[ids[w]] = texts[ids[w]]
+        """Makes self.known know all these words."""
+        if len(self.known) > CACHED or self.held > CACHED_BYTES:  # words that the last ones didn't use are forgotten
+            self.older, self.known, self.held = self.known, {}, 0
+        for w in words.intersection(self.older).difference(self.known):
+            self.known[w] = self.older[w]
             self.held += len(w)
-        new = words.difference(self.ids)
-        for w in new.intersection(self.whole):
-            self.ids[w] = ids = self.whole[w]
-            self.texts[ids] = self.token[int(ids)]
+        new = words.difference(self.known)
+        self.known.update((w, self.whole[w]) for w in new.intersection(self.whole))
         short = {}
         long = []
         for w in new.difference(self.whole):
@@ -235,13 +229,9 @@ class Codec:
                 short[raw] = w
             else:
                 long.append((w, raw))
-        for raw, (ids, back) in self.contract_all(set(short)).items():
-            self.ids[short[raw]] = ids
-            self.texts[ids] = back
-        self.ids.update(zip((w for w, _ in long), self.contract_long([raw for _, raw in long]), strict=True))
-        for w, _ in long:
-            if self.ids[w] not in self.texts:
-                self.texts.update(self.decode([self.ids[w]]))
+        self.known.update((short[raw], found) for raw, found in self.contract_all(set(short)).items())
+        for (w, _), ids in zip(long, self.contract_long([raw for _, raw in long]), strict=True):
+            self.known[w] = ids, self.decode([ids])[ids]
 
     def decode(self, coded: list[str]) -> dict[str, bytes]:
         """Sequences of ids to their bytes, by ordered aggregation."""
@@ -254,19 +244,18 @@ class Codec:
         pieces = [None if t and len(t) > BLOCK else split(t) if t else [] for t in texts]
         self.learn(set().union(*(p for p in pieces if p)))
         ids, back = [], []
-        coded, decoded = self.ids.__getitem__, self.texts.__getitem__
         for words in pieces:
-            runs = list(map(coded, words or ()))
-            ids.append(" ".join(runs))
-            back.append(b"".join(map(decoded, runs)))
+            found = list(map(self.known.__getitem__, words or ()))
+            ids.append(" ".join([x for x, _ in found]))
+            back.append(b"".join([x for _, x in found]))
         for i, text in enumerate(texts):
             if pieces[i] is None:  # a long text, a block at a time
                 parts, raw = [], []
                 for words in split_blocks(text):
                     self.learn(set(words))
-                    runs = [self.ids[w] for w in words]
-                    parts.append(" ".join(runs))
-                    raw.append(b"".join([self.texts[x] for x in runs]))
+                    found = list(map(self.known.__getitem__, words))
+                    parts.append(" ".join([x for x, _ in found]))
+                    raw.append(b"".join([x for _, x in found]))
                 ids[i], back[i] = " ".join(parts), b"".join(raw)
         counts = [x.count(" ") + 1 if x else 0 for x in ids]
         return counts, ids, back
