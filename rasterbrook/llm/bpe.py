@@ -51,7 +51,7 @@ ROWS_AT_ONCE = 2_000_000
 MOST_IDS = 1 << 31
 #: Words per recursive query, and words kept from one slice to the next.
 WORDS_AT_ONCE = 20_000
-CACHED = 300_000
+CACHED = 200_000
 CACHED_BYTES = 24 << 20
 
 _CONTRACT = """
