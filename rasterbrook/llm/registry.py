@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterbrook.llm import bpe, decontam, langid, lm, media, pii, sharding, simhash, token_counts, urlfilter
+from rasterbrook.llm import bpe, collocations, decontam, langid, lm, media, pii, sharding, simhash, token_counts, urlfilter
 
 QUERIES = {
     "op1_pii_surrogates": pii.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_media_columns": media.query,
     "op10_token_counts": token_counts.query,
+    "op12_phrase_collocations": collocations.query,
 }
 
 ORACLES = {
     "op4_byte_level_bpe": bpe.ORACLE_SQL,
     "op5_benchmark_decontamination": decontam.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
+    "op12_phrase_collocations": collocations.ORACLE_SQL,
 }
