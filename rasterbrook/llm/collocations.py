@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ COVERED = 80
 TOP = 2000
 #: Places of a bitmap: at least and at most.
 FEWEST_BITS, MOST_BITS = 16, 30
-#: Places of one row of bucket counts.
-REGION = 1 << 16
+#: Parts of a bitmap, as a power of two: a block sends a row for each at most, however large the bitmap is.
+PARTS = 8
 #: Words of a block, and bytes of a text that are split at once.
 BLOCK_WORDS, SLICE = 1 << 20, 1 << 20
 #: Words of a language that a task holds back for a full block; beyond, its largest block goes.
@@ -130,14 +131,26 @@ def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _regions(places: np.ndarray, most: int) -> list[dict]:
-    """Counts, no higher than most, of places, by region."""
+def _pack(places: np.ndarray) -> bytes:
+    """Ascending places as differences, byte plane by byte plane."""
+    gaps = np.diff(places.astype("<u4"), prepend=np.uint32(0))
+    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def _regions(places: np.ndarray, bits: int, most: int) -> list[dict]:
+    """Counts, no higher than most, of places, by part of the bitmap."""
     place, n = np.unique(places, return_counts=True)
-    region = (place // REGION).astype(np.int64)
-    low, n = (place % REGION).astype("<u2"), np.minimum(n, most).astype(np.uint8)
+    size = np.uint64(bits - PARTS)
+    region = (place >> size).astype(np.int64)
+    low, n = place & (np.uint64(1) << size) - np.uint64(1), np.minimum(n, most).astype(np.uint8)
     cuts = np.flatnonzero(np.r_[True, region[1:] != region[:-1]]) if len(place) else np.zeros(0, int)
     ends = np.r_[cuts[1:], len(place)]
-    return [{"region": int(region[a]), "low": low[a:b].tobytes(), "n": n[a:b].tobytes()} for a, b in zip(cuts.tolist(), ends.tolist(), strict=False)]
+    return [{"region": int(region[a]), "low": _pack(low[a:b]), "n": n[a:b].tobytes()} for a, b in zip(cuts.tolist(), ends.tolist(), strict=False)]
 
 
 def _set(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -166,7 +179,7 @@ def intern(docs: DataFrame, bits: int, least: int = LEAST, text_col: str = "text
         words, ids, lead = held.close()
         counts = np.bincount(ids[lead:], minlength=len(words))
         counts[0] = 0
-        buckets = _regions(_places(_word_hashes(lang, words)[ids], 2, bits)[_sequences(ids, 2, lead)], min(least, 255)) if len(ids) > 1 else []
+        buckets = _regions(_places(_word_hashes(lang, words)[ids], 2, bits)[_sequences(ids, 2, lead)], bits, min(least, 255)) if len(ids) > 1 else []
         return pa.record_batch([pa.array([x], t) for x, t in zip((lang, words, counts, int(counts.sum()), ids.astype("<i4").tobytes(), lead, buckets), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,13 +202,13 @@ def intern(docs: DataFrame, bits: int, least: int = LEAST, text_col: str = "text
     return map_batches(source, run, f"lang string, words array<binary>, counts array<long>, n long, ids binary, lead int, buckets {_BUCKETS}")
 
 
-def _summed(batches: Iterator[pa.RecordBatch], most: int) -> dict[int, np.ndarray]:
-    """Counts, no higher than most, by region."""
+def _summed(batches: Iterator[pa.RecordBatch], bits: int, most: int) -> dict[int, np.ndarray]:
+    """Counts, no higher than most, by part."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for region, low, n in zip(*batch.columns, strict=True):
-            own = total.setdefault(region.as_py(), np.zeros(REGION, np.uint8))
-            at = np.frombuffer(low.as_py(), "<u2")
+            own = total.setdefault(region.as_py(), np.zeros(1 << bits - PARTS, np.uint8))
+            at = _unpack(low.as_py())
             own[at] = np.minimum(own[at].astype(np.int16) + np.frombuffer(n.as_py(), np.uint8), most)
     return total
 
@@ -206,20 +219,20 @@ def bitmap(buckets: DataFrame, bits: int, least: int = LEAST) -> Broadcast:
     most = min(least, 255)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for region, own in _summed(batches, most).items():
+        for region, own in _summed(batches, bits, most).items():
             at = np.flatnonzero(own)
-            yield pa.record_batch([pa.array([region], pa.int32()), pa.array([at.astype("<u2").tobytes()]), pa.array([own[at].tobytes()])], names=["region", "low", "n"])
+            yield pa.record_batch([pa.array([region], pa.int32()), pa.array([_pack(at)]), pa.array([own[at].tobytes()])], names=["region", "low", "n"])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for region, own in _summed(batches, most).items():
+        for region, own in _summed(batches, bits, most).items():
             yield pa.record_batch([pa.array([region], pa.int32()), pa.array([np.packbits(own >= most, bitorder="little").tobytes()])], names=["region", "marks"])
 
-    n = max(1, min(1 << bits - 16, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    n = max(1, min(1 << PARTS, int(session.conf.get("spark.sql.shuffle.partitions"))))
     # in two steps, so that no task reads a row of each block of the input
     parts = map_batches(buckets.repartition(n, "region", F.pmod(F.xxhash64("low"), F.lit(16))), summed, "region int, low binary, n binary")
     marks = np.zeros(1 << bits - 3, np.uint8)
     for r in map_batches(parts.repartition(n, "region"), marked, "region int, marks binary").toLocalIterator():
-        marks[r.region * REGION // 8 : (r.region + 1) * REGION // 8] = np.frombuffer(r.marks, np.uint8)
+        marks[r.region * len(r.marks) : (r.region + 1) * len(r.marks)] = np.frombuffer(r.marks, np.uint8)
     return session.sparkContext.broadcast(marks)
 
 
@@ -233,7 +246,7 @@ def frequent_bitmap(grams: DataFrame, k: int, bits: int, least: int = LEAST) ->
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).extend(phrase.split(b" "))
             places = [_places(_word_hashes(lang, words), k, bits)[::k] for lang, words in by_lang.items()]
-            rows = _regions(np.repeat(np.concatenate(places), most), most) if places else []
+            rows = _regions(np.repeat(np.concatenate(places), most), bits, most) if places else []
             yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in (("region", pa.int32()), ("low", pa.binary()), ("n", pa.binary()))], names=["region", "low", "n"])
 
     return bitmap(map_batches(grams.select("lang", "phrase"), run, "region int, low binary, n binary"), bits, least)
@@ -266,7 +279,7 @@ def count_level(blocks: DataFrame, k: int, bits: int, buckets: Broadcast, lower:
                     taken = np.zeros(len(ids) - k + 1, bool)
                     taken[at] = True
                     longer = taken[:-1] & taken[1:] & _sequences(ids, k + 1, lead)
-                    further = _regions(_places(hashes, k + 1, bits)[longer], min(least, 255))
+                    further = _regions(_places(hashes, k + 1, bits)[longer], bits, min(least, 255))
                 yield pa.record_batch([pa.array([x], t) for x, t in zip((lang, grams, further), kinds, strict=True)], names=names)
 
     return map_batches(blocks.select("lang", "words", "ids", "lead"), run, f"lang string, grams {_GRAMS}, buckets {_BUCKETS}")
