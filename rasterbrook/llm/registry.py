@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterbrook.llm import bpe, collocations, decontam, langid, lm, media, pii, sharding, simhash, token_counts, urlfilter
+from rasterbrook.llm import bpe, collocations, decontam, langid, lm, media, pii, sharding, simhash, token_counts, token_files, urlfilter
 
 QUERIES = {
     "op1_pii_surrogates": pii.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_media_columns": media.query,
     "op10_token_counts": token_counts.query,
+    "op11_token_files": token_files.query,
     "op12_phrase_collocations": collocations.query,
 }
 
@@ -22,5 +23,6 @@ ORACLES = {
     "op4_byte_level_bpe": bpe.ORACLE_SQL,
     "op5_benchmark_decontamination": decontam.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
+    "op11_token_files": token_files.query,
     "op12_phrase_collocations": collocations.ORACLE_SQL,
 }
