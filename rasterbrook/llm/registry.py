@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterbrook.llm import bpe, collocations, decontam, langid, lm, media, pii, sharding, simhash, token_counts, token_files, urlfilter
+from rasterbrook.llm import alignment, bpe, collocations, decontam, langid, lm, media, pii, sharding, simhash, token_counts, token_files, urlfilter
 
 QUERIES = {
     "op1_pii_surrogates": pii.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_counts": token_counts.query,
     "op11_token_files": token_files.query,
     "op12_phrase_collocations": collocations.query,
+    "op13_tokenizer_alignment": alignment.query,
 }
 
 ORACLES = {

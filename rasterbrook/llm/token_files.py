@@ -85,7 +85,7 @@ class Encoder:
         self.signs = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
         letter, number, space = _class("L"), _class("N"), r"\t-\r \x85\xa0"
         self.pieces = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{letter}]+|[{number}]|[^{space}{letter}{number}]+").findall
-        self.foreign = re.compile("[^\x00-įı-ſ]|<\\|").search
+        self.foreign = re.compile(r"[^\x00-\u012f\u0131-\u017f]|<\|").search
         self.words = re.compile(r"[^ \t\n\r]+").findall
 
     def _packed(self, ids: list[int]) -> bytes:
