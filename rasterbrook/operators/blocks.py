@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+import math
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterbrook.functions import codec, tables
+from rasterbrook.operators import scan
 
 #: Symbol of sixteen zeros, and of a block's end.
 ZRL, EOB = 0xF0, 0x00
@@ -56,6 +59,72 @@ def forward_dct_rows(samples: DataFrame, by: list[str], value: str = "s") -> Dat
     return samples.join(basis, "pos").groupBy(*by, "k").agg(F.sum(F.col(value) * F.col("w")).alias("c"))
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _sums(x: list[Column], weights: list[list[float]]) -> list[Column]:
+    return [reduce(add, (v * w for v, w in zip(x, row, strict=True))) for row in weights]
+
+
+def _turns(n: int, ks: Iterable[int]) -> list[list[float]]:
+    return [[math.cos((2 * i + 1) * k * math.pi / (2 * n)) for i in range(n // 2)] for k in ks]
+
+
+def _eight(x: Column) -> Column:
+    """The orthonormal DCT of an array of eight: folded twice, odd places from differences."""
+    get = lambda a, i: F.get(a, F.lit(i))
+    folded = lambda a, n: F.array(*(get(a, i) + get(a, n - 1 - i) for i in range(n // 2)), *(get(a, i) - get(a, n - 1 - i) for i in range(n // 2)))
+
+    def outer(y: Column) -> Column:
+        odd = _sums([get(y, 4 + i) for i in range(4)], _turns(8, (1, 3, 5, 7)))
+
+        def inner(z: Column) -> Column:
+            two, six = _sums([get(z, 2), get(z, 3)], _turns(4, (1, 3)))
+            sums = [get(z, 0) + get(z, 1), odd[0], two, odd[1], (get(z, 0) - get(z, 1)) * math.cos(math.pi / 4), odd[2], six, odd[3]]
+            return F.array(sums[0] * math.sqrt(0.125), *(v * 0.5 for v in sums[1:]))
+
+        return _with(folded(y, 4), inner)
+
+    return _with(folded(x, 8), outer)
+
+
+def _eight_back(c: Column) -> Column:
+    """Its inverse, the same way backwards."""
+    get = lambda i: F.get(c, F.lit(i)) * (math.sqrt(0.125) if i == 0 else 0.5)
+    flipped = lambda rows: [list(r) for r in zip(*rows, strict=True)]
+    quarter = get(4) * math.cos(math.pi / 4)
+    parts = F.array(get(0) + quarter, get(0) - quarter, *_sums([get(2), get(6)], flipped(_turns(4, (1, 3)))), *_sums([get(k) for k in (1, 3, 5, 7)], flipped(_turns(8, (1, 3, 5, 7)))))
+
+    def joined(y: Column) -> Column:
+        at = lambda i: F.get(y, F.lit(i))
+        even = [at(0) + at(2), at(1) + at(3), at(1) - at(3), at(0) - at(2)]
+        return F.array(*(even[i] + at(4 + i) for i in range(4)), *(even[i] - at(4 + i) for i in reversed(range(4))))
+
+    return _with(parts, joined)
+
+
+def _separable(df: DataFrame, column: str, eight: Callable[[Column], Column]) -> DataFrame:
+    """Rows, then columns, as expressions: no Python worker. A block that is null, or not 64 long, becomes null."""
+    each, places = F.sequence(F.lit(0), F.lit(7)), F.sequence(F.lit(0), F.lit(63))
+    rows = lambda block: F.transform(each, lambda r: _with(F.slice(block, r * 8 + 1, F.lit(8)), eight))
+    columns = lambda t: F.transform(each, lambda c: _with(F.transform(t, lambda row: F.get(row, c)), eight))
+    laid = lambda t: F.transform(places, lambda p: F.get(F.get(t, p % 8), F.floor(p / 8).cast("int")))
+    # each step is bound to a name: a column would be put in place of it wherever it is used
+    done = _with(F.col(column).cast("array<double>"), lambda b: _with(rows(b), lambda t: _with(columns(t), laid)))
+    return df.withColumn(column, F.when(F.size(column) == 64, done))
+
+
+def forward_dct_separable(df: DataFrame, column: str = "block") -> DataFrame:
+    """forward_dct as expressions."""
+    return _separable(df, column, _eight)
+
+
+def inverse_dct_separable(df: DataFrame, column: str = "block") -> DataFrame:
+    return _separable(df, column, _eight_back)
+
+
 def explode(df: DataFrame, column: str = "block", place: str = "k", value: str = "v") -> DataFrame:
     """Long form: a row per place of the block."""
     rest = [c for c in df.columns if c != column]
@@ -86,15 +155,13 @@ def dezigzag(block: Column) -> Column:
 
 
 def dc_encode(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """df with diff: the difference to the value before, within by; the first stands alone."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("diff", F.col(value) - F.lag(value, 1, 0).over(w))
+    """df with diff: the difference to the value before, within by; the first stands alone. order is a whole number; no task holds a group."""
+    return scan.previous(df, by, order, value, "_before").withColumn("diff", F.col(value) - F.coalesce("_before", F.lit(0))).drop("_before")
 
 
 def dc_decode(df: DataFrame, by: list[str], order: str, diff: str = "diff") -> DataFrame:
-    """df with value: the running sum of differences within by."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("value", F.sum(diff).over(w))
+    """df with value: the running sum of differences within by. order is a whole number; no task holds a group."""
+    return scan.running_sum(df, by, order, {"value": diff})
 
 
 def ac_encode(df: DataFrame, block: str = "block") -> DataFrame:

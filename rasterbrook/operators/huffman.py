@@ -105,16 +105,21 @@ def optimal_lengths(counts: DataFrame, by: list[str], symbol: str = "symbol") ->
     return counts.select(*by, symbol, "n").groupBy(*by).applyInPandas(one, schema)
 
 
+def _side(codes: DataFrame, on: list[str]) -> DataFrame:
+    """codes, broadcast only when they are one table; tables of many images are joined as they are."""
+    return codes if on else F.broadcast(codes)
+
+
 def coded(symbols: DataFrame, codes: DataFrame, on: list[str]) -> DataFrame:
-    """symbols (.., symbol, value) with bits: the code, then the value's bits. codes has a few hundred rows."""
+    """symbols (.., symbol, value) with bits: the code, then the value's bits; codes by on, or one table."""
     size = F.col("symbol").bitwiseAND(15)
     text = F.concat(F.lpad(F.bin("code"), F.col("len"), "0"), F.when(size > 0, F.lpad(F.bin(codec.ssss_encode(size, F.col("value"))), size, "0")).otherwise(""))
-    return symbols.join(F.broadcast(codes.select(*on, "symbol", "code", "len")), [*on, "symbol"]).withColumn("bits", text)
+    return symbols.join(_side(codes.select(*on, "symbol", "code", "len"), on), [*on, "symbol"]).withColumn("bits", text)
 
 
 def coded_size(symbols: DataFrame, codes: DataFrame, on: list[str], by: list[str]) -> DataFrame:
     """(by, n_bits)."""
-    joined = symbols.join(F.broadcast(codes.select(*on, "symbol", "len")), [*on, "symbol"])
+    joined = symbols.join(_side(codes.select(*on, "symbol", "len"), on), [*on, "symbol"])
     return joined.groupBy(*by).agg(F.sum(F.col("len") + F.col("symbol").bitwiseAND(15)).alias("n_bits"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterbrook.operators import scan
+
 
 def _pairs(hexadecimal: Column) -> Column:
     return F.filter(F.split(hexadecimal, "(?<=\\G..)"), lambda x: x != "")
@@ -28,8 +30,8 @@ def markers_in(df: DataFrame, by: list[str], hexadecimal: str) -> DataFrame:
 def restart_check(markers: DataFrame, by: list[str]) -> DataFrame:
     """Restart markers (by, offset, marker) with expected and ok: they must count up from 0xD0, modulo eight."""
     rst = markers.filter(F.col("marker").between(0xD0, 0xD7))
-    w = Window.partitionBy(*by).orderBy("offset")
-    return rst.withColumn("expected", (F.lit(0xD0) + (F.row_number().over(w) - 1) % 8).cast("int")).withColumn("ok", F.col("marker") == F.col("expected"))
+    counted = scan.running_sum(rst, by, "offset", {"_turn": F.lit(1)}, inclusive=False, stretch=1 << 20)
+    return counted.withColumn("expected", (F.lit(0xD0) + F.col("_turn") % 8).cast("int")).withColumn("ok", F.col("marker") == F.col("expected")).drop("_turn")
 
 
 def table_version(scans: DataFrame, tables: DataFrame, by: list[str], slot: str, offset: str = "offset") -> DataFrame:
@@ -48,6 +50,33 @@ def table_version(scans: DataFrame, tables: DataFrame, by: list[str], slot: str,
     return seen.filter("scan").select(*keys, offset, *([F.col(f"rest.`{c}`").alias(c) for c in rest]), "version")
 
 
+def last_values(rows: DataFrame, by: list[str], order: str, slot: str, value: str, slots: list[str]) -> DataFrame:
+    """rows with a column for each slot: its last value among the rows before, null if there is none. One window for all slots; a slot's rows are those that name it."""
+    w = Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({s: F.last(F.when(F.col(slot) == s, F.col(value)), ignorenulls=True).over(w) for s in slots})
+
+
+def resolved(definitions: DataFrame, scans: DataFrame, frames: DataFrame, by: list[str]) -> DataFrame:
+    """A row per scan component with the tables that hold for it: by, offset, ord, comp_id, quant, dc, ac (their segments' offsets), interval, error.
+
+    definitions (by, offset, slot, value): slots q0 to q3, d0 to d3, a0 to a3 with
+    the offset as value, r with the restart interval; of one offset there may be
+    several. scans (by, offset, ord, comp_id, dc, ac) and frames (by, comp_id,
+    quant) hold selectors. A scan that names no component of the frame, or a
+    table that isn't defined before it, has an error.
+    """
+    slots = [f"{kind}{i}" for kind in "qda" for i in range(4)] + ["r"]
+    places = scans.select(*by, "offset").distinct().withColumns({"slot": F.lit("scan"), "value": F.lit(None).cast("long")})
+    events = definitions.select(*by, "offset", "slot", F.col("value").cast("long").alias("value")).unionByName(places)
+    held = last_values(events, by, "offset", "slot", "value", slots).filter("slot = 'scan'").select(*by, "offset", *slots)
+    named = scans.join(frames.select(*by, "comp_id", "quant", F.lit(True).alias("_found")), [*by, "comp_id"], "left").join(held, [*by, "offset"])
+    of = lambda kind, at: F.get(F.array(*(F.col(f"{kind}{i}") for i in range(4))), at)
+    chosen = named.select(*by, "offset", "ord", "comp_id", of("q", F.col("quant")).alias("quant"), of("d", F.col("dc")).alias("dc"), of("a", F.col("ac")).alias("ac"), F.coalesce("r", F.lit(0)).alias("interval"), "_found")
+    missing = F.col("quant").isNull() | F.col("dc").isNull() | F.col("ac").isNull()
+    error = F.when(F.col("_found").isNull(), "the scan names no component of the frame").when(missing, "the scan needs a table that is not defined")
+    return chosen.withColumn("error", error).drop("_found")
+
+
 def unresolved(references: DataFrame, definitions: DataFrame, on: list[str]) -> DataFrame:
     """References to nothing that is defined."""
     return references.join(definitions.select(*on).distinct(), on, "left_anti")

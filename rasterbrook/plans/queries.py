@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterbrook.functions import bits, codec, tables
-from rasterbrook.operators import blocks, huffman, palette, segments
-from rasterbrook.sources import bmp, images
+from rasterbrook.operators import blocks, huffman, palette, scan, segments
+from rasterbrook.sources import bmp, chunked, images, table_functions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,6 +168,16 @@ def idct_8x8(spark, sf_dir):
     return blocks.explode(df, place="pos", value="s")
 
 
+@query("vec_id:l k:l c:d", _with(BLK, BASIS, COEF) + "SELECT vec_id, k, c FROM coef")
+def fdct_separable(spark, sf_dir):
+    return blocks.explode(blocks.forward_dct_separable(blk(spark, sf_dir, 128)), value="c")
+
+
+@query("vec_id:l pos:l s:d", _with(BLK, BASIS) + "SELECT vec_id, b.pos, sum((s - 128) * w) AS s FROM blk JOIN basis b ON blk.pos = b.k GROUP BY vec_id, b.pos")
+def idct_separable(spark, sf_dir):
+    return blocks.explode(blocks.inverse_dct_separable(blk(spark, sf_dir, 128)), place="pos", value="s")
+
+
 QTABLE = f"""base AS (SELECT 'luma' AS name, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS base FROM (SELECT {_list(tables.LUMA_QUANT)} AS l)
   UNION ALL SELECT 'chroma', generate_subscripts(l, 1) - 1, unnest(l) FROM (SELECT {_list(tables.CHROMA_QUANT)} AS l))"""
 
@@ -503,11 +513,11 @@ raster AS (SELECT *, mcu // 4 * 2 + block // 2 AS block_row, mcu % 4 * 2 + block
 
 def _placed(spark, sf_dir):
     """Blocks of a label as an image 60 pixels wide, in 2x2 MCUs, tall enough for the largest label's."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    df = blk(spark, sf_dir).withColumn("i", F.row_number().over(w) - 1)
-    tallest = table(spark, sf_dir, "embeddings").groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    height = ((tallest - 1) // 4 + 4) // 4 * 16
-    df = df.withColumns({"mcu": F.expr("i div 4"), "block_": F.col("i") % 4, "h": F.lit(2), "v": F.lit(2), "width": F.lit(60), "height": F.lit(height)})
+    df = scan.running_sum(blk(spark, sf_dir), ["label"], "vec_id", {"i": F.lit(1)}, inclusive=False)
+    counts = table(spark, sf_dir, "embeddings").groupBy("label").count().agg(F.max("count").alias("n"))
+    height = counts.select(F.lit(1).alias("one"), (F.expr("((n - 1) div 4 + 4) div 4") * 16).cast("int").alias("height"))
+    df = df.withColumn("one", F.lit(1)).join(height, "one").drop("one")
+    df = df.withColumns({"mcu": F.expr("i div 4"), "block_": F.col("i") % 4, "h": F.lit(2), "v": F.lit(2), "width": F.lit(60)})
     df = df.withColumnRenamed("block", "samples").withColumnRenamed("block_", "block").drop("i")
     return blocks.mcu_to_raster(df)
 
@@ -848,3 +858,89 @@ def jpeg_colour_420(spark, sf_dir):
     at = F.col("y") * 29 + F.col("x") + 1
     sums = images.pixels(read).groupBy("vec_id").agg(*(F.sum(F.col(c).cast("long") * at).alias(c) for c in "rgb"))
     return sums.join(one, "vec_id")
+
+
+# Files without restart markers: a label's vectors are the MCUs of an image; chroma blocks are rotations
+
+
+def _unmarked(spark, sf_dir):
+    turn = lambda n: F.concat(F.slice("block", n + 1, 64 - n), F.slice("block", 1, n))
+    mcu = quantised(spark, sf_dir, True).select("label", "vec_id", F.concat("block", turn(7), turn(14)).alias("mcu"))
+    whole = mcu.groupBy("label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "mcu"))), lambda x: x["mcu"])).alias("coef"))
+    return images.pack_jpeg(whole.select("label", F.lit(8).alias("width"), (F.size("coef") / 24).cast("int").alias("height"), "coef"), 1, 1).drop("error")
+
+
+@query(
+    "label:l mcu:l comp:l z:l v:l error:s",
+    _with(*QUANTISED, ZZ)
+    + "SELECT label, mcu, comp, (z + 64 - 7 * comp) % 64 AS z, v, CAST(NULL AS VARCHAR) AS error FROM (SELECT label, vec_id, z, v, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS mcu FROM quant JOIN zz USING (k)) CROSS JOIN range(3) c(comp) WHERE v <> 0",
+)
+def jpeg_unmarked(spark, sf_dir):
+    """Coefficients of files without restart markers, whose entropy bytes are cut into chunks that many tasks bring into step."""
+    found = chunked.decode_chunks(images.restart_segments(_unmarked(spark, sf_dir)), ["label"], 512)
+    return blocks.explode(found.select("label", "mcu", "comp", "error", "coef"), "coef", "z").filter("v <> 0")
+
+
+# Marker segments by table functions in SQL
+
+_PLACES = """named AS (SELECT name, class, CAST(name LIKE 'chroma%' AS INT) AS dest, row_number() OVER (ORDER BY name LIKE 'chroma%', class) AS turn, count(*) AS n FROM lens GROUP BY name, class),
+placed AS (SELECT *, 140 + coalesce(sum(21 + n) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM named),
+kinds AS (SELECT vec_id, vec_id % 4 AS kind FROM embeddings)"""
+
+
+def _variants(spark, sf_dir):
+    """(vec_id, content): files of 8x8; of four, one is plain, one has its first quantiser again before the scan, one lacks it, and one's scan names a component that isn't there."""
+    h = F.hex("content")
+    first = F.substr(h, F.lit(5), F.lit(138))
+    scan_at = F.locate("FFDA000C03010002110311003F00", h)
+    rest = F.substr(h, F.lit(143), F.length(h))
+    again = F.concat(F.substr(h, F.lit(1), scan_at - 1), first, F.substr(h, scan_at, F.length(h)))
+    other = F.concat(F.substr(h, F.lit(1), scan_at + 9), F.lit("07"), F.substr(h, scan_at + 12, F.length(h)))
+    kind = F.col("vec_id") % 4
+    made = F.when(kind == 1, again).when(kind == 2, F.concat(F.lit("FFD8"), rest)).when(kind == 3, other).otherwise(h)
+    return images.encode_jpeg(_pictures(spark, sf_dir, True), 90).select("vec_id", F.unhex(made).alias("content"))
+
+
+@query(
+    "vec_id:l seq:l place:l marker:l size:l error:s",
+    _with(LENS, _PLACES)
+    + """SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY place) - 1 AS seq, place, marker, size, CAST(NULL AS VARCHAR) AS error FROM (
+  SELECT vec_id, place - CASE WHEN kind = 2 AND place > 2 THEN 69 ELSE 0 END + CASE WHEN kind = 1 AND marker = 218 THEN 69 ELSE 0 END AS place, marker, size FROM kinds CROSS JOIN (
+    SELECT 0 AS place, 216 AS marker, 0 AS size UNION ALL SELECT 2, 219, 65 UNION ALL SELECT 71, 219, 65 UNION ALL SELECT place, 196, 17 + n FROM placed
+    UNION ALL SELECT max(place + 21 + n), 192, 15 FROM placed UNION ALL SELECT max(place + 40 + n), 218, 10 FROM placed) m WHERE NOT (kind = 2 AND place = 2)
+  UNION ALL SELECT vec_id, (SELECT max(place + 40 + n) FROM placed), 219, 65 FROM kinds WHERE kind = 1)""",
+)
+def jpeg_segments_sql(spark, sf_dir):
+    """Marker segments up to the scan's header, by a lateral join."""
+    table_functions.register(spark)
+    return spark.sql(
+        "SELECT f.vec_id, s.seq, s.offset AS place, s.marker, IF(s.marker = 218, least(10, length(s.payload)), length(s.payload)) AS size, s.error FROM {files} f, LATERAL rb_jpeg_segments(f.content) s WHERE s.marker <> 217 OR s.error IS NOT NULL",
+        files=_variants(spark, sf_dir),
+    )
+
+
+@query(
+    "vec_id:l name:s n:l longest:l symbols:l weighted:l",
+    _with(LENS, _PLACES) + "SELECT vec_id, name, n, longest, symbols, weighted FROM embeddings CROSS JOIN (SELECT name, count(*) AS n, max(len) AS longest, sum(symbol) AS symbols, sum(symbol * (ord + 1) * len) AS weighted FROM lens GROUP BY name)",
+)
+def jpeg_huffman_tables_sql(spark, sf_dir):
+    """Huffman tables read back from files, two lateral joins behind each other."""
+    table_functions.register(spark)
+    return spark.sql(
+        "SELECT f.vec_id, concat(IF(t.dest = 0, 'luma', 'chroma'), IF(t.class = 0, '_dc', '_ac')) AS name, count(*) AS n, max(t.len) AS longest, sum(t.symbol) AS symbols, sum(t.symbol * (t.ord + 1) * t.len) AS weighted "
+        "FROM {files} f, LATERAL rb_jpeg_segments(f.content) s, LATERAL rb_jpeg_huffman_tables(s.payload) t WHERE s.marker = 196 AND t.error IS NULL GROUP BY ALL",
+        files=_variants(spark, sf_dir),
+    )
+
+
+@query(
+    "vec_id:l comp_id:l quant:l dc:l ac:l error:s",
+    _with(LENS, _PLACES)
+    + """SELECT vec_id, comp_id, quant, dc, ac, CASE WHEN comp_id = 7 THEN 'the scan names no component of the frame' WHEN quant IS NULL THEN 'the scan needs a table that is not defined' END AS error FROM (
+  SELECT vec_id, CASE WHEN kind = 3 AND ord = 0 THEN 7 ELSE ord + 1 END AS comp_id, CASE WHEN kind IN (2, 3) AND ord = 0 THEN NULL WHEN ord = 0 AND kind = 1 THEN (SELECT max(place + 40 + n) FROM placed) WHEN ord = 0 THEN 2 WHEN kind = 2 THEN 2 ELSE 71 END AS quant,
+    (SELECT place FROM placed WHERE class = 0 AND dest = least(ord, 1)) - CASE WHEN kind = 2 THEN 69 ELSE 0 END AS dc, (SELECT place FROM placed WHERE class = 1 AND dest = least(ord, 1)) - CASE WHEN kind = 2 THEN 69 ELSE 0 END AS ac FROM kinds CROSS JOIN range(3) r(ord))""",
+)
+def jpeg_table_versions(spark, sf_dir):
+    """The tables that hold for each scan component of parsed files, redefined and missing ones among them."""
+    parsed = images.jpeg_segments(_variants(spark, sf_dir))
+    return table_functions.resolve(spark, parsed, ["vec_id"])

@@ -248,27 +248,18 @@ def _scan_of(head: bytes) -> tuple[list[int], list[np.ndarray], list[np.ndarray]
 
 
 def _decoded_segments(parts: list[bytes | None], counts: list[int], heads: list[bytes]) -> list[np.ndarray | str]:
-    """(mcus, blocks, 64) of each segment, or what is wrong with it; segments with like MCUs go in step."""
+    """(mcus, blocks, 64) of each segment, or what is wrong with it; all segments go in step."""
     out: list = [None] * len(parts)
-    groups: dict[tuple[int, ...], list[tuple]] = {}
+    tasks, places = [], []
     for i, (part, head) in enumerate(zip(parts, heads, strict=True)):
         try:
             pattern, dc, ac = _scan_of(head)
-            groups.setdefault(tuple(pattern), []).append((i, part or b"", counts[i], dc, ac))
-        except (ValueError, IndexError, TypeError) as e:
+            tasks.append((part or b"", counts[i], tuple(pattern), dc, ac))
+            places.append(i)
+        except (ValueError, TypeError) as e:
             out[i] = str(e) or type(e).__name__
-    for pattern, own in groups.items():
-        try:
-            found = jpeg.decode_segments(*(list(x) for x in list(zip(*own, strict=True))[1:3]), list(pattern), [x[3] for x in own], [x[4] for x in own])
-        except (ValueError, IndexError):  # one of them is broken: each alone
-            found = []
-            for _, part, count, dc, ac in own:
-                try:
-                    found += jpeg.decode_segments([part], [count], list(pattern), [dc], [ac])
-                except (ValueError, IndexError) as e:
-                    found.append(str(e) or type(e).__name__)
-        for (i, *_), mcus in zip(own, found, strict=True):
-            out[i] = mcus
+    for i, found in zip(places, jpeg.decode_tasks(tasks), strict=True):
+        out[i] = str(found) if isinstance(found, ValueError) else found
     return out
 
 
@@ -285,7 +276,7 @@ def decode_restart_segments(segments: DataFrame) -> DataFrame:
         sizes = []
         for i, mcus in enumerate(_decoded_segments(data, count, head)):
             if isinstance(mcus, str):
-                n, coef = 1, np.zeros(0, np.int32)
+                n, coef = 1, np.zeros(0, np.int16)
                 place.append([start[i]])
                 comp.append([-1])
                 turn.append([-1])

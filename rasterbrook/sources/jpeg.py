@@ -14,6 +14,7 @@ import numpy as np
 
 from rasterbrook.functions import tables
 from rasterbrook.operators import huffman
+from rasterbrook.sources import entropy
 
 SOI, EOI, SOS, DQT, DHT, DRI, DNL, COM, SOF0 = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xDD, 0xDC, 0xFE, 0xC0
 _ZIGZAG = np.array(tables.ZIGZAG)
@@ -124,6 +125,13 @@ def restart_parts(entropy: bytes) -> list[bytes]:
     return [entropy[a:b].replace(b"\xff\x00", b"\xff") for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
 
 
+def _short(payload: bytes, what: str) -> int:
+    """The number of a segment that has two bytes."""
+    if len(payload) != 2:
+        raise ValueError(f"bad {what}")
+    return struct.unpack(">H", payload)[0]
+
+
 def parse(data: bytes) -> dict:
     """All that decoding needs, with the newest tables before the scan, and comments."""
     quant: dict[int, np.ndarray] = {}
@@ -142,11 +150,11 @@ def parse(data: bytes) -> dict:
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("only baseline frames are read")
         elif marker == DRI:
-            interval = struct.unpack(">H", payload)[0]
+            interval = _short(payload, "restart interval")
         elif marker == COM:
             found["comments"].append(payload.decode("latin-1"))
         elif marker == DNL and found["frame"]:
-            found["frame"]["height"] = struct.unpack(">H", payload)[0]
+            found["frame"]["height"] = _short(payload, "number of lines")
         elif marker == SOS:
             if not found["frame"]:
                 raise ValueError("a scan before the frame")
@@ -177,76 +185,30 @@ def parse(data: bytes) -> dict:
 @lru_cache(maxsize=256)
 def lookup(counts: tuple[int, ...], symbols: tuple[int, ...]) -> np.ndarray:
     """Length and symbol (length << 8 | symbol) of each 16-bit word; 0 where there is no code."""
-    out = np.zeros(1 << 16, np.int64)
+    out = np.zeros(1 << 16, np.uint16)
     for symbol, (code, size) in tables.codes(list(counts), list(symbols)).items():
         out[code << 16 - size : code + 1 << 16 - size] = size << 8 | symbol
     return out
 
 
-def decode_segments(parts: list[bytes], n_mcus: list[int], pattern: list[int], dc: list[list[np.ndarray]], ac: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """(mcus, blocks of an MCU, 64) zigzag coefficients of each segment.
+def decode_tasks(tasks: list[tuple]) -> list[np.ndarray | ValueError]:
+    """(mcus, blocks of an MCU, 64) zigzag coefficients of each segment, or what is wrong with it; all go in step, long ones in chunks.
 
-    Segments depend on nothing before them, so all go in step, one symbol of
-    each at a time. pattern: the component of each block of an MCU; dc and ac:
-    each segment's look-up by component.
+    A task is (segment, its MCUs, the component of each block of an MCU, look-ups by component of DC and AC).
     """
-    n = len(parts)
-    sizes = np.array([len(p) for p in parts])
-    first = np.concatenate(([0], np.cumsum(sizes + 8)[:-1]))
-    raw = np.frombuffer(b"".join(p + b"\0" * 8 for p in parts), np.uint8).astype(np.int64)
-    window = raw[: len(raw) - 4].copy()
-    for j in range(1, 5):
-        window = window << 8 | raw[j : j + len(window)]
-    window = np.append(window, [0] * 4)
-    stacks, where = [], {}
-    for t in {id(x): x for rows in (dc, ac) for row in rows for x in row}.values():
-        where[id(t)] = len(stacks)
-        stacks.append(t)
-    luts = np.stack(stacks)
-    seen: dict[int, list[int]] = {}
-    index = np.array([[seen.setdefault(id(row), [where[id(x)] for x in row]) for row in kind] for kind in (dc, ac)])
-    most = max(n_mcus)
-    want = np.array(n_mcus)
-    out = np.zeros((n, most, len(pattern), 64), np.int32)
-    bit, limit = first * 8, (first + sizes) * 8
-    predictor = np.zeros((n, 3), np.int64)
-
-    def read(live: np.ndarray, kind: int, component: int) -> tuple[np.ndarray, np.ndarray]:
-        at = bit[live]
-        if (at >= limit[live]).any():
-            raise ValueError("a segment is cut short")
-        view, offset = window[at >> 3], at & 7
-        entry = luts[index[kind, live, component], view >> (24 - offset) & 0xFFFF]
-        size, symbol = entry >> 8, entry & 255
-        if (size == 0).any():
-            raise ValueError("an undefined code")
-        s = symbol & 15
-        if (s > 11).any() or kind and (s > 10).any():
-            raise ValueError("a coefficient is too large")
-        value = view >> (40 - offset - size - s) & (1 << s) - 1
-        bit[live] = at + size + s
-        return symbol, np.where((value << 1) >> s == 0, value - (1 << s) + 1, value)
-
-    for mcu in range(most):
-        for b, component in enumerate(pattern):
-            live = np.flatnonzero(want > mcu)
-            _, value = read(live, 0, component)
-            predictor[live, component] += value
-            out[live, mcu, b, 0] = predictor[live, component]
-            k = np.zeros(n, np.int64)
-            while len(live):
-                symbol, value = read(live, 1, component)
-                place, s = k[live] + 1 + (symbol >> 4), symbol & 15
-                ended = symbol == 0
-                if ((s == 0) & ~ended & (symbol != huffman_zrl)).any() or (place[~ended] > 63).any():
-                    raise ValueError("a run beyond the block")
-                real = s > 0
-                out[live[real], mcu, b, place[real]] = value[real]
-                k[live] = np.where(ended, 63, place)
-                live = live[k[live] < 63]
-    if (limit - bit >= 8).any():
-        raise ValueError("bytes are left in a segment")
-    return [out[i, : want[i]] for i in range(n)]
+    if not tasks:
+        return []
+    parts, n_mcus, patterns, dc, ac = zip(*tasks, strict=True)
+    return entropy.decode(entropy.Streams(parts, patterns, dc, ac), np.array(n_mcus, np.int64))
+
+
+def decode_segments(parts: list[bytes], n_mcus: list[int], pattern: list[int], dc: list[list[np.ndarray]], ac: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The same for segments of one pattern; raises what is wrong with the first that is broken."""
+    found = decode_tasks([(p, n, tuple(pattern), d, a) for p, n, d, a in zip(parts, n_mcus, dc, ac, strict=True)])
+    for x in found:
+        if isinstance(x, ValueError):
+            raise x
+    return found
 
 
 huffman_zrl = 0xF0
@@ -260,81 +222,107 @@ def layout(found: dict) -> tuple[list[int], int, int, int, int]:
     return pattern, h, v, -(-wide // (8 * h)), -(-high // (8 * v))
 
 
-def _tasks(found: dict) -> tuple[list, list, list, list]:
-    """Segments, their MCUs, and their look-ups by component, as decode_segments takes them."""
-    _, _, _, across, down = layout(found)
+def _tasks(found: dict) -> list[tuple]:
+    """(segment, its MCUs, pattern, look-ups by component of DC and AC) as decode_tasks takes them."""
+    pattern, _, _, across, down = layout(found)
     scan = found["scan"]
     total = across * down
     each = scan["interval"] or total
-    n = [min(each, total - i) for i in range(0, total, each)]
-    if len(n) != len(scan["segments"]):
+    if -(-total // each) != len(scan["segments"]):
         raise ValueError("the number of restart segments is wrong")
+    if any(min(each, total - i * each) * len(pattern) * 2 > 8 * len(p) for i, p in enumerate(scan["segments"])):
+        raise ValueError("a segment is cut short")  # a block takes two bits at least
+    if found["frame"]["width"] * found["frame"]["height"] * 3 > MOST_BYTES:
+        raise ValueError("the image is too large")
     tables_of = {c: (lookup(*d), lookup(*a)) for c, d, a, _ in scan["parts"]}
-    rows = [[tables_of[c][kind] for c in range(3)] for kind in (0, 1)]
-    return scan["segments"], n, [rows[0]] * len(n), [rows[1]] * len(n)
+    dc, ac = ([tables_of[c][kind] for c in range(3)] for kind in (0, 1))
+    return [(p, min(each, total - i * each), tuple(pattern), dc, ac) for i, p in enumerate(scan["segments"])]
 
 
 def coefficients(found: dict) -> np.ndarray:
     """(mcus, blocks, 64) in zigzag order."""
-    parts, n, dc, ac = _tasks(found)
-    return np.concatenate(decode_segments(parts, n, layout(found)[0], dc, ac))
+    parts = decode_tasks(_tasks(found))
+    for x in parts:
+        if isinstance(x, ValueError):
+            raise x
+    return np.concatenate(parts)
 
 
-def to_rgb(found: dict, coded: np.ndarray) -> bytes:
-    """Interleaved RGB of zigzag coefficients: steps, inverse DCT, nearest chroma, colour, crop, truncation."""
-    pattern, h, v, across, down = layout(found)
-    steps = {c: q for c, _, _, q in found["scan"]["parts"]}
-    natural = np.zeros(coded.shape)
-    natural[:, :, _ZIGZAG] = coded
-    natural *= np.stack([steps[c] for c in pattern])
-    samples = natural @ _BASIS
-    blocks = {c: samples[:, [i for i, p in enumerate(pattern) if p == c]] for c in range(3)}
+#: Bytes of a decoded image, as a row can hold them.
+MOST_BYTES = (1 << 31) - 1
+#: Blocks that are transformed at once; blocks and look-ups of files that are decoded together.
+BAND, GROUP, MOST_TABLES = 1 << 14, 1 << 17, 256
 
-    def plane(x: np.ndarray, ph: int, pv: int) -> np.ndarray:
-        return x.reshape(down, across, pv, ph, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * pv * 8, across * ph * 8)
 
-    luma = plane(blocks[0], h, v) + 128
-    cb, cr = (plane(blocks[c], 1, 1).repeat(v, 0).repeat(h, 1) for c in (1, 2))
-    rgb = np.stack((luma + 1.402 * cr, luma - 0.344 * cb - 0.714 * cr, luma + 1.772 * cb), axis=2)
-    # sums that miss a whole number by rounding are that number
-    rgb = np.floor(np.round(np.clip(rgb, 0, 255), 9)).astype(np.uint8)
-    return np.ascontiguousarray(rgb[: found["frame"]["height"], : found["frame"]["width"]]).tobytes()
+def to_rgb(found: dict, coded: list[np.ndarray]) -> bytes:
+    """Interleaved RGB of zigzag coefficients, given in stretches of MCUs: steps, inverse DCT, nearest chroma, colour, crop, truncation; some rows of MCUs at a time."""
+    pattern, h, v, across, down = layout(found)
+    steps = {c: q for c, _, _, q in found["scan"]["parts"]}
+    scale = np.stack([steps[c] for c in pattern])
+    wide, high = found["frame"]["width"], found["frame"]["height"]
+    whole = coded[0] if len(coded) == 1 else np.concatenate(coded)
+    out = np.empty((high, wide, 3), np.uint8)
+    rows = max(1, BAND // (across * len(pattern)))
+    for top in range(0, down, rows):
+        own = whole[top * across : (top + rows) * across]
+        n = len(own) // across
+        natural = np.zeros(own.shape)
+        natural[:, :, _ZIGZAG] = own
+        natural *= scale
+        samples = natural @ _BASIS
+        blocks = {c: samples[:, [i for i, p in enumerate(pattern) if p == c]] for c in range(3)}
+
+        def plane(x: np.ndarray, ph: int, pv: int, n: int = n) -> np.ndarray:
+            return x.reshape(n, across, pv, ph, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(n * pv * 8, across * ph * 8)
+
+        luma = plane(blocks[0], h, v) + 128
+        cb, cr = (plane(blocks[c], 1, 1).repeat(v, 0).repeat(h, 1) for c in (1, 2))
+        rgb = np.stack((luma + 1.402 * cr, luma - 0.344 * cb - 0.714 * cr, luma + 1.772 * cb), axis=2)
+        # sums that miss a whole number by rounding are that number
+        rgb = np.floor(np.round(np.clip(rgb, 0, 255), 9)).astype(np.uint8)
+        at = top * v * 8
+        out[at : at + n * v * 8] = rgb[: high - at, :wide]
+    return out.tobytes()
 
 
 def decode(data: bytes) -> tuple[int, int, bytes]:
     """Width, height and interleaved RGB."""
-    found = parse(data)
-    return found["frame"]["width"], found["frame"]["height"], to_rgb(found, coefficients(found))
+    found = decode_many([data])[0]
+    if isinstance(found, Exception):
+        raise found
+    return found
 
 
 def decode_many(files: list[bytes]) -> list[tuple[int, int, bytes] | Exception]:
-    """decode of each file, or what it raises; the segments of all files with like MCUs go in step."""
+    """decode of each file, or what it raises; the segments of some files go in step."""
     out: list = [None] * len(files)
-    groups: dict[tuple[int, ...], list[tuple[int, dict, tuple]]] = {}
+    held: list[tuple[int, dict, list[tuple]]] = []
+
+    def flush() -> None:
+        parts = decode_tasks([t for _, _, own in held for t in own])
+        at = 0
+        for i, found, own in held:
+            mine = parts[at : at + len(own)]
+            at += len(own)
+            wrong = next((p for p in mine if isinstance(p, ValueError)), None)
+            out[i] = wrong or (found["frame"]["width"], found["frame"]["height"], to_rgb(found, mine))
+        held.clear()
+
+    blocks, own_tables = 0, set()
     for i, data in enumerate(files):
         try:
             found = parse(data)
-            groups.setdefault(tuple(layout(found)[0]), []).append((i, found, _tasks(found)))
-        except (ValueError, IndexError, struct.error) as e:
-            out[i] = e
-    for pattern, own in groups.items():
-        try:
-            tasks = [t for _, _, task in own for t in zip(*task, strict=True)]
-            parts = decode_segments([t[0] for t in tasks], [t[1] for t in tasks], list(pattern), [t[2] for t in tasks], [t[3] for t in tasks])
-            at = 0
-            for i, found, task in own:
-                mine = parts[at : at + len(task[0])]
-                at += len(task[0])
-                out[i] = found["frame"]["width"], found["frame"]["height"], to_rgb(found, np.concatenate(mine))
+            own = _tasks(found)
         except ValueError as e:
-            if len(own) == 1:
-                out[own[0][0]] = e
-                continue
-            for i, _, _ in own:  # one of them is broken: each alone
-                try:
-                    out[i] = decode(files[i])
-                except (ValueError, IndexError) as alone:
-                    out[i] = alone
+            out[i] = e
+            continue
+        blocks += sum(n * len(pattern) for _, n, pattern, _, _ in own)
+        own_tables |= {id(t) for _, _, _, *kinds in own for row in kinds for t in row}
+        if held and (blocks > GROUP or len(own_tables) > MOST_TABLES):
+            flush()
+            blocks, own_tables = 0, set()
+        held.append((i, found, own))
+    flush()
     return out
 
 
