@@ -47,7 +47,7 @@ BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 1 << 16
 #: Chunks and pieces that a worker keeps.
 CACHED_CHUNKS, CACHED_PIECES = 100_000, 200_000
 _BLANK = "\u2581"
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Of these, all but a blank and a line's end.
 _WHITE_REST = r"\t\x0b-\r" + _WHITE[6:]
 
