@@ -24,12 +24,14 @@ no other column can clash. Long texts are tokenized in pieces.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import uuid
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
+from sys import intern as one_copy
 
 import numpy as np
 import public_tokenizers
@@ -44,14 +46,36 @@ A_FILE = public_tokenizers.path("byte_bpe_50k.json")
 B_FILE = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text, and documents, of a block.
 BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 1 << 16
-#: Chunks and pieces that a worker keeps.
-CACHED_CHUNKS, CACHED_PIECES = 100_000, 200_000
+#: Chunks and pieces that a worker keeps, twice: those of late, and those before.
+CACHED_CHUNKS, CACHED_PIECES = 60_000, 150_000
+#: Characters of a text from which its chunks aren't listed at once.
+LONG = 1 << 20
 _BLANK = "\u2581"
 _WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Of these, all but a blank and a line's end.
 _WHITE_REST = r"\t\x0b-\r" + _WHITE[6:]
 
 
+class _Recent:
+    """What was found of late; what hasn't been asked for since is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key: str) -> tuple | None:
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str, value: tuple) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
 class Pair:
     """Two tokenizers over pieces of text."""
 
@@ -83,57 +107,62 @@ class Pair:
         self.beside = beside
         # where chunks end is safe for B too: a blank or a line's end begins no chunk that B would join
         self.cut = not any(y in " \n" and x not in " \n" for x, y in beside)
-        self.chunks = re.compile(f"(?:[{_WHITE}]++(?:[^{_WHITE}]++|[{_WHITE_REST}][{_WHITE}]*+)*+|(?:[^{_WHITE}]++|[{_WHITE_REST}][{_WHITE}]*+)++)").finditer
-        self.known_chunks: dict[str, tuple] = {}
-        self.known: dict[str, tuple] = {}
+        self.chunks = re.compile(f"(?:[{_WHITE}]++(?:[^{_WHITE}]++|[{_WHITE_REST}][{_WHITE}]*+)*+|(?:[^{_WHITE}]++|[{_WHITE_REST}][{_WHITE}]*+)++)")
+        self.known_chunks, self.known = _Recent(CACHED_CHUNKS), _Recent(CACHED_PIECES)
 
     def pieces(self, chunk: str) -> list[str]:
         """A's pre-tokens, joined where B might join them."""
-        out: list[str] = []
-        for word in splitter()(chunk):
-            if out and (out[-1][-1], word[0]) in self.beside:
+        words = splitter()(chunk)
+        if not any((x[-1], y[0]) in self.beside for x, y in zip(words, words[1:], strict=False)):
+            return words
+        out = words[:1]
+        for word in words[1:]:
+            if (out[-1][-1], word[0]) in self.beside:
                 out[-1] += word
             else:
                 out.append(word)
         return out
 
     def _a_ids(self, piece: str) -> list[int]:
-        if len(words := splitter()(piece)) == 1:
-            return [t.id for t in self.a.model.tokenize(piece.encode().decode("latin-1").translate(self.signs))]
-        return [i for w in words for i in self._a_ids(w)]
+        return [t.id for w in splitter()(piece) for t in self.a.model.tokenize(w.encode().decode("latin-1").translate(self.signs))]
 
-    def _groups(self, piece: str) -> tuple:
+    def _groups(self, piece: str, b: list[int]) -> tuple:
         """(whether both give the bytes back, tokens of A, of B, its groups as text)."""
-        raw = piece.encode()
-        a, b = self._a_ids(piece), self.b.encode(piece)
+        raw, a = piece.encode(), self._a_ids(piece)
         a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
             return False, 0, 0, ()
-        ends_a, ends_b = list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts)))
-        out, i, j = [], 0, 0
-        for end in sorted(set(ends_a) & set(ends_b)):
-            x, y = ends_a.index(end, i) + 1, ends_b.index(end, j) + 1
-            out.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-            i, j = x, y
-        return True, len(a), len(b), tuple(out)
-
-    def chunk(self, chunk: str) -> tuple:
-        """_groups of a chunk, by its pieces."""
-        found = self.known_chunks.get(chunk)
-        if found is None:
-            if len(self.known_chunks) >= CACHED_CHUNKS:
-                self.known_chunks = {}
-            parts = []
-            for piece in self.pieces(chunk):
-                own = self.known.get(piece)
-                if own is None:
-                    if len(self.known) >= CACHED_PIECES:
-                        self.known = {}
-                    own = self.known[piece] = self._groups(piece)
-                parts.append(own)
-            ok = all(x[0] for x in parts)
-            found = (ok, sum(x[1] for x in parts), sum(x[2] for x in parts), tuple(g for x in parts for g in x[3])) if len(parts) != 1 else parts[0]
-            self.known_chunks[chunk] = found
+        a_text, b_text, n = list(map(str, a)), list(map(str, b)), len(raw)
+        out, i, j, first_a, first_b, end_a, end_b = [], 0, 0, 0, 0, len(a_parts[0]), len(b_parts[0])
+        while True:
+            if end_a == end_b:
+                i, j = i + 1, j + 1
+                out.append(one_copy(f"{','.join(a_text[first_a:i])}|{','.join(b_text[first_b:j])}"))
+                if end_a == n:
+                    return True, len(a), len(b), tuple(out)
+                first_a, first_b, end_a, end_b = i, j, end_a + len(a_parts[i]), end_b + len(b_parts[j])
+            elif end_a < end_b:
+                i += 1
+                end_a += len(a_parts[i])
+            else:
+                j += 1
+                end_b += len(b_parts[j])
+
+    def learn(self, chunks: list[str]) -> list[tuple]:
+        """_groups of chunks, by their pieces, and the groups joined."""
+        found = [self.known_chunks.get(c) for c in chunks]
+        missing = [i for i, x in enumerate(found) if x is None]
+        split = [self.pieces(chunks[i]) for i in missing]
+        own = {p: self.known.get(p) for x in split for p in x}
+        new = [p for p, x in own.items() if x is None]
+        for p, ids in zip(new, self.b.encode(new, num_threads=1) if new else (), strict=True):
+            own[p] = self._groups(p, ids)
+            self.known.put(p, own[p])
+        for i, pieces in zip(missing, split, strict=True):
+            parts = [own[p] for p in pieces]
+            groups = parts[0][3] if len(parts) == 1 else tuple([g for x in parts for g in x[3]])
+            found[i] = all([x[0] for x in parts]), sum([x[1] for x in parts]), sum([x[2] for x in parts]), groups, ";".join(groups)
+            self.known_chunks.put(chunks[i], found[i])
         return found
 
     def links(self, group: str) -> list[tuple[int, int]]:
@@ -181,11 +210,15 @@ class _Block:
     def add(self, doc_id, text: str) -> None:
         self.ids.append(doc_id)
         self.bytes += len(text) + 64
-        parts = map(re.Match.group, self.own.chunks(" " + text)) if self.own.cut else [" " + text]
-        numbers = np.fromiter(map(self.chunks.__getitem__, parts if text else ()), np.int32)
-        for chunk in self.chunks.order[len(self.found) :]:
-            ok, a, b, groups = self.own.chunk(chunk)
-            self.found.append((ok, a, b, groups, ";".join(groups)))
+        whole = " " + text
+        if not text:
+            parts = ()
+        elif not self.own.cut:
+            parts = (whole,)
+        else:
+            parts = self.own.chunks.findall(whole) if len(text) < LONG else map(re.Match.group, self.own.chunks.finditer(whole))
+        numbers = np.fromiter(map(self.chunks.__getitem__, parts), np.int32)
+        self.found += self.own.learn(self.chunks.order[len(self.found) :])
         self.texts.append(numbers)
         found = self.found
         own = [found[i] for i in numbers.tolist()]
@@ -262,16 +295,20 @@ def intern(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, id_col:
             types = [pa.string(), pa.list_(id_type), *[pa.list_(pa.int64())] * 4, *[pa.list_(pa.string())] * 2, *[pa.binary()] * 3, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))]
             return pa.record_batch([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
-        for part, texts in chunks(batches):
-            id_type = part.schema.field(0).type
-            for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                block = block or _Block(own)
-                block.add(doc_id, text or "")
-                if block.bytes >= BLOCK_BYTES or len(block.ids) >= BLOCK_DOCS:
-                    yield sent(block)
-                    block = None
-        if block:
-            yield sent(block)
+        gc.disable()  # hundreds of thousands of small tuples, none in a cycle
+        try:
+            for part, texts in chunks(batches):
+                id_type = part.schema.field(0).type
+                for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                    block = block or _Block(own)
+                    block.add(doc_id, text or "")
+                    if block.bytes >= BLOCK_BYTES or len(block.ids) >= BLOCK_DOCS:
+                        yield sent(block)
+                        block = None
+            if block:
+                yield sent(block)
+        finally:
+            gc.enable()
 
     return map_batches(source, run, _schema(kind))
 
