@@ -33,6 +33,28 @@ def _period(kinds: list[tuple]) -> int:
     return next(p for p in range(1, len(kinds) + 1) if len(kinds) % p == 0 and kinds == kinds[:p] * (len(kinds) // p))
 
 
+#: Look-ups as codes: bits taken, size of the value, places gone on (64 ends a block), and whether it is an error.
+_TAKEN, _SIZE_AT, _STEP_AT, _BAD_AT = 31, 5, 9, 16
+_codes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+_HALF = np.array([0, *(1 << n for n in range(15))], np.int64)
+_LOW = np.array([1 - (1 << n) for n in range(16)], np.int64)
+
+
+def _coded(table: np.ndarray, is_ac: int) -> np.ndarray:
+    """A look-up (length and symbol of each 16-bit word) as codes; those made of late are kept."""
+    found = _codes.get((id(table), is_ac))
+    if found is None:
+        entry = table.astype(np.int32)
+        size, symbol = entry >> 8, entry & 255
+        s, ends = symbol & 15, (symbol == 0) & (is_ac == 1)
+        step = np.where(ends, 64, (symbol >> 4) * is_ac + 1)
+        bad = (size == 0) | (s + is_ac > 11) | (is_ac == 1) & (s == 0) & ~ends & (symbol != _ZRL)
+        if len(_codes) >= 256:
+            _codes.clear()
+        found = _codes[id(table), is_ac] = table, (size + s) | s << _SIZE_AT | step << _STEP_AT | bad.astype(np.int32) << _BAD_AT
+    return found[1]
+
+
 class Streams:
     """Segments in one buffer, with what their decoding needs. pattern: the component of each block of an MCU; dc, ac: 16-bit look-ups by component."""
 
@@ -45,15 +67,15 @@ class Streams:
         for j in range(1, 5):
             window = window << 8 | raw[j : j + len(window)]
         self.window = np.append(window, [0] * 4)
-        place: dict[int, int] = {}
+        place: dict[tuple[int, int], int] = {}
         stacks: list[np.ndarray] = []
-        for rows in (dc, ac):
-            for row in rows:
+        for is_ac, rows in enumerate((dc, ac)):
+            for row in {id(r): r for r in rows}.values():
                 for t in row:
-                    if id(t) not in place:
-                        place[id(t)] = len(stacks)
-                        stacks.append(t)
-        self.tables = np.stack(stacks)
+                    if (id(t), is_ac) not in place:
+                        place[id(t), is_ac] = len(stacks)
+                        stacks.append(_coded(t, is_ac))
+        self.tables = np.concatenate(stacks)
         most = max(map(len, patterns))
         seen: dict[tuple, int] = {}
         kinds: list[tuple] = []
@@ -62,32 +84,31 @@ class Streams:
             key = (p, id(d), id(a))
             if key not in seen:
                 seen[key] = len(kinds)
-                kinds.append((p, [place[id(x)] for x in d], [place[id(x)] for x in a]))
+                kinds.append((p, [place[id(x), 0] for x in d], [place[id(x), 1] for x in a]))
             of.append(seen[key])
         self.kind = np.array(of, np.int64)
         self.length = np.array([len(p) for p, _, _ in kinds], np.int64)
         self.pattern = np.array([[*p, *[0] * (most - len(p))] for p, _, _ in kinds], np.int64)
         # the look-up of each kind, DC or AC, and block of the MCU
-        self.lookup = np.array([[[t[c] for c in p] + [0] * (most - len(p)) for t in (d, a)] for p, d, a in kinds], np.int64)
+        self.lookup = np.array([[[t[c] << 16 for c in p] + [0] * (most - len(p)) for t in (d, a)] for p, d, a in kinds], np.int64).ravel()
+        self.width = most
         self.period = np.array([_period([(d[c], a[c]) for c in p]) for p, d, a in kinds], np.int64)
 
     def symbols(self, kind: np.ndarray, bit: np.ndarray, limit: np.ndarray, block: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One symbol of each lane: (bits taken, run, size of the value, the value, why it fails or 0)."""
-        view, offset = self.window[np.minimum(bit >> 3, len(self.window) - 1)], bit & 7
-        is_ac = (k > 0).astype(np.int64)
-        entry = self.tables[self.lookup[kind, is_ac, block], view >> (24 - offset) & 0xFFFF].astype(np.int64)
-        size, symbol = entry >> 8, entry & 255
-        s = symbol & 15
-        run = np.where(is_ac == 1, symbol >> 4, 0)
-        ends = (is_ac == 1) & (symbol == 0)
-        shift = np.maximum(40 - offset - size - s, 0)
-        value = view >> shift & (1 << s) - 1
-        value = np.where((value << 1) >> s == 0, value - (1 << s) + 1, value)
-        reason = np.where((k + run > 63) & ~ends | (is_ac == 1) & (s == 0) & ~ends & (symbol != _ZRL), _RUN, 0)
-        reason = np.where(s + is_ac > 11, _SIZE, reason)
-        reason = np.where(size == 0, _CODE, reason)
-        reason = np.where(bit + size + s > limit, _CUT, reason)
-        return size + s, np.where(ends, 64, run), s, value, reason
+        """One symbol of each lane: (bits taken, the next place, size of the value, the value, why it fails or 0, or None if none fails)."""
+        view, offset = self.window.take(bit >> 3, mode="clip"), bit & 7
+        at = self.lookup.take((2 * kind + (k > 0)) * self.width + block)
+        code = self.tables.take(at + (view >> (24 - offset) & 0xFFFF)).astype(np.int64)
+        taken, s, step = code & _TAKEN, code >> _SIZE_AT & 15, code >> _STEP_AT & 127
+        value = view >> np.maximum(40 - offset - taken, 0) & _HALF.take(s) * 2 - (s > 0)
+        value = np.where(value < _HALF.take(s), value + _LOW.take(s), value)
+        after = k + step
+        bad, over, cut = code >> _BAD_AT != 0, (after > 64) & (step < 64), bit + taken > limit
+        if not (bad | over | cut).any():
+            return taken, after, s, value, None
+        reason = np.where(over, _RUN, 0)
+        reason = np.where(bad, np.where(step > 16, _CODE, np.where(taken == 0, _CODE, np.where(s > 9, _SIZE, _RUN))), reason)
+        return taken, after, s, value, np.where(cut, _CUT, reason)
 
 
 @dataclass
@@ -172,13 +193,13 @@ def measure(streams: Streams, lanes: Lanes, which: np.ndarray, passed: Passed |
         live = np.flatnonzero(~done)
         if not len(live):
             break
-        taken, run, s, value, reason = streams.symbols(kind[live], bit[live], limit[live], block[live], k[live])
-        bad = reason > 0
+        taken, after, _, value, reason = streams.symbols(kind[live], bit[live], limit[live], block[live], k[live])
+        bad = np.zeros(len(live), bool) if reason is None else reason > 0
         fine, at = live[~bad], k[live[~bad]]
         dc = fine[at == 0]
         sums[dc, blocks[dc] % length[dc]] += value[~bad][at == 0]
         bit[fine] += taken[~bad]
-        k[fine] = at + run[~bad] + 1
+        k[fine] = after[~bad]
         ended = fine[k[fine] > 63]
         k[ended] = 0
         blocks[ended] += 1
@@ -231,17 +252,16 @@ def read_blocks(streams: Streams, segment: np.ndarray, bit: np.ndarray, first: n
     flat = out.reshape(-1)
     live = np.flatnonzero(left > 0)
     while len(live):
-        taken, run, s, value, reason = streams.symbols(kind[live], bit[live], limit[live], block[live], k[live])
-        if reason.any():
+        taken, after, s, value, reason = streams.symbols(kind[live], bit[live], limit[live], block[live], k[live])
+        if reason is not None:
             bad = reason > 0
             failed[live[bad]] = reason[bad]
-            live, taken, run, s, value = live[~bad], taken[~bad], run[~bad], s[~bad], value[~bad]
-        place = k[live] + run
-        real = s > 0
-        flat[row[live[real]] * 64 + place[real]] = value[real]
+            live, taken, after, s, value = live[~bad], taken[~bad], after[~bad], s[~bad], value[~bad]
+        real = np.flatnonzero(s)
+        flat[row[live[real]] * 64 + after[real] - 1] = value[real]
         bit[live] += taken
-        k[live] = place + 1
-        ended = live[k[live] > 63]
+        k[live] = after
+        ended = live[after > 63]
         if len(ended):
             k[ended] = 0
             row[ended] += 1
