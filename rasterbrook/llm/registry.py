@@ -24,6 +24,5 @@ ORACLES = {
     "op4_byte_level_bpe": bpe.ORACLE_SQL,
     "op5_benchmark_decontamination": decontam.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
-    "op11_token_files": token_files.query,
     "op12_phrase_collocations": collocations.ORACLE_SQL,
 }
