@@ -183,13 +183,16 @@ QTABLE = f"""base AS (SELECT 'luma' AS name, generate_subscripts(l, 1) - 1 AS k,
 
 
 @query(
-    "name:s quality:l k:l q:l",
-    _with(QTABLE)
-    + "SELECT name, quality, k, round(greatest(1, least(255, base * CAST(CASE WHEN c < 50 THEN 5000 // c ELSE 200 - 2 * c END AS DOUBLE) / 100.0))) AS q FROM base, (SELECT quality, greatest(1, least(100, quality)) AS c FROM range(0, 103) r(quality))",
+    "name:s quality:l k:l q:l parts:l",
+    _with(QTABLE, "asked AS (SELECT p_partkey % 103 AS quality, greatest(1, least(100, p_partkey % 103)) AS c FROM part)")
+    + "SELECT name, quality, k, round(greatest(1, least(255, base * CAST(CASE WHEN c < 50 THEN 5000 // c ELSE 200 - 2 * c END AS DOUBLE) / 100.0))) AS q, count(*) AS parts FROM base, asked GROUP BY ALL",
 )
 def qtable_scale(spark, sf_dir):
-    rows = tables.quant_df(spark).select("*", F.explode(F.sequence(F.lit(0), F.lit(102))).alias("quality"))
-    return rows.select("name", "quality", "k", codec.quant_step(F.col("base"), F.col("quality")).alias("q"))
+    """The steps at each part's quality, beyond 1 and 100 too, and how many parts ask for them."""
+    asked = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 103).alias("quality")).agg(F.count("*").alias("parts"))
+    bases = F.array(*(F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, t)).alias("steps")) for n, t in (("luma", tables.LUMA_QUANT), ("chroma", tables.CHROMA_QUANT))))
+    rows = asked.select("*", F.inline(bases)).select("*", F.posexplode("steps").alias("k", "base"))
+    return rows.select("name", "quality", "k", codec.quant_step(F.col("base"), F.col("quality")).alias("q"), "parts")
 
 
 @query("vec_id:l k:l v:l", _with(*QUANTISED) + "SELECT vec_id, k, v FROM quant")
@@ -299,11 +302,6 @@ def byte_histogram(spark, sf_dir):
     return _byte_counts(spark, sf_dir)
 
 
-@query("name:s len:l n:l", _with(LENS) + "SELECT name, least(len, 32) AS len, count(*) AS n FROM lens GROUP BY ALL")
-def code_length_histogram(spark, sf_dir):
-    return huffman.length_histogram(tables.huffman_lengths_df(spark), ["name"])
-
-
 MERGES = """cnt AS (SELECT source, symbol, count(*) AS n FROM byt GROUP BY ALL),
 m AS (SELECT 0 AS step, source, symbol AS sym, symbol AS leader, CAST(n AS BIGINT) AS f, 0 AS size FROM cnt
   UNION ALL SELECT 0, source, 256, 256, 1, 0 FROM (SELECT DISTINCT source FROM cnt)
@@ -329,19 +327,53 @@ def huffman_code_sizes(spark, sf_dir):
     return huffman.optimal_lengths(_byte_counts(spark, sf_dir), ["source"])
 
 
-@query("name:s ord:l len:l symbol:l code:l", _with(LENS, CODES) + "SELECT name, ord, len, symbol, code FROM codes")
-def canonical_codes(spark, sf_dir):
-    return default_codes(spark)
+@query("source:s len:l n:l", "WITH RECURSIVE " + BYTES + ",\n" + MERGES + "\nFINALLY SELECT source, len, n FROM lens WHERE n > 0")
+def code_length_histogram(spark, sf_dir):
+    return huffman.length_histogram(huffman.optimal_lengths(_byte_counts(spark, sf_dir), ["source"]), ["source"])
 
 
-@query("name:s class:l symbol:l bits:s", _with(LENS, CODES) + "SELECT name, class, symbol, lpad(bin(code), CAST(len AS INT), '0') AS bits FROM codes")
-def default_huffman_tables(spark, sf_dir):
-    return default_codes(spark).withColumn("bits", F.lpad(F.bin("code"), F.col("len"), "0"))
+OWN_CODES = """own AS (SELECT o.source, ord, len, symbol FROM ordered o JOIN ends e ON e.source = o.source AND ord < hi AND ord >= hi - n),
+coded AS (SELECT *, CAST(coalesce(sum(1 << (16 - len)) OVER (PARTITION BY source ORDER BY len, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) >> (16 - len) AS code FROM own)"""
 
 
-@query("name:s len:l words:l low:l high:l", _with(LENS, CODES) + "SELECT name, len, sum(1 << (16 - len)) AS words, min(code << (16 - len)) AS low, max(((code + 1) << (16 - len)) - 1) AS high FROM codes GROUP BY name, len")
+def _own_codes(spark, sf_dir):
+    """(source, ord, len, symbol, code): the table made for the bytes of each source."""
+    return huffman.canonical(huffman.optimal_lengths(_byte_counts(spark, sf_dir), ["source"]), ["source"])
+
+
+@query("source:s ord:l len:l symbol:l code:l", "WITH RECURSIVE " + BYTES + ",\n" + MERGES + ",\n" + OWN_CODES + "\nFINALLY SELECT source, ord, len, symbol, code FROM coded")
+def canonical_codes(spark, sf_dir):
+    return _own_codes(spark, sf_dir)
+
+
+@query(
+    "source:s symbol:l len:l docs:l",
+    "WITH RECURSIVE " + BYTES + ",\n" + MERGES + ",\n" + OWN_CODES + ",\nword AS (SELECT source, CAST('0x' || substr(h, 1, 4) AS BIGINT) AS word FROM hx WHERE length(h) >= 4)\n"
+    "FINALLY SELECT w.source, symbol, len, count(*) AS docs FROM word w JOIN coded c ON c.source = w.source AND word >> (16 - len) = code GROUP BY ALL",
+)
 def prefix_lookup(spark, sf_dir):
-    return huffman.prefix_table(default_codes(spark), ["name"]).groupBy("name", "len").agg(F.count("*").alias("words"), F.min("prefix").alias("low"), F.max("prefix").alias("high"))
+    """The first code in each document's first 16 bits, read with the table of its source by equi-join; a word that begins no code has no row."""
+    docs = table(spark, sf_dir, "documents").select("source", F.col("text").cast("binary").alias("data")).filter(F.octet_length("data") >= 2)
+    words = docs.groupBy("source", bits.be_uint(F.col("data"), 0, 2).alias("prefix")).agg(F.count("*").alias("docs"))
+    found = words.join(huffman.prefix_table(_own_codes(spark, sf_dir), ["source"]), ["source", "prefix"])
+    return found.groupBy("source", "symbol", "len").agg(F.sum("docs").alias("docs"))
+
+
+DC_SIZES = "dcs AS (SELECT label, length(ltrim(bin(abs(v - lag(v, 1, 0) OVER (PARTITION BY label ORDER BY vec_id))), '0')) AS size FROM quant WHERE k = 0)"
+USED = "used AS (SELECT label, 1 AS class, symbol, count(*) AS n FROM symbols GROUP BY ALL UNION ALL SELECT label, 0, size, count(*) FROM dcs GROUP BY ALL)"
+
+
+@query(
+    "label:l name:s class:l symbol:l bits:s n:l",
+    _with(*QUANTISED, ZZ, SYMBOLS, LENS, CODES, DC_SIZES, USED)
+    + "SELECT label, name, class, symbol, lpad(bin(code), CAST(len AS INT), '0') AS bits, n FROM used JOIN codes USING (class, symbol)",
+)
+def default_huffman_tables(spark, sf_dir):
+    """Codes of the four default tables for the symbols that the data have, with their counts."""
+    ac = huffman.histogram(symbols(spark, sf_dir), ["label"]).withColumn("class", F.lit(1))
+    size = blocks.dc_encode(_dc(spark, sf_dir), ["label"], "vec_id", "v").select("label", codec.ssss(F.col("diff")).alias("symbol"))
+    used = ac.unionByName(huffman.histogram(size, ["label"]).withColumn("class", F.lit(0)))
+    return used.join(F.broadcast(default_codes(spark)), ["class", "symbol"]).withColumn("bits", F.lpad(F.bin("code"), F.col("len"), "0"))
 
 
 LUMA_AC = "ac AS (SELECT symbol, code, len FROM codes WHERE name = 'luma_ac')"
@@ -481,9 +513,13 @@ def rst_order_check(spark, sf_dir):
 # Layout
 
 
-@query("bits:l width:l row_size:l", "FINALLY SELECT bits, width, (bits * width + 31) // 32 * 4 AS row_size FROM (VALUES (1), (4), (8), (24)) t(bits), range(1, 101) r(width)")
+@query(
+    "doc_id:l bits:l width:l row_size:l",
+    "FINALLY SELECT doc_id, bits, width, (bits * width + 31) // 32 * 4 AS row_size FROM (SELECT doc_id, n_chars AS width FROM documents WHERE n_chars > 0), (VALUES (1), (4), (8), (24)) t(bits)",
+)
 def bmp_row_size(spark, sf_dir):
-    sizes = spark.range(1, 101).select(F.col("id").alias("width"), F.explode(F.array(*map(F.lit, (1, 4, 8, 24)))).alias("bits"))
+    """Rows as wide as each document has characters."""
+    sizes = table(spark, sf_dir, "documents").filter("n_chars > 0").select("doc_id", F.col("n_chars").alias("width"), F.explode(F.array(*map(F.lit, (1, 4, 8, 24)))).alias("bits"))
     return sizes.withColumn("row_size", codec.row_size(F.col("bits"), F.col("width")))
 
 
@@ -588,17 +624,19 @@ def component_lookup(spark, sf_dir):
     return segments.component_lookup(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), parts, ["o_custkey"])
 
 
-ROLES = [(1, 0, 1, 2, 2), (1, 1, 2, 1, 1), (1, 2, 3, 1, 1), (2, 0, 1, 1, 1), (2, 1, 2, 1, 1), (2, 2, 3, 1, 1), (3, 0, 1, 1, 1), (4, 0, 1, 2, 1), (4, 1, 2, 2, 1), (4, 2, 3, 1, 1), (5, 0, 1, 1, 1), (5, 1, 2, 2, 1), (5, 2, 3, 1, 1)]
-
-
 @query(
     "image_id:l ord:l role:s error:s",
-    "WITH c AS (SELECT * FROM (VALUES " + ", ".join(map(str, ROLES)) + ") t(image_id, ord, comp_id, h, v)), g AS (SELECT image_id, count(*) AS n, sum(CAST(h * v > 1 AS INT)) AS fine, min(ord) FILTER (WHERE h * v > 1) AS first FROM c GROUP BY image_id), "
-    "e AS (SELECT image_id, CASE WHEN n <> 3 THEN 'three components are needed' WHEN fine > 1 THEN 'more than one component is subsampled' WHEN coalesce(first, 0) <> 0 THEN 'the subsampled component is not the first' END AS error FROM g) "
-    "FINALLY SELECT image_id, ord, CASE WHEN error IS NULL THEN ['Y', 'Cb', 'Cr'][ord + 1] END AS role, error FROM c JOIN e USING (image_id)",
+    "WITH c AS (SELECT l_orderkey AS image_id, l_linenumber - 1 AS ord, 1 + l_suppkey % 7 // 6 AS h, 1 + l_partkey % 5 // 4 AS v FROM lineitem WHERE l_linenumber < 5), "
+    "g AS (SELECT image_id, count(*) AS n, sum(CAST(h * v > 1 AS INT)) AS fine, min(ord) AS lowest, min(ord) FILTER (WHERE h * v > 1) AS first FROM c GROUP BY image_id), "
+    "e AS (SELECT image_id, CASE WHEN n <> 3 THEN 'three components are needed' WHEN fine > 1 THEN 'more than one component is subsampled' WHEN coalesce(first, lowest) <> lowest THEN 'the subsampled component is not the first' END AS error FROM g) "
+    "FINALLY SELECT image_id, ord, CASE WHEN error IS NULL THEN ['Y', 'Cb', 'Cr'][row_number() OVER (PARTITION BY image_id ORDER BY ord)] END AS role, error FROM c JOIN e USING (image_id)",
 )
 def component_roles(spark, sf_dir):
-    return segments.component_roles(spark.createDataFrame(ROLES, "image_id int, ord int, comp_id int, h int, v int"))
+    """An order is an image and a line of it a component, whose keys give the sampling."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber < 5")
+    factor = lambda c, n: F.when(F.col(c) % n == n - 1, 2).otherwise(1)
+    line = F.col("l_linenumber")
+    return segments.component_roles(lines.select(F.col("l_orderkey").alias("image_id"), (line - 1).alias("ord"), line.alias("comp_id"), factor("l_suppkey", 7).alias("h"), factor("l_partkey", 5).alias("v")))
 
 
 # Whole files: each vector as a picture of 8x8
@@ -722,12 +760,15 @@ def split_words(spark, sf_dir):
 
 
 @query(
-    "bits:l compression:l colors:l encoding:s",
-    "WITH c AS (SELECT bits, compression FROM (VALUES (1), (4), (8), (16), (24), (32)) a(bits), (VALUES (0), (1), (2)) b(compression)) FINALLY SELECT bits, compression, CASE bits WHEN 1 THEN 2 WHEN 4 THEN 16 WHEN 8 THEN 256 ELSE -1 END AS colors, "
+    "p_partkey:l bits:l compression:l colors:l encoding:s",
+    "WITH c AS (SELECT p_partkey, [1, 4, 8, 16, 24, 32][CAST(p_size % 6 AS INT) + 1] AS bits, p_partkey % 3 AS compression FROM part) "
+    "FINALLY SELECT p_partkey, bits, compression, CASE bits WHEN 1 THEN 2 WHEN 4 THEN 16 WHEN 8 THEN 256 ELSE -1 END AS colors, "
     "coalesce(CASE WHEN compression = 0 THEN CASE bits WHEN 1 THEN 'monochrome' WHEN 4 THEN 'indexed4' WHEN 8 THEN 'indexed8' WHEN 16 THEN 'rgb16' WHEN 24 THEN 'rgb24' END WHEN compression = 2 AND bits = 4 THEN 'rle4' WHEN compression = 1 AND bits = 8 THEN 'rle8' END, 'none') AS encoding FROM c",
 )
 def bmp_encodings(spark, sf_dir):
-    df = spark.createDataFrame([(b, c) for b in (1, 4, 8, 16, 24, 32) for c in (0, 1, 2)], "bits int, compression int")
+    """A part's size chooses the depth and its key the compression."""
+    depth = F.get(F.array(*map(F.lit, (1, 4, 8, 16, 24, 32))), (F.col("p_size") % 6).cast("int"))
+    df = table(spark, sf_dir, "part").select("p_partkey", depth.alias("bits"), (F.col("p_partkey") % 3).alias("compression"))
     return df.withColumn("colors", codec.num_colors(F.col("bits"))).withColumn("encoding", codec.raster_encoding(F.col("bits"), F.col("compression")))
 
 
