@@ -9,6 +9,11 @@ bitmap of the frequent ones), counts these exactly, and counts sequences of
 k + 1 words whose two parts were taken into the next buckets. Bitmaps have no
 false negatives: a false positive is counted exactly and dropped then.
 
+A block sends what it counted in a row for each part of the sequences' places,
+of which there are 64, and more beyond 16 GB of text: rows grow as blocks do.
+A part of a language is summed at a time, so a frequent language spreads over all
+parts.
+
 What is broadcast are bitmaps of at most 2 ** MOST_BITS places (128 MB), however
 large the input; their size follows the texts' bytes up to that. Bucket counts
 stop at the least count, which is all that is asked of them, so a byte holds one.
@@ -34,7 +39,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterbrook.llm.common import LOWER, UPPER, map_batches, remove, shared_dir, table
@@ -55,7 +60,10 @@ _BREAK = b"."
 _FOLD = bytes.maketrans((UPPER + ",;:!?\n\v\f\r\t").encode(), (LOWER + "." * 9 + " ").encode())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _BUCKETS = "array<struct<region:int,low:binary,n:binary>>"
-_GRAMS = "array<struct<phrase:binary,n:long>>"
+_GRAMS = "array<struct<region:int,phrases:binary,n:binary>>"
+_GRAM_KIND = pa.list_(pa.struct([("region", pa.int32()), ("phrases", pa.binary()), ("n", pa.binary())]))
+#: Parts that sequences are counted in, as a power of two and at least; the bytes of text beyond which there are more; rows that a part's counts are handed on in.
+COUNT_PARTS, PART_TEXT, GIVEN = 6, 256 << 20, 1 << 16
 
 
 def word_lists(text: bytes | None) -> Iterator[list[bytes]]:
@@ -153,6 +161,20 @@ def _regions(places: np.ndarray, bits: int, most: int) -> list[dict]:
     return [{"region": int(region[a]), "low": _pack(low[a:b]), "n": n[a:b].tobytes()} for a, b in zip(cuts.tolist(), ends.tolist(), strict=False)]
 
 
+def _packed(phrases: list[bytes], n: np.ndarray, places: np.ndarray, shift: int) -> list[dict]:
+    """Phrases and their counts by part, that is by the first bits of their places: a row for each part, however many phrases there are."""
+    region = (places >> np.uint64(shift)).astype(np.int64)
+    order = np.argsort(region, kind="stable")
+    cuts = np.flatnonzero(np.diff(region[order], prepend=-1)).tolist()
+    press = zstandard.ZstdCompressor(level=1).compress
+    rows = []
+    for a, b in zip(cuts, [*cuts, len(order)][1:], strict=True):
+        own = order[a:b]
+        # no word has a line's end
+        rows.append({"region": int(region[own[0]]), "phrases": press(b"\n".join([phrases[i] for i in own.tolist()])), "n": n[own].astype("<i8").tobytes()})
+    return rows
+
+
 def _set(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Which places are marked."""
     return bitmap[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & 1 == 1
@@ -169,18 +191,21 @@ def _distinct(ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return at[first], n
 
 
-def intern(docs: DataFrame, bits: int, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Blocks (lang, words, counts, n, ids, lead, buckets): counts by word and of all words, and buckets of the sequences of two words."""
+def intern(docs: DataFrame, bits: int, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", parts: int = COUNT_PARTS) -> DataFrame:
+    """Blocks (lang, words, grams, n, ids, lead, buckets): counts by word, packed by part, and of all words, and buckets of the sequences of two words."""
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    names = ["lang", "words", "counts", "n", "ids", "lead", "buckets"]
-    kinds = [pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.struct([("region", pa.int32()), ("low", pa.binary()), ("n", pa.binary())]))]
+    names = ["lang", "words", "grams", "n", "ids", "lead", "buckets"]
+    kinds = [pa.string(), pa.list_(pa.binary()), _GRAM_KIND, pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.struct([("region", pa.int32()), ("low", pa.binary()), ("n", pa.binary())]))]
 
     def block(lang: str, held: _Open) -> pa.RecordBatch:
         words, ids, lead = held.close()
         counts = np.bincount(ids[lead:], minlength=len(words))
         counts[0] = 0
-        buckets = _regions(_places(_word_hashes(lang, words)[ids], 2, bits)[_sequences(ids, 2, lead)], bits, min(least, 255)) if len(ids) > 1 else []
-        return pa.record_batch([pa.array([x], t) for x, t in zip((lang, words, counts, int(counts.sum()), ids.astype("<i4").tobytes(), lead, buckets), kinds, strict=True)], names=names)
+        hashes = _word_hashes(lang, words)
+        buckets = _regions(_places(hashes[ids], 2, bits)[_sequences(ids, 2, lead)], bits, min(least, 255)) if len(ids) > 1 else []
+        held_words = np.flatnonzero(counts)
+        grams = _packed([words[i] for i in held_words.tolist()], counts[held_words], _places(hashes[held_words], 1, bits), bits - parts)
+        return pa.record_batch([pa.array([x], t) for x, t in zip((lang, words, grams, int(counts.sum()), ids.astype("<i4").tobytes(), lead, buckets), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Open] = {}
@@ -199,7 +224,7 @@ def intern(docs: DataFrame, bits: int, least: int = LEAST, text_col: str = "text
             if own.size:
                 yield block(lang, own)
 
-    return map_batches(source, run, f"lang string, words array<binary>, counts array<long>, n long, ids binary, lead int, buckets {_BUCKETS}")
+    return map_batches(source, run, f"lang string, words array<binary>, grams {_GRAMS}, n long, ids binary, lead int, buckets {_BUCKETS}")
 
 
 def _summed(batches: Iterator[pa.RecordBatch], bits: int, most: int) -> dict[int, np.ndarray]:
@@ -252,10 +277,10 @@ def frequent_bitmap(grams: DataFrame, k: int, bits: int, least: int = LEAST) ->
     return bitmap(map_batches(grams.select("lang", "phrase"), run, "region int, low binary, n binary"), bits, least)
 
 
-def count_level(blocks: DataFrame, k: int, bits: int, buckets: Broadcast, lower: Broadcast, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(lang, grams, buckets) of each block: its sequences of k words that may be frequent with their counts, and buckets of those of k + 1."""
+def count_level(blocks: DataFrame, k: int, bits: int, buckets: Broadcast, lower: Broadcast, least: int = LEAST, longest: int = LONGEST, parts: int = COUNT_PARTS) -> DataFrame:
+    """(lang, grams, buckets) of each block: its sequences of k words that may be frequent with their counts, packed by part, and buckets of those of k + 1."""
     names = ["lang", "grams", "buckets"]
-    kinds = [pa.string(), pa.list_(pa.struct([("phrase", pa.binary()), ("n", pa.int64())])), pa.list_(pa.struct([("region", pa.int32()), ("low", pa.binary()), ("n", pa.binary())]))]
+    kinds = [pa.string(), _GRAM_KIND, pa.list_(pa.struct([("region", pa.int32()), ("low", pa.binary()), ("n", pa.binary())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, below = buckets.value, lower.value
@@ -270,10 +295,11 @@ def count_level(blocks: DataFrame, k: int, bits: int, buckets: Broadcast, lower:
                 # lent words count for context here, so lead holds only for what is counted
                 taken = _sequences(ids, k, 0) & part[:-1] & part[1:]
                 at = np.flatnonzero(taken)
-                at = at[_set(own, _places(hashes, k, bits)[at])]
+                places = _places(hashes, k, bits)
+                at = at[_set(own, places[at])]
                 ends = at[at + k > lead]
                 first, n = _distinct(ids, ends, k)
-                grams = [{"phrase": b" ".join([words[w] for w in ids[a : a + k].tolist()]), "n": c} for a, c in zip(first.tolist(), n.tolist(), strict=True)]
+                grams = _packed([b" ".join([words[w] for w in ids[a : a + k].tolist()]) for a in first.tolist()], n, places[first], bits - parts)
                 further: list[dict] = []
                 if k < longest and len(ids) > k:
                     taken = np.zeros(len(ids) - k + 1, bool)
@@ -285,30 +311,55 @@ def count_level(blocks: DataFrame, k: int, bits: int, buckets: Broadcast, lower:
     return map_batches(blocks.select("lang", "words", "ids", "lead"), run, f"lang string, grams {_GRAMS}, buckets {_BUCKETS}")
 
 
-def _frequent(rows: DataFrame, grams: Column, least: int) -> DataFrame:
-    return rows.select("lang", F.explode(grams).alias("g")).groupBy("lang", F.col("g.phrase").alias("phrase")).agg(F.sum("g.n").alias("f")).filter(F.col("f") >= least)
+def _frequent(rows: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases in packed grams that occur least times or more. A part of a language is summed at a time; its rows follow each other."""
+
+    def given(lang: str, own: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        found = [(p, c) for p, c in own.items() if c >= least]
+        for i in range(0, len(found), GIVEN):
+            some = found[i : i + GIVEN]
+            yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array([p for p, _ in some], pa.binary()), pa.array([c for _, c in some], pa.int64())], names=["lang", "phrase", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own, unpress = None, {}, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for lang, region, phrases, n in zip(*(batch.column(c) for c in ("lang", "region", "phrases", "n")), strict=True):
+                key = lang.as_py(), region.as_py()
+                if key != held:
+                    if held:
+                        yield from given(held[0], own)
+                    held, own = key, {}
+                counts = np.frombuffer(n.as_py(), "<i8").tolist()
+                for p, c in zip(unpress(phrases.as_py()).split(b"\n"), counts, strict=True):
+                    own[p] = own.get(p, 0) + c
+        if held:
+            yield from given(held[0], own)
+
+    packed = rows.select("lang", F.explode("grams").alias("g")).select("lang", "g.*").repartition("lang", "region").sortWithinPartitions("lang", "region")
+    return map_batches(packed, run, "lang string, phrase binary, f long")
 
 
 def frequent(docs: DataFrame, folder: str, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, n_words, phrase, f) of all phrases of 1 to longest words that occur least times or more, and (lang, n) of all words; folder takes what is written between passes."""
     session = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")).cast("long"))).first()[0] or 0
     if bits is None:
-        size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
         bits = min(MOST_BITS, max(FEWEST_BITS, (size // 6).bit_length()))
+    parts = min(bits, max(COUNT_PARTS, (size // PART_TEXT).bit_length()))
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return session.read.parquet(f"{folder}/{name}")
 
-    blocks = kept(intern(docs, bits, least, text_col, lang_col), "blocks")
-    levels = [kept(_frequent(blocks, F.arrays_zip(F.col("words").alias("phrase"), F.col("counts").alias("n")), least), "level-1")]
+    blocks = kept(intern(docs, bits, least, text_col, lang_col, parts), "blocks")
+    levels = [kept(_frequent(blocks, least), "level-1")]
     totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
     rows = blocks
     for k in range(2, longest + 1):
         above = bitmap(rows.select(F.explode("buckets").alias("b")).select("b.*"), bits, least)
         below = frequent_bitmap(levels[-1], k - 1, bits, least)
-        rows = kept(count_level(blocks, k, bits, above, below, least, longest), f"counts-{k}")
-        levels.append(kept(_frequent(rows, F.col("grams"), least), f"level-{k}"))
+        rows = kept(count_level(blocks, k, bits, above, below, least, longest, parts), f"counts-{k}")
+        levels.append(kept(_frequent(rows, least), f"level-{k}"))
         above.destroy()
         below.destroy()
     found = [x.select("lang", F.lit(k).alias("n_words"), "phrase", "f") for k, x in enumerate(levels, 1)]
