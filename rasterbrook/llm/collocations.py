@@ -52,6 +52,8 @@ TOP = 2000
 FEWEST_BITS, MOST_BITS = 16, 30
 #: Parts of a bitmap, as a power of two: a block sends a row for each at most, however large the bitmap is.
 PARTS = 8
+#: Partitions that the driver reads a bitmap in, one after the other.
+READERS = 8
 #: Words of a block, and bytes of a text that are split at once.
 BLOCK_WORDS, SLICE = 1 << 20, 1 << 20
 #: Words of a language that a task holds back for a full block; beyond, its largest block goes.
@@ -255,9 +257,13 @@ def bitmap(buckets: DataFrame, bits: int, least: int = LEAST) -> Broadcast:
     n = max(1, min(1 << PARTS, int(session.conf.get("spark.sql.shuffle.partitions"))))
     # in two steps, so that no task reads a row of each block of the input
     parts = map_batches(buckets.repartition(n, "region", F.pmod(F.xxhash64("low"), F.lit(16))), summed, "region int, low binary, n binary")
+    path = f"{shared_dir(session)}/bitmap-{uuid.uuid4().hex}"
+    map_batches(parts.repartition(n, "region"), marked, "region int, marks binary").write.parquet(path)
     marks = np.zeros(1 << bits - 3, np.uint8)
-    for r in map_batches(parts.repartition(n, "region"), marked, "region int, marks binary").toLocalIterator():
+    # a job for each partition is run by the iterator: few, of 16 MB at most
+    for r in session.read.parquet(path).coalesce(READERS).toLocalIterator():
         marks[r.region * len(r.marks) : (r.region + 1) * len(r.marks)] = np.frombuffer(r.marks, np.uint8)
+    remove(session, path)
     return session.sparkContext.broadcast(marks)
 
 
