@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterbrook.functions import bits, codec, tables
-from rasterbrook.operators import blocks, huffman, palette, scan, segments
+from rasterbrook.operators import blocks, huffman, palette, rasters, scan, segments
 from rasterbrook.sources import bmp, chunked, images, table_functions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -593,6 +593,51 @@ def swap_pixels(spark, sf_dir):
     return blocks.swap_pixels(_pixels(spark, sf_dir), (0, 0), (9, 7))
 
 
+# The same on rows of pixels
+
+#: A label that has too few blocks for the tall image lacks rows, and its last one may lack blocks.
+FULL = "lines AS (SELECT label, y, height, string_agg(printf('%02X', s), '' ORDER BY x) AS hex FROM px GROUP BY ALL HAVING count(*) = 60)"
+
+
+def _lines(spark, sf_dir):
+    return rasters.rows_of_blocks(_placed(spark, sf_dir).drop("block"), ["label"]).filter("row IS NOT NULL")
+
+
+def _hexed(rows):
+    return rows.withColumn("hex", F.hex("row"))
+
+
+@query("label:l y:l hex:s", _with(BLK, NUMBERED, PLACED, PIXELS, FULL) + "SELECT label, y, hex FROM lines")
+def raster_rows(spark, sf_dir):
+    return _hexed(_lines(spark, sf_dir))
+
+
+@query(
+    "label:l y:l hex:s",
+    _with(BLK, NUMBERED, PLACED, PIXELS, FULL, "turned AS (SELECT label, height - 1 - y AS y, string_agg(printf('%02X', s), '' ORDER BY x DESC) AS hex FROM px GROUP BY ALL HAVING count(*) = 60)") + "SELECT label, y, hex FROM turned",
+)
+def raster_rows_flipped(spark, sf_dir):
+    """Turned by both flips."""
+    return _hexed(rasters.flip_horizontal(rasters.flip_vertical(_lines(spark, sf_dir))))
+
+
+@query(
+    "label:l y:l hex:s",
+    _with(BLK, NUMBERED, PLACED, PIXELS, FULL, "ends AS (SELECT label, max(CASE WHEN y = 0 THEN substr(hex, 1, 2) END) AS a, max(CASE WHEN y = 7 THEN substr(hex, 19, 2) END) AS b FROM lines WHERE y IN (0, 7) GROUP BY label)")
+    + "SELECT label, y, CASE WHEN a IS NULL OR b IS NULL THEN hex WHEN y = 0 THEN b || substr(hex, 3) WHEN y = 7 THEN substr(hex, 1, 18) || a || substr(hex, 21) ELSE hex END AS hex FROM lines LEFT JOIN ends USING (label)",
+)
+def raster_rows_swapped(spark, sf_dir):
+    return _hexed(rasters.swap_pixels(_lines(spark, sf_dir), ["label"], (0, 0), (9, 7)))
+
+
+@query(
+    "label:l band:l n_rows:l md5:s",
+    _with(BLK, NUMBERED, PLACED, PIXELS, FULL) + "SELECT label, y // 16 AS band, count(*) AS n_rows, CASE WHEN count(*) = least(16, max(height) - y // 16 * 16) THEN md5(string_agg(hex, '' ORDER BY y)) END AS md5 FROM lines GROUP BY label, y // 16, height",
+)
+def raster_bands(spark, sf_dir):
+    return rasters.bands(_lines(spark, sf_dir), ["label"], 16).withColumn("md5", F.md5(F.hex("data")))
+
+
 # Tables and references; a user's events are a file: purchases are scans, all others define tables
 
 
