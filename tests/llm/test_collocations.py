@@ -1,7 +1,9 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+import zstandard
 from helpers import check_sql, empty, odd
 
 from rasterbrook.llm import collocations
@@ -94,3 +96,19 @@ def test_top_and_empty(spark):
     docs = spark.createDataFrame([(" ".join(f"p{i} q{i}." for i in range(40)), "en")] * 30, "text string, lang string")
     assert mined(docs, top=7) == plain(of(docs), 30, top=7)
     assert mined(empty(spark)) == set()
+
+
+@pytest.mark.parametrize("text", [1, 1 << 12])
+def test_more_parts_for_more_text(spark, tiny_dir, monkeypatch, text):
+    """As many parts as a bitmap has places, and some: the rows are the same."""
+    monkeypatch.setattr(collocations, "PART_TEXT", text)
+    monkeypatch.setattr(collocations, "GIVEN", 3)
+    docs = spark.createDataFrame(spark.read.parquet(f"{tiny_dir}/documents.parquet").orderBy("doc_id").limit(20).collect())
+    assert mined(docs, least=3) == plain(of(docs), 3)
+
+
+def test_packed_phrases():
+    phrases, n = [b"a", b"b c", b"\xff", b"\x00 d"], np.array([1, 1 << 40, 3, 4])
+    rows = collocations._packed(phrases, n, np.array([5, 0, 4, 1], np.uint64), 1)
+    assert [(r["region"], zstandard.decompress(r["phrases"]), np.frombuffer(r["n"], "<i8").tolist()) for r in rows] == [(0, b"b c\n\x00 d", [1 << 40, 4]), (2, b"a\n\xff", [1, 3])]
+    assert collocations._packed([], np.zeros(0, int), np.zeros(0, np.uint64), 1) == []
