@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterbrook.functions import bits, codec, tables
-from rasterbrook.operators import blocks, huffman, palette, rasters, scan, segments
+from rasterbrook.operators import bit_cursor, blocks, huffman, palette, rasters, scan, segments
 from rasterbrook.sources import bmp, chunked, images, table_functions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -780,6 +780,20 @@ def bit_reads(spark, sf_dir):
     )
 
 
+@query(
+    "doc_id:l size:l value:l wide:l cursor:l ended:b",
+    "WITH h AS (SELECT doc_id, octet_length(encode(text)) * 8 AS n, rpad(hex(encode(text)), 22, '0') AS h FROM documents WHERE text IS NOT NULL), "
+    "v AS (SELECT doc_id, n, CAST(CAST('0x' || substr(h, 1, 10) AS BIGINT) AS HUGEINT) * 17592186044416 + CAST('0x' || substr(h, 11, 11) AS BIGINT) AS v, CAST('0x' || substr(h, 1, 1) AS BIGINT) AS s FROM h), "
+    "w AS (SELECT *, (v // CAST(pow(2, 80 - s) AS HUGEINT)) % CAST(pow(2, s) AS HUGEINT) AS x, (v // CAST(pow(2, 16 - s) AS HUGEINT)) % CAST(18446744073709551616 AS HUGEINT) AS y FROM v) "
+    "FINALLY SELECT doc_id, CASE WHEN n >= 4 THEN s END AS size, CASE WHEN n >= 4 + s THEN x END AS value, CASE WHEN n >= 68 + s THEN CASE WHEN y >= 9223372036854775808 THEN y - 18446744073709551616 ELSE y END END AS wide, "
+    "CASE WHEN n >= 68 + s THEN 68 + s WHEN n >= 4 + s AND n >= 4 THEN 4 + s WHEN n >= 4 THEN 4 ELSE 0 END AS cursor, CASE WHEN n >= 68 + s THEN 68 + s WHEN n >= 4 + s AND n >= 4 THEN 4 + s WHEN n >= 4 THEN 4 ELSE 0 END >= n AS ended FROM w",
+)
+def bit_fields(spark, sf_dir):
+    """Of each text a size, a value of so many bits, and 64 bits wherever those end."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("data"))
+    return bit_cursor.read_fields(docs, "data", 0, [("size", 4), ("value", F.col("size")), ("wide", 64)])
+
+
 @query(
     "o_orderkey:l le4:s le2:s be3:s",
     "WITH h AS (SELECT o_orderkey, printf('%08X', o_orderkey) AS h FROM orders) FINALLY SELECT o_orderkey, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS le4, substr(h, 7, 2) || substr(h, 5, 2) AS le2, substr(h, 3, 6) AS be3 FROM h",
